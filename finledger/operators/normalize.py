@@ -51,7 +51,8 @@ def clean_header(df: DataFrame) -> DataFrame:
     import re
 
     def clean(n: str) -> str:
-        return re.sub('^\ufeff|^"+|"+$', "", n).strip()
+        n = re.sub("^\ufeff", "", n)
+        return re.sub('^"+|"+$', "", n).strip()
 
     return df.toDF(*[clean(c) for c in df.columns])
 

@@ -28,21 +28,25 @@ class Context:
         self.p = params
 
     # --- raw extracts (text) --------------------------------------------
+    @cached_property
+    def order_facts(self) -> DataFrame:
+        return BIND.order_facts(self.spark, self.sf_dir)
+
     @cached_property
     def card_raw(self) -> DataFrame:
-        return BIND.card_extract(self.spark, self.sf_dir)
+        return BIND.card_extract(self.spark, self.sf_dir, self.order_facts)
 
     @cached_property
     def wallet_a_raw(self) -> DataFrame:
-        return BIND.wallet_extract(self.spark, self.sf_dir, WALLET_A)
+        return BIND.wallet_extract(self.spark, self.sf_dir, WALLET_A, self.order_facts)
 
     @cached_property
     def wallet_b_raw(self) -> DataFrame:
-        return BIND.wallet_extract(self.spark, self.sf_dir, WALLET_B)
+        return BIND.wallet_extract(self.spark, self.sf_dir, WALLET_B, self.order_facts)
 
     @cached_property
     def checkout_raw(self) -> DataFrame:
-        return BIND.checkout_extract(self.spark, self.sf_dir)
+        return BIND.checkout_extract(self.spark, self.sf_dir, self.order_facts)
 
     # --- normalised -----------------------------------------------------
     @cached_property
@@ -81,7 +85,7 @@ class Context:
     # --- books and statements ----------------------------------------------
     @cached_property
     def books_sheet(self) -> DataFrame:
-        return BIND.books_sheet(self.spark, self.sf_dir)
+        return BIND.books_sheet(self.spark, self.sf_dir, self.p.fiscal_from, self.p.fiscal_to)
 
     @cached_property
     def books(self) -> DataFrame:
@@ -123,6 +127,38 @@ class Context:
     def vendors(self) -> DataFrame:
         return B.vendor_totals(self.vendor_sheet)
 
+    # stages that depend only on the input tables and the fiscal window
+    SHARED = (
+        "order_facts", "card_raw", "wallet_a_raw", "wallet_b_raw", "checkout_raw", "norm_parts", "union",
+        "ledger", "revenue", "failures", "books_sheet", "books", "cogs", "books_monthly",
+        "monthly_pl", "statements", "statement_metrics", "vendor_sheet", "vendors",
+    )
+
+    def derive(self, **changes) -> "Context":
+        """Same inputs, other parameters; stages that do not depend on the
+        changed parameters are shared, not rebuilt."""
+        ctx = Context(self.spark, self.sf_dir, self.p.with_(**changes))
+        if not {"fiscal_from", "fiscal_to"} & set(changes):
+            for k in self.SHARED:
+                if k in self.__dict__:
+                    ctx.__dict__[k] = self.__dict__[k]
+        return ctx
+
+    def materialize_shared(self) -> "Context":
+        """Compute the stages most queries share once and cut their lineage.
+
+        Each is written as a Parquet table under the cluster's shared folder
+        (``spark.checkpoint.dir``) and read back: a lost executor does not force
+        a recomputation from the raw inputs, later scans get column pruning and
+        filter pushdown, and every later plan starts from a short scan instead
+        of the whole extract -> ledger lineage.
+        """
+        from ..sources.files import stage_table
+
+        for k in ("ledger", "books", "failures", "statements", "vendors"):
+            self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
+        return self
+
     def persist_shared(self) -> "Context":
         """Keep the stages most queries share (memory, spilling to disk)."""
         for df in (self.ledger, self.books):

@@ -347,14 +347,17 @@ FROM o2 WHERE gateway = 'wallet_a'"""
   'cust' || ck || '@example.com' AS "Customer Email"
 FROM o2 WHERE gateway = 'checkout'"""
     )
-    Q["scan_statement"] = _w("SELECT statement_id, line_no, label, CAST(value AS DOUBLE) AS value FROM stm")
+    Q["scan_statement"] = _w(
+        "SELECT statement_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY line_no) AS INTEGER) AS line_no, "
+        "label, CAST(value AS DOUBLE) AS value FROM stm"
+    )
     Q["scan_books"] = _w(f"SELECT {BOOK_COLS} FROM bkw")
     Q["cache_roundtrip"] = _w(f"SELECT {LEDGER_ALL} FROM led")
     Q["load_report"] = _w(
         f"""SELECT d.source, CASE WHEN coalesce(c.n, 0) > 0 THEN 'loaded' ELSE 'missing' END AS status,
   coalesce(c.n, 0) AS rows
 FROM (SELECT unnest({'[' + ', '.join(_q(g) for g in list(GATEWAYS) + ['books']) + ']'}) AS source) d
-LEFT JOIN (SELECT source, count(*) AS n FROM uni GROUP BY source UNION ALL SELECT 'books', count(*) FROM bk) c USING (source)"""
+LEFT JOIN (SELECT source, count(*) AS n FROM uni GROUP BY source UNION ALL SELECT 'books', count(*) FROM bkw) c USING (source)"""
     )
     Q["export_csv"] = _w(f"SELECT {EXPLORE_COLS} FROM lf")
 
@@ -363,7 +366,8 @@ LEFT JOIN (SELECT source, count(*) AS n FROM uni GROUP BY source UNION ALL SELEC
     Q["norm_wallet"] = _w(f"SELECT {LEDGER_COLS} FROM wal_l")
     Q["norm_checkout"] = _w(f"SELECT {LEDGER_COLS} FROM chk_l")
     Q["default_columns"] = _w(
-        """SELECT transaction_id, date, CAST(amount AS DOUBLE) AS amount, 0.0 AS fee, 0.0 AS net_amount,
+        """SELECT transaction_id, date, CAST(amount AS DOUBLE) AS amount, CAST(0 AS DOUBLE) AS fee,
+  CAST(0 AS DOUBLE) AS net_amount,
   'unknown' AS status, type, source, description, 'USD' AS currency, customer_name, customer_email, is_refund,
   'credit' AS balance_impact
 FROM wal_l WHERE source = 'wallet_a'"""

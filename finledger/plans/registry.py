@@ -56,7 +56,7 @@ EXPLORE = dict(amount_min=100, amount_max=2000, statuses=("completed", "settled"
 
 
 def _with(ctx: Context, **kw) -> Context:
-    return Context(ctx.spark, ctx.sf_dir, ctx.p.with_(**kw))
+    return ctx.derive(**kw)
 
 
 # --- 2.1 sources / sinks ----------------------------------------------------

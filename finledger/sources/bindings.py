@@ -63,9 +63,18 @@ BOOK_TYPES = {
 CARRIER_WORD = {0: "Northern Freight ", 1: "Metro Express "}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread: bool = False) -> DataFrame:
+    """Scan with column pruning.  ``spread`` (fact tables only): when the scan
+    yields fewer splits than the cluster has cores — a file written as one row
+    group — deal its rows round-robin over the cores; a large input already has
+    thousands of splits and is left alone (no shuffle)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def _case(expr: Column, mapping: dict, default=None) -> Column:
@@ -80,6 +89,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(
         spark, sf_dir, "orders",
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+        spread=True,
     )
     g = _case(F.col("o_custkey") % 4, GATEWAY_BY_MOD)
     k = F.col("o_orderkey")
@@ -121,9 +131,9 @@ def _money_text(x: Column, k: Column) -> Column:
     return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), prefix, F.format_number(F.abs(x), 2))
 
 
-def card_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_extract(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Card gateway export: every attempt (failures too), all columns text."""
-    f = order_facts(spark, sf_dir).where(F.col("gateway") == CARD)
+    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == CARD)
     k, ck = F.col("k"), F.col("ck")
     return f.select(
         F.concat(F.lit("c-"), k).alias("Transaction ID"),
@@ -140,9 +150,10 @@ def card_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wallet_extract(spark: SparkSession, sf_dir: str, gateway: str = WALLET_A) -> DataFrame:
+def wallet_extract(spark: SparkSession, sf_dir: str, gateway: str = WALLET_A,
+                   facts: DataFrame | None = None) -> DataFrame:
     """Wallet export (two wallets share the shape); blanks are ``''`` until read."""
-    f = order_facts(spark, sf_dir).where(F.col("gateway") == gateway)
+    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == gateway)
     k, ck = F.col("k"), F.col("ck")
     neg = F.col("rf") | (F.col("pr") == "3-MEDIUM")
     signed = F.when(neg, -F.col("amt")).otherwise(F.col("amt"))
@@ -176,9 +187,9 @@ def wallet_extract(spark: SparkSession, sf_dir: str, gateway: str = WALLET_A) ->
     )
 
 
-def checkout_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def checkout_extract(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Checkout export: refunds appear as ``Amount Refunded`` on the payment row."""
-    f = order_facts(spark, sf_dir).where(F.col("gateway") == CHECKOUT)
+    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == CHECKOUT)
     k, ck = F.col("k"), F.col("ck")
     refunded = (
         F.when(F.col("rf"), F.col("amt").cast("string"))
@@ -199,9 +210,13 @@ def checkout_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def books_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def books_sheet(spark: SparkSession, sf_dir: str, date_from=None, date_to=None) -> DataFrame:
     """Transaction-list sheet (text cells) from ``lineitem ⋈ supplier ⋈ part``.
 
+    Like the accounting package's export, the sheet covers a date range; the
+    range is a predicate on the raw ``l_shipdate`` so that it reaches the
+    parquet scan (``PushedFilters``) before any join.
+
     Join strategy is left to Catalyst/AQE: the dimension sides are broadcast only
     when their measured size is under ``spark.sql.autoBroadcastJoinThreshold``,
     else sort-merge with AQE skew splitting.
@@ -209,8 +224,13 @@ def books_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(
         spark, sf_dir, "lineitem",
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
-        "l_extendedprice", "l_shipdate",
+        "l_extendedprice", "l_shipdate", spread=True,
     )
+    if date_from is not None:
+        li = li.where(F.col("l_shipdate") >= F.lit(date_from.isoformat()).cast("timestamp_ntz"))
+    if date_to is not None:
+        end = date_to.fromordinal(date_to.toordinal() + 1).isoformat()
+        li = li.where(F.col("l_shipdate") < F.lit(end).cast("timestamp_ntz"))
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type")
     j = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)

@@ -38,6 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base}{sep}finledger/{name}-{uuid.uuid4().hex}"
 
 
+def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write a stage to the shared folder as Parquet and read it back (lineage cut)."""
+    path = new_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # --- S1-S3: CSV extracts ----------------------------------------------------
 def write_extract_csv(df: DataFrame, path: str, *, keep_blanks: bool) -> str:
     """Write an extract the way a gateway export looks (header, quoted text).
