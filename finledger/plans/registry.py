@@ -482,3 +482,26 @@ def _fmt(c: Context) -> DataFrame:
         X.fmt_pct("failure_rate").alias("failure_rate_text"),
         X.fmt_currency("avg_value").alias("avg_value_text"),
     )
+
+
+# --- streaming ingest ------------------------------------------------------------------------
+@query("stream_ingest")
+def _stream_ingest(c: Context) -> DataFrame:
+    """Extract files dropped per gateway -> file-source stream -> normalise -> ledger table."""
+    from ..schema import LEDGER
+    from ..streaming import ingest as SI
+
+    root = FS.new_path(c.spark, "drop")
+    folders = {}
+    for source, kind, raw, keep in (
+        (CARD, "card", c.card_raw, True),
+        (WALLET_A, "wallet", c.wallet_a_raw, False),
+        (WALLET_B, "wallet", c.wallet_b_raw, False),
+        (CHECKOUT, "checkout", c.checkout_raw, True),
+    ):
+        folder = f"{root}/{source}"
+        FS.write_extract_csv(raw, folder, keep_blanks=keep)
+        folders[source] = (kind, folder)
+    table = f"{root}/_ledger"
+    SI.ingest_folders(c.spark, folders, table, f"{root}/_checkpoint", c.p)
+    return FS.read_ledger_cache(c.spark, table, LEDGER)
