@@ -89,7 +89,6 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(
         spark, sf_dir, "orders",
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
-        spread=True,
     )
     g = _case(F.col("o_custkey") % 4, GATEWAY_BY_MOD)
     k = F.col("o_orderkey")

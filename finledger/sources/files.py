@@ -124,18 +124,24 @@ BOOK_SHEET_SCHEMA = (
 )
 
 
-def scan_books(spark: SparkSession, sheet: DataFrame) -> DataFrame:
+SHEET_MAX_ROWS = 1_000_000  # a spreadsheet holds at most 1,048,576 rows
+
+
+def scan_books(spark: SparkSession, sheet: DataFrame, rows_per_page: int = SHEET_MAX_ROWS) -> DataFrame:
     """S5 round trip: book sheets with 3 title rows and a header, read back skipping
     them, columns renamed by position (P6).
 
-    An entity's entries are spread over ``pages`` (hash buckets) so that one hot
-    entity never lands in one task or one file; every page is a sheet of its own
-    with its title rows.
+    An entity's entries are spread over ``ceil(rows / rows_per_page)`` pages
+    (hash buckets), each a sheet of its own with its title rows: a hot entity is
+    split over many tasks and files, a small one stays one file.  The per-entity
+    row counts are one partial aggregate (one row per entity).
     """
     cols = ["date", "trans_type", "num", "posting", "name", "memo", "account", "split", "amount"]
-    nb = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    body = sheet.select(
-        "entity", F.pmod(F.xxhash64(*cols), F.lit(nb)).alias("page"), F.lit(0).alias("ord"), *cols
+    sizes = sheet.groupBy("entity").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_page))).cast("long").alias("pages")
+    )
+    body = sheet.join(sizes, "entity").select(
+        "entity", F.pmod(F.xxhash64(*cols), F.col("pages")).alias("page"), F.lit(0).alias("ord"), *cols
     )
     titles = [
         ["Transaction List by Date"] + [None] * 8,
