@@ -47,8 +47,14 @@ def sources_dim(spark: SparkSession, names=GATEWAYS) -> DataFrame:
 
 
 def sources_available(spark: SparkSession, led: DataFrame) -> DataFrame:
-    """Known gateways that are present in the ledger."""
-    return sources_dim(spark).intersect(led.select("source"))
+    """Known gateways that are present in the ledger (set intersection).
+
+    The ledger side is reduced to its distinct sources first (a partial
+    aggregate per task, so only a few rows are shuffled), then matched against
+    the fixed gateway dimension (broadcast, a handful of rows).
+    """
+    present = led.select("source").distinct()
+    return present.join(F.broadcast(sources_dim(spark)), "source", "inner")
 
 
 def distinct_status(led: DataFrame) -> DataFrame:

@@ -110,9 +110,11 @@ def _line_no(label: Column) -> Column:
 def statements_from_books(books: DataFrame) -> DataFrame:
     """Binding B3: one P&L statement per entity from its book entries.
 
-    One aggregate by (entity, account) over the books, a second tiny one by
-    entity over that; the lines are emitted with ``inline`` (no join, no cross
-    product: a line exists only where an aggregate row exists).
+    One pass over the books: an aggregate by (entity, account); section totals
+    are windows by entity over that small aggregate (at most 18 rows per
+    entity); every line is emitted by a single ``inline`` — leaf lines from each
+    account row, section lines from the entity's first row.  No join, no cross
+    product, and the books are read once.
     """
     out_amt = F.when(F.col("amount") < 0, -F.col("amount"))
     inc_amt = F.when(F.col("trans_type").isin(*REVENUE_TYPES) & (F.col("amount") > 0), F.col("amount"))
@@ -120,24 +122,16 @@ def statements_from_books(books: DataFrame) -> DataFrame:
         F.sum(out_amt).cast(MONEY_SUM).alias("spent"),
         F.sum(inc_amt).cast(MONEY_SUM).alias("income"),
     )
-    leaf_rows = F.array(
-        F.struct(F.col("split").alias("label"), F.col("spent").alias("value")),
-        F.struct(
-            F.when(F.col("split").isin(*SUB_TOTALLED), F.concat(F.lit("Total for "), F.col("split"))).alias("label"),
-            F.col("spent").alias("value"),
-        ),
-    )
-    leaves = (
-        acc.where(F.col("spent").isNotNull() & F.col("split").isin(*(COGS_ACCOUNTS + EXPENSE_ACCOUNTS)))
-        .select(F.col("entity").alias("statement_id"), F.inline(leaf_rows))
-        .where(F.col("label").isNotNull())
-    )
     z = F.lit(0).cast(MONEY_SUM)
-    tot = acc.groupBy("entity").agg(
-        F.coalesce(F.sum("income"), z).alias("inc"),
-        F.coalesce(F.sum(F.when(F.col("split").isin(*COGS_ACCOUNTS), F.col("spent"))), z).alias("cogs"),
-        F.coalesce(F.sum(F.when(F.col("split").isin(*EXPENSE_ACCOUNTS), F.col("spent"))), z).alias("exp"),
+    w = Window.partitionBy("entity")
+    acc = acc.select(
+        "entity", "split", "spent",
+        F.coalesce(F.sum("income").over(w), z).alias("inc"),
+        F.coalesce(F.sum(F.when(F.col("split").isin(*COGS_ACCOUNTS), F.col("spent"))).over(w), z).alias("cogs"),
+        F.coalesce(F.sum(F.when(F.col("split").isin(*EXPENSE_ACCOUNTS), F.col("spent"))).over(w), z).alias("exp"),
+        (F.row_number().over(w.orderBy("split")) == 1).alias("first"),
     )
+    is_leaf = F.col("spent").isNotNull() & F.col("split").isin(*(COGS_ACCOUNTS + EXPENSE_ACCOUNTS))
     gp = F.col("inc") - F.col("cogs")
     noi = gp - F.col("exp")
     null = F.lit(None).cast(MONEY_SUM)
@@ -147,9 +141,15 @@ def statements_from_books(books: DataFrame) -> DataFrame:
         ("Gross Profit", gp), ("Expenses", null), ("Total for Expenses", F.col("exp")),
         ("Net Operating Income", noi), ("Net Income", noi),
     ]
-    sec_rows = F.array(*[F.struct(F.lit(lbl).alias("label"), v.cast(MONEY_SUM).alias("value")) for lbl, v in section])
-    sections = tot.select(F.col("entity").alias("statement_id"), F.inline(sec_rows))
-    lines = leaves.unionByName(sections)
+    rows = F.array(
+        F.struct(F.when(is_leaf, F.col("split")).alias("label"), F.col("spent").alias("value")),
+        F.struct(
+            F.when(is_leaf & F.col("split").isin(*SUB_TOTALLED), F.concat(F.lit("Total for "), F.col("split"))).alias("label"),
+            F.col("spent").alias("value"),
+        ),
+        *[F.struct(F.when(F.col("first"), F.lit(lbl)).alias("label"), v.cast(MONEY_SUM).alias("value")) for lbl, v in section],
+    )
+    lines = acc.select(F.col("entity").alias("statement_id"), F.inline(rows)).where(F.col("label").isNotNull())
     return lines.select(
         F.col("statement_id").cast("int").alias("statement_id"),
         _line_no(F.col("label")).cast("int").alias("line_no"),
