@@ -117,6 +117,13 @@ def monthly_pl_no_books(v: DataFrame) -> DataFrame:
     )
 
 
+def unless_empty(windowed: DataFrame, whole: DataFrame) -> DataFrame:
+    """The windowed table, or the whole-window one when the user's range holds no
+    rows (the dashboard's fallback).  The test is a LIMIT-1 job on the driver
+    side; only its boolean comes back."""
+    return whole if windowed.isEmpty() else windowed
+
+
 def cogs_by_supplier_account(cogs: DataFrame) -> DataFrame:
     """By (supplier, account): total and count; blank names dropped; by |total| desc."""
     return (

@@ -167,10 +167,12 @@ def _first_match(pattern: str, *, non_null: bool = False) -> Column:
 
 
 def statement_metrics(stmts: DataFrame) -> DataFrame:
-    """M1: five headline values per statement; first match wins, even if null."""
-    return stmts.groupBy("statement_id").agg(
+    """M1 (+ A12): five headline values per statement; first match wins, even if
+    null; and the expense KPI |total expenses| with null as 0."""
+    m = stmts.groupBy("statement_id").agg(
         *[_first_match("(?i)" + pat).alias(name) for name, pat in METRIC_PATTERNS.items()]
     )
+    return m.withColumn("expenses_kpi", F.abs(F.coalesce("total_expenses", F.lit(0).cast(MONEY_SUM))))
 
 
 def _sum_labels(labels: list[str]) -> Column:

@@ -457,6 +457,10 @@ FROM v GROUP BY month, source"""
         "SELECT month, CAST(qb_revenue AS DOUBLE) AS qb_revenue, CAST(qb_expenses AS DOUBLE) AS qb_expenses, "
         "CAST(qb_revenue - qb_expenses AS DOUBLE) AS qb_net FROM bm"
     )
+    Q["books_monthly_window"] = _w(
+        "SELECT month, CAST(qb_revenue AS DOUBLE) AS qb_revenue, CAST(qb_expenses AS DOUBLE) AS qb_expenses, "
+        f"CAST(qb_revenue - qb_expenses AS DOUBLE) AS qb_net FROM bm WHERE month {USER}"
+    )
     Q["cogs_by_supplier_account"] = _w(
         f"SELECT name, split, {_dbl('sum(amount)', 'total')}, count(*) AS n_orders FROM cogs GROUP BY name, split "
         "HAVING name IS NOT NULL AND name <> ''"
@@ -544,7 +548,9 @@ FROM pla, plc, plm"""
 
     # 2.6 statements
     Q["statement_metrics"] = _w(
-        "SELECT statement_id, " + ", ".join(f"CAST({k} AS DOUBLE) AS {k}" for k in S.METRIC_PATTERNS) + " FROM sm", stmt=True
+        "SELECT statement_id, " + ", ".join(f"CAST({k} AS DOUBLE) AS {k}" for k in S.METRIC_PATTERNS)
+        + ", CAST(abs(coalesce(total_expenses, 0)) AS DOUBLE) AS expenses_kpi FROM sm",
+        stmt=True,
     )
     Q["cost_metrics"] = _w(
         "SELECT statement_id, "

@@ -277,6 +277,12 @@ def _books_monthly(c: Context) -> DataFrame:
     return c.books_monthly
 
 
+@query("books_monthly_window")
+def _books_monthly_window(c: Context) -> DataFrame:
+    """A5 + F15: monthly books in the month-grain window, all months if none fall in it."""
+    return B.unless_empty(L.month_window(c.books_monthly, c.p), c.books_monthly)
+
+
 @query("cogs_by_supplier_account")
 def _cbsa(c: Context) -> DataFrame:
     return B.cogs_by_supplier_account(c.cogs)
@@ -284,17 +290,17 @@ def _cbsa(c: Context) -> DataFrame:
 
 @query("cogs_by_supplier")
 def _cbs(c: Context) -> DataFrame:
-    return B.cogs_by_supplier(c.cogs_filtered)
+    return B.cogs_by_supplier(B.unless_empty(c.cogs_filtered, c.cogs))
 
 
 @query("cogs_monthly")
 def _cm(c: Context) -> DataFrame:
-    return B.cogs_monthly(c.cogs_filtered)
+    return B.cogs_monthly(B.unless_empty(c.cogs_filtered, c.cogs))
 
 
 @query("cogs_detail")
 def _cd(c: Context) -> DataFrame:
-    return B.cogs_detail(c.cogs_filtered)
+    return B.cogs_detail(B.unless_empty(c.cogs_filtered, c.cogs))
 
 
 @query("yoy_monthly")

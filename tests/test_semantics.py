@@ -161,3 +161,45 @@ def test_combine_rows_without_cross_join(spark):
     out = B.combine_rows(a, b)
     assert out.collect()[0].asDict() == {"x": 1, "y": None}
     assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_window_falls_back_to_whole_table(spark):
+    from finledger.plans.context import Context
+    from finledger.plans import registry as RG
+
+    from .conftest import SF001
+
+    sid = Context(spark, SF001).statement_metrics.orderBy("statement_id").first().statement_id
+    far = DEFAULT.with_(date_from=date(1990, 1, 1), date_to=date(1990, 12, 31), statement_id=sid)
+    whole = RG.run(spark, SF001, "cogs_by_supplier").count()
+    assert whole > 0
+    ctx = Context(spark, SF001, far)
+    assert RG.finish(RG.QUERIES["cogs_by_supplier"](ctx)).count() == whole
+    assert RG.finish(RG.QUERIES["books_monthly_window"](ctx)).count() == ctx.books_monthly.count()
+    # KPI fallbacks to the statement when the window holds no month
+    k = RG.finish(RG.QUERIES["kpi_pl"](ctx)).collect()[0]
+    st = ctx.statement_metrics.where(f"statement_id = {far.statement_id}").collect()[0]
+    assert k.revenue == float(st.gross_revenue) and k.net_income == float(st.net_income)
+    assert k.cogs == abs(float(st.cogs)) and k.profit == 0.0
+
+
+def test_money_text_round_trip_property(spark):
+    """Any amount written as wallet money text (sign, optional '$'/'$ ',
+    thousands separators) parses back to the same decimal."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    amounts = st.decimals(min_value=Decimal("-99999999.99"), max_value=Decimal("99999999.99"), places=2,
+                          allow_nan=False, allow_infinity=False)
+
+    @settings(max_examples=1, deadline=None)
+    @given(st.lists(amounts, min_size=50, max_size=200))
+    def check(values):
+        rows = [(v, i) for i, v in enumerate(values)]
+        df = spark.createDataFrame(rows, "v decimal(18,2), k long")
+        from finledger.sources.bindings import _money_text
+
+        out = df.select("v", X.clean_amount(_money_text(F.col("v"), F.col("k"))).alias("back")).collect()
+        assert all(r.v == r.back for r in out)
+
+    check()
