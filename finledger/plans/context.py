@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import books as B
 from ..operators import ledger as L
@@ -151,11 +152,18 @@ class Context:
         (``spark.checkpoint.dir``) and read back: a lost executor does not force
         a recomputation from the raw inputs, later scans get column pruning and
         filter pushdown, and every later plan starts from a short scan instead
-        of the whole extract -> ledger lineage.
+        of the whole extract -> ledger lineage.  The normalised union (what the
+        dashboard caches per extract) is partitioned by source, so each
+        gateway's rows are a pruned read of it.
         """
+        from ..params import GATEWAYS
         from ..sources.files import stage_table
 
-        for k in ("ledger", "books", "failures", "statements", "vendors"):
+        u = stage_table(self.spark, self.union, "union", partition_by="source")
+        self.__dict__["union"] = u
+        self.__dict__["norm_parts"] = [u.where(F.col("source") == g) for g in GATEWAYS]
+        self.__dict__["ledger"] = stage_table(self.spark, L.ledger([u], self.p), "ledger")
+        for k in ("books", "failures", "statements", "vendors"):
             self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
         return self
 

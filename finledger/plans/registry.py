@@ -95,7 +95,7 @@ def _cache(c: Context) -> DataFrame:
 
 @query("load_report")
 def _load_report(c: Context) -> DataFrame:
-    return FS.load_report(c.spark, c.union, {"books": c.books_sheet})
+    return FS.load_report(c.spark, c.union, {"books": c.books})
 
 
 @query("export_csv")
