@@ -44,6 +44,8 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
+        # local bench: the shared checkpoint folder is a scratch one
+        .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoint"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

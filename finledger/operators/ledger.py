@@ -26,8 +26,16 @@ def ledger(parts: list[DataFrame], p: Params) -> DataFrame:
     return with_calendar(u.where(X.in_range("date", p.fiscal_from, p.fiscal_to)))
 
 
-def revenue(led: DataFrame) -> DataFrame:
-    """revenue subset V."""
+def revenue(led: DataFrame, refunds_from: str = "revenue") -> DataFrame:
+    """revenue subset V.
+
+    By default a refund whose balance impact is ``debit`` (every card refund)
+    is outside V, as in the dashboard; ``refunds_from="ledger"`` keeps refunds
+    regardless of their impact so that they reach the refund figures.
+    """
+    if refunds_from == "ledger":
+        cond = X.currency_ok() & X.successful() & X.not_conversion() & (X.credit_or_null() | X.is_refund())
+        return led.where(cond)
     return led.where(X.revenue_predicate())
 
 

@@ -69,7 +69,7 @@ class Context:
 
     @cached_property
     def revenue(self) -> DataFrame:
-        return L.revenue(self.ledger)
+        return L.revenue(self.ledger, self.p.refunds_from)
 
     @cached_property
     def filtered(self) -> DataFrame:
@@ -77,7 +77,7 @@ class Context:
 
     @cached_property
     def filtered_revenue(self) -> DataFrame:
-        return L.revenue(self.filtered)
+        return L.revenue(self.filtered, self.p.refunds_from)
 
     @cached_property
     def failures(self) -> DataFrame:

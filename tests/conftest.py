@@ -29,6 +29,8 @@ def make_spark():
         .config("spark.driver.memory", "8g")
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
+        # tests run without a cluster: the shared checkpoint folder is a scratch one
+        .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoint"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -203,3 +203,17 @@ def test_money_text_round_trip_property(spark):
         assert all(r.v == r.back for r in out)
 
     check()
+
+
+def test_refunds_from_ledger_counts_card_refunds(spark):
+    led = _ledger_rows(spark, [
+        ("s", date(2000, 3, 1), "100", "settled", "sale", "card", "usd", False, "credit", None),
+        ("r", date(2000, 3, 2), "40", "settled", "credit", "card", "usd", True, "debit", None),
+        ("d", date(2000, 3, 3), "-5", "completed", "x", "wallet_a", "usd", False, "debit", None),
+    ])
+    default = R.kpi_overview(L.revenue(led)).collect()[0]
+    assert (default.gross, default.refunds) == (100.0, 0.0)  # card refunds never reach V
+    wide = R.kpi_overview(L.revenue(led, refunds_from="ledger")).collect()[0]
+    assert (wide.gross, wide.refunds, wide.net) == (100.0, 40.0, 60.0)
+    # a non-refund debit row stays out either way
+    assert sorted(r[0] for r in L.revenue(led, refunds_from="ledger").select("transaction_id").collect()) == ["r", "s"]
