@@ -33,7 +33,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("finledger-bench")
-        .config("spark.sql.shuffle.partitions", str(max(cpus * 2, 8)))
+        .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -78,6 +78,8 @@ def main() -> None:
                 "queries": times,
                 "sf": float(sf.group(1)) if sf else sf_dir,
                 "cpus": cpus,
+                "etl_sec": times["etl_ledger_books"],
+                "queries_sec": round(total - times["etl_ledger_books"], 3),
                 "n_queries": len(RG.QUERIES),
             }
         )
