@@ -95,8 +95,13 @@ def credit_or_null(c: str | Column = "balance_impact") -> Column:
 
 
 def revenue_predicate() -> Column:
-    """Revenue subset V of the ledger (USD, successful, not conversion, credit/null)."""
-    return currency_ok() & successful() & not_conversion() & credit_or_null()
+    """Revenue subset V of the ledger (USD, successful, not conversion, credit/null).
+
+    Used as a row filter, where a null conjunct drops the row just as false does,
+    so the status test is the bare ``IN`` (pushed to the Parquet scan) rather
+    than its null-safe form.
+    """
+    return currency_ok() & F.col("status").isin(*SUCCESSFUL_STATUSES) & not_conversion() & credit_or_null()
 
 
 def is_sale() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..params import GATEWAYS, Params
+from ..params import GATEWAYS, SUCCESSFUL_STATUSES, Params
 from .normalize import union_extracts
 
 
@@ -34,7 +34,10 @@ def revenue(led: DataFrame, refunds_from: str = "revenue") -> DataFrame:
     regardless of their impact so that they reach the refund figures.
     """
     if refunds_from == "ledger":
-        cond = X.currency_ok() & X.successful() & X.not_conversion() & (X.credit_or_null() | X.is_refund())
+        cond = (
+            X.currency_ok() & F.col("status").isin(*SUCCESSFUL_STATUSES) & X.not_conversion()
+            & (X.credit_or_null() | X.is_refund())
+        )
         return led.where(cond)
     return led.where(X.revenue_predicate())
 

@@ -162,7 +162,10 @@ class Context:
         u = stage_table(self.spark, self.union, "union", partition_by="source")
         self.__dict__["union"] = u
         self.__dict__["norm_parts"] = [u.where(F.col("source") == g) for g in GATEWAYS]
-        self.__dict__["ledger"] = stage_table(self.spark, L.ledger([u], self.p), "ledger")
+        # sorted by date inside each file: date-range filters skip row groups
+        self.__dict__["ledger"] = stage_table(
+            self.spark, L.ledger([u], self.p).sortWithinPartitions("date"), "ledger"
+        )
         for k in ("books", "failures", "statements", "vendors"):
             self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
         return self

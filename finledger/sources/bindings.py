@@ -71,9 +71,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*cols) if cols else df
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        try:
+            cores = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+        except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
+            pass
     return df
 
 
