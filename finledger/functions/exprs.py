@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,10 +131,6 @@ def in_range(c: str | Column, lo, hi) -> Column:
     return col(c).between(F.lit(lo), F.lit(hi))
 
 
-def isin_list(c: str | Column, values: Iterable[str]) -> Column:
-    return col(c).isin(*list(values))
-
-
 # --- X2 / X3 / X4 / X5 / X10: text forms -----------------------------------
 def fmt_currency(c: str | Column) -> Column:
     """``$1,235`` / ``-$1,235``, ``N/A`` when null (half-even like R)."""

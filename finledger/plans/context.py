@@ -1,8 +1,8 @@
 """Shared lazy stages of one run: extracts -> ledger -> V, books -> statements.
 
 Each property is a DataFrame built once per context (Python-side memo of the
-*plan*, not of data).  ``persist_shared()`` may be called when several queries
-run together so that the ledger and books are computed once (what the
+*plan*, not of data).  ``materialize_shared()`` may be called when several
+queries run together so that the ledger and books are computed once (what the
 dashboard's memoised reactives did); nothing is ever collected to the driver.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,9 +168,3 @@ class Context:
         for k in ("books", "failures", "statements", "vendors"):
             self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
         return self
-
-    def persist_shared(self) -> "Context":
-        """Keep the stages most queries share (memory, spilling to disk)."""
-        for df in (self.ledger, self.books):
-            df.persist(StorageLevel.MEMORY_AND_DISK)
-        return self

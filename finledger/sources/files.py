@@ -7,7 +7,6 @@ scratch folder made and registered.  Each write takes a new sub-folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,7 +16,6 @@ from pyspark.sql import types as T
 
 from ..params import GATEWAYS
 from ..schema import MONEY_SUM
-from .bindings import ACCOUNTS  # noqa: F401  (re-exported for sheet users)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -252,7 +250,3 @@ def read_back_typed(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     """Read an export back and restore the column types by name."""
     raw = spark.read.option("header", True).option("nullValue", "NA").csv(path)
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -112,3 +112,18 @@ def test_scan_books_splits_entities_over_pages(spark):
     assert direct.select(*cols).exceptAll(back.select(*cols)).count() == 0
     base = FS.shared_dir(spark)
     assert len(glob.glob(f"{base}/finledger/books-*/entity=*/page=1")) > 0
+
+
+@pytest.mark.parametrize(
+    "name", ["monthly_revenue", "net_reconciliation", "books_monthly", "cogs_by_supplier_account", "statement_metrics",
+             "failure_histogram", "refund_rates", "vendor_totals"],
+)
+def test_aggregates_combine_map_side(spark, name):
+    """A hot key (a third of all rows) must only grow a partial aggregate: every
+    shuffle feeding an aggregate is preceded by its partial (map-side) form."""
+    plan = RG.run(spark, SF001, name)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan
+    assert "partial_" in plan or "HashAggregate(keys=" in plan
+    for block in plan.split("Exchange hashpartitioning")[1:]:
+        nxt = block.split("\n", 2)[1] if "\n" in block else ""
+        assert "Aggregate" in nxt or "Project" in nxt or "Filter" in nxt or "Generate" in nxt or "Union" in nxt
