@@ -354,6 +354,7 @@ FROM o2 WHERE gateway = 'checkout'"""
     Q["scan_books"] = _w(f"SELECT {BOOK_COLS} FROM bkw")
     Q["cache_roundtrip"] = _w(f"SELECT {LEDGER_ALL} FROM led")
     Q["stream_ingest"] = _w(f"SELECT {LEDGER_ALL} FROM led")
+    Q["load_extracts"] = _w(f"SELECT {LEDGER_ALL} FROM led WHERE source <> 'wallet_b'")
     Q["load_report"] = _w(
         f"""SELECT d.source, CASE WHEN coalesce(c.n, 0) > 0 THEN 'loaded' ELSE 'missing' END AS status,
   coalesce(c.n, 0) AS rows

@@ -511,3 +511,23 @@ def _stream_ingest(c: Context) -> DataFrame:
     table = f"{root}/_ledger"
     SI.ingest_folders(c.spark, folders, table, f"{root}/_checkpoint", c.p)
     return FS.read_ledger_cache(c.spark, table, LEDGER)
+
+
+@query("load_extracts")
+def _load_extracts(c: Context) -> DataFrame:
+    """S1-S3 + S7 from files: a catalogue whose second wallet file is absent loads
+    the three present extracts into the ledger and reports the fourth as missing."""
+    from ..sources import catalogue as CAT
+
+    root = FS.new_path(c.spark, "extracts")
+    FS.write_extract_csv(c.card_raw, f"{root}/card", keep_blanks=True)
+    FS.write_extract_csv(c.wallet_a_raw, f"{root}/wallet_a", keep_blanks=False)
+    FS.write_extract_csv(c.checkout_raw, f"{root}/checkout", keep_blanks=True)
+    entries = [
+        CAT.Entry(CARD, "card", f"{root}/card"),
+        CAT.Entry(WALLET_A, "wallet", f"{root}/wallet_a"),
+        CAT.Entry(WALLET_B, "wallet", f"{root}/wallet_b"),  # never delivered
+        CAT.Entry(CHECKOUT, "checkout", f"{root}/checkout"),
+    ]
+    ledger, _report = CAT.load_extracts(c.spark, entries, c.p)
+    return ledger

@@ -127,3 +127,18 @@ def test_aggregates_combine_map_side(spark, name):
     for block in plan.split("Exchange hashpartitioning")[1:]:
         nxt = block.split("\n", 2)[1] if "\n" in block else ""
         assert "Aggregate" in nxt or "Project" in nxt or "Filter" in nxt or "Generate" in nxt or "Union" in nxt
+
+
+def test_catalogue_reports_missing_extract(spark):
+    from finledger.sources import catalogue as CAT
+    from finledger.sources import files as FS
+
+    ctx = Context(spark, SF001)
+    root = FS.new_path(spark, "cat-test")
+    FS.write_extract_csv(ctx.card_raw, f"{root}/card", keep_blanks=True)
+    entries = [CAT.Entry("card", "card", f"{root}/card"), CAT.Entry("wallet_b", "wallet", f"{root}/nothing")]
+    led, report = CAT.load_extracts(spark, entries, ctx.p)
+    rep = {r.source: (r.status, r.rows) for r in report.collect()}
+    assert rep["wallet_b"] == ("missing", 0)
+    assert rep["card"] == ("loaded", ctx.norm_parts[0].count())
+    assert led.count() == ctx.ledger.where("source = 'card'").count()
