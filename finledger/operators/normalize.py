@@ -11,6 +11,7 @@ from ..functions import exprs as X
 from ..params import CARD, CHECKOUT
 from ..schema import LEDGER_BASE, MONEY
 
+# The ten card-export columns read by name.
 CARD_COLUMNS = [
     "Transaction ID", "Transaction Type", "Transaction Status", "Created Datetime",
     "Amount Submitted For Settlement", "Customer Email", "Customer First Name",

@@ -63,10 +63,9 @@ COST_LABELS = {
     "warranty": ["Warranty Expense"],
 }
 FEE_LABELS = COST_LABELS["processing_fees_total"]
-COGS_LINE_PATTERN = (
-    "(?i)^5[0-9]{4}|^Cost of Goods|^Packaging|^Shipping|^Freight|^Commissions|^Warranty"
-    "|^Bank Charge|^PayPal Fee|^Credit Card Fee"
-)
+# Labels of COGS lines (any case).
+COGS_LINE_PATTERN = "(?i)^5[0-9]{4}|^Cost of Goods|^Packaging|^Shipping|^Freight|^Commissions|^Warranty|^Bank Charge|^PayPal Fee|^Credit Card Fee"  # noqa: E501
+# Key rows always shown in the statement display.
 KEY_ROWS = [
     "Total for Income", "Total for Cost of Goods Sold", "Gross Profit",
     "Total for Expenses", "Net Operating Income", "Net Income",
