@@ -290,7 +290,7 @@ KPI_VOL = f"""
 kv AS (SELECT count(CASE WHEN NOT is_refund THEN 1 END) AS total_txn,
   count(CASE WHEN source = {_q(P.failure_gateway)} THEN 1 END) AS gw_rev_n,
   sum(CASE WHEN {SALE} THEN amount END) AS sale_sum, count(CASE WHEN {SALE} THEN 1 END) AS sale_n FROM vf),
-kf AS (SELECT coalesce(sum(n), 0) AS failed_txn FROM fails WHERE month IS NOT NULL AND month {USER}),
+kf AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS failed_txn FROM fails WHERE month IS NOT NULL AND month {USER}),
 kvol AS (SELECT total_txn, failed_txn,
   CASE WHEN failed_txn + gw_rev_n > 0 THEN {_pct('failed_txn', 'failed_txn + gw_rev_n')} ELSE 0.0 END AS failure_rate,
   CASE WHEN sale_n > 0 THEN CAST(sale_sum AS DOUBLE) / sale_n END AS avg_value FROM kv, kf),
@@ -478,7 +478,7 @@ FROM v GROUP BY month, source"""
     Q["yoy_monthly"] = _w(
         f"""SELECT month_num, CAST(prev AS DOUBLE) AS revenue_prev, CAST(cur AS DOUBLE) AS revenue_cur,
   CASE WHEN prev > 0 THEN {_pct('cur - prev', 'prev')} END AS yoy_pct
-FROM (SELECT month(date) AS month_num,
+FROM (SELECT CAST(month(date) AS INTEGER) AS month_num,
   sum(CASE WHEN yr = {P.yoy_prev_year} THEN amount END) AS prev,
   sum(CASE WHEN yr = {P.yoy_year} THEN amount END) AS cur
   FROM vf WHERE {SALE} GROUP BY 1)"""
