@@ -15,6 +15,10 @@ from finledger.plans.context import Context
 
 from .conftest import SF001
 
+SPARK_TO_DUCK = {
+    "IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+    "DateType()": "DATE", "BooleanType()": "BOOLEAN",
+}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
@@ -49,10 +53,12 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     s_rows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(E.oracle_sql()[name])
-    d_cols = [c[0] for c in cur.description]
-    d_rows = cur.fetchall()
+    rel = duck.sql(E.oracle_sql()[name])
+    d_cols, d_types = rel.columns, [str(t) for t in rel.types]
+    d_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    s_types = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    assert s_types == dict(zip(d_cols, d_types))
     assert _rows(df.columns, s_rows) == _rows(d_cols, d_rows)
 
 
