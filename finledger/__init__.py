@@ -1,0 +1,20 @@
+"""finledger: payment-ledger and bookkeeping analytics as Spark DataFrame functions.
+
+Typical use::
+
+    from finledger import Context, Params, run, QUERIES
+
+    ctx = Context(spark, "/data/tables", Params(sources=("card", "checkout")))
+    ctx.materialize_shared()                 # optional: stage shared tables once
+    run(spark, "/data/tables", "monthly_revenue", ctx=ctx).show()
+
+Operators live in ``finledger.operators`` and take DataFrames, so they also
+apply to ledgers loaded from files (``finledger.sources.catalogue``) or streams
+(``finledger.streaming.ingest``).
+"""
+
+from .params import DEFAULT, GATEWAYS, Params
+from .plans.context import Context
+from .plans.registry import QUERIES, run
+
+__all__ = ["Context", "DEFAULT", "GATEWAYS", "Params", "QUERIES", "run"]
