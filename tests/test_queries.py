@@ -148,3 +148,16 @@ def test_catalogue_reports_missing_extract(spark):
     assert rep["wallet_b"] == ("missing", 0)
     assert rep["card"] == ("loaded", ctx.norm_parts[0].count())
     assert led.count() == ctx.ledger.where("source = 'card'").count()
+
+
+def test_outgoing_export_round_trip(spark):
+    """S8, second export: the outgoing table written as CSV (nulls as NA) reads back equal."""
+    from finledger.operators import explore as EX
+    from finledger.sources import files as FS
+
+    ctx = Context(spark, SF001)
+    out = RG.finish(EX.outgoing(ctx.ledger, ctx.p))
+    path = FS.export_csv(out, FS.new_path(spark, "outgoing"))
+    back = FS.read_back_typed(spark, path, out.schema)
+    assert out.count() == back.count() > 0
+    assert out.exceptAll(back).count() == 0 and back.exceptAll(out).count() == 0
