@@ -11,6 +11,7 @@ from ..functions import exprs as X
 from ..params import Params
 from ..schema import MONEY_SUM
 from .ledger import in_range_col
+from .revenue import pp_monthly
 
 # Transaction types counted as revenue / expense in the monthly books.
 REVENUE_TYPES = ("Sales Receipt", "Invoice", "Payment", "Deposit")
@@ -64,29 +65,13 @@ def books_monthly(books: DataFrame) -> DataFrame:
     )
 
 
-def pp_monthly(v: DataFrame) -> DataFrame:
-    """A3 + A4 in one pass over V: sale gross/fees and refunds by month.
-
-    ``n_sale``/``n_refund`` keep the reference's row sets: a month appears in the
-    sale table only if it has a sale, in the refund table only if it has a refund.
-    """
-    sale, ref = X.is_sale(), X.is_refund()
-    return v.groupBy("month").agg(
-        X.sum0(F.when(sale, F.col("amount"))).alias("pp_gross"),
-        X.sum0(F.when(sale, F.coalesce("fee", _zero()))).alias("pp_fees"),
-        X.sum0(F.when(ref, F.abs("amount"))).alias("pp_refunds"),
-        F.count(F.when(sale, 1)).alias("n_sale"),
-        F.count(F.when(ref, 1)).alias("n_refund"),
-    ).where((F.col("n_sale") > 0) | (F.col("n_refund") > 0))
-
-
-def monthly_pl(v: DataFrame, books_m: DataFrame) -> DataFrame:
+def monthly_pl(cube: DataFrame, books_m: DataFrame) -> DataFrame:
     """J1 + A6: processors ⟗ books by month, null -> 0; net income ignores fees.
 
-    Both sides are monthly aggregates (tens of rows); AQE turns the full outer
-    join into a broadcast once it sees their size.
+    Both sides are monthly aggregates (tens of rows), the processor side
+    re-aggregated from the daily revenue cube.
     """
-    pp = pp_monthly(v)
+    pp = pp_monthly(cube)
     j = pp.join(books_m, "month", "full_outer")
     z = lambda c: F.coalesce(F.col(c), _zero())
     gross_rev = z("pp_gross") - z("pp_refunds")
@@ -100,9 +85,9 @@ def monthly_pl(v: DataFrame, books_m: DataFrame) -> DataFrame:
     )
 
 
-def monthly_pl_no_books(v: DataFrame) -> DataFrame:
+def monthly_pl_no_books(cube: DataFrame) -> DataFrame:
     """Left join of sale months to refund months when no books exist."""
-    pp = pp_monthly(v)
+    pp = pp_monthly(cube)
     sales = pp.where(F.col("n_sale") > 0).select("month", "pp_gross", "pp_fees")
     refunds = pp.where(F.col("n_refund") > 0).select("month", "pp_refunds")
     j = sales.join(refunds, "month", "left")

@@ -13,15 +13,16 @@ from ..functions import exprs as X
 from ..params import GATEWAYS, Params
 from .books import combine_rows
 from .ledger import in_range_col, month_window, sources_dim
+from .revenue import monthly_sales
 
 
-def kpi_volume(vf: DataFrame, failures: DataFrame, p: Params) -> DataFrame:
+def kpi_volume(cube_f: DataFrame, failures: DataFrame, p: Params) -> DataFrame:
     """Successful count, failed count, failure rate %, average sale."""
-    a = vf.agg(
-        F.count(F.when(~X.is_refund(), 1)).alias("total_txn"),
-        F.count(F.when(F.col("source") == p.failure_gateway, 1)).alias("gw_rev_n"),
-        F.sum(F.when(X.is_sale(), F.col("amount"))).alias("sale_sum"),
-        F.count(F.when(X.is_sale(), 1)).alias("sale_n"),
+    a = cube_f.agg(
+        F.coalesce(F.sum("n_nonrefund"), F.lit(0)).cast("long").alias("total_txn"),
+        F.coalesce(F.sum(F.when(F.col("source") == p.failure_gateway, F.col("n"))), F.lit(0)).cast("long").alias("gw_rev_n"),
+        F.sum("gross").alias("sale_sum"),
+        F.coalesce(F.sum("n_sale"), F.lit(0)).cast("long").alias("sale_n"),
     )
     b = month_window(failures.where(F.col("month").isNotNull()), p).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("failed_txn")
@@ -67,11 +68,14 @@ def refund_rates(spark: SparkSession, led: DataFrame, p: Params) -> DataFrame:
     ).orderBy(F.desc("rate"), "source")
 
 
-def yoy_monthly(vf: DataFrame, p: Params) -> DataFrame:
+def yoy_monthly(cube_f: DataFrame, p: Params) -> DataFrame:
     """Sale revenue by calendar month for two years side by side, and the change %."""
-    base = vf.where(X.is_sale()).groupBy(F.month("date").alias("month_num")).pivot(
-        "yr", [p.yoy_prev_year, p.yoy_year]
-    ).agg(F.sum("amount"))
+    base = (
+        cube_f.where(F.col("n_sale") > 0)
+        .groupBy(F.month("date").alias("month_num"))
+        .pivot("yr", [p.yoy_prev_year, p.yoy_year])
+        .agg(F.sum("gross"))
+    )
     prev, cur = F.col(f"`{p.yoy_prev_year}`"), F.col(f"`{p.yoy_year}`")
     return base.select(
         "month_num",
@@ -81,9 +85,9 @@ def yoy_monthly(vf: DataFrame, p: Params) -> DataFrame:
     ).orderBy("month_num")
 
 
-def q1_yoy(v: DataFrame) -> DataFrame:
+def q1_yoy(cube: DataFrame) -> DataFrame:
     """A10: first-quarter sale revenue per year and its change against the year before."""
-    q1 = v.where(X.is_sale() & (F.month("date") <= 3)).groupBy("yr").agg(F.sum("amount").alias("q1"))
+    q1 = cube.where((F.col("n_sale") > 0) & (F.month("date") <= 3)).groupBy("yr").agg(F.sum("gross").alias("q1"))
     prev = F.lag("q1", 1).over(Window.orderBy("yr"))
     prev_year = F.lag("yr", 1).over(Window.orderBy("yr"))
     return q1.select(
@@ -94,14 +98,10 @@ def q1_yoy(v: DataFrame) -> DataFrame:
     )
 
 
-def _monthly_sales(vf: DataFrame, *keys: str) -> DataFrame:
-    return vf.where(X.is_sale()).groupBy(*keys, "month").agg(F.sum("amount").alias("revenue"))
-
-
-def mom_change(vf: DataFrame, by_source: bool = False) -> DataFrame:
+def mom_change(cube_f: DataFrame, by_source: bool = False) -> DataFrame:
     """W1 + W2: month-over-month % against the previous *row*; first row dropped."""
     keys = ("source",) if by_source else ()
-    m = _monthly_sales(vf, *keys)
+    m = monthly_sales(cube_f, *keys)
     w = Window.partitionBy(*keys).orderBy("month")
     frame = w.rowsBetween(-2, 0)
     prev = F.lag("revenue", 1).over(w)
@@ -116,9 +116,9 @@ def mom_change(vf: DataFrame, by_source: bool = False) -> DataFrame:
     return out.where(F.col("mom_pct").isNotNull())
 
 
-def rolling3(vf: DataFrame) -> DataFrame:
+def rolling3(cube_f: DataFrame) -> DataFrame:
     """Trailing three-month mean of sale revenue, null until three rows exist."""
-    m = _monthly_sales(vf)
+    m = monthly_sales(cube_f)
     frame = Window.orderBy("month").rowsBetween(-2, 0)
     return m.select(
         "month",
@@ -127,12 +127,11 @@ def rolling3(vf: DataFrame) -> DataFrame:
     )
 
 
-def gateway_growth(vf: DataFrame, p: Params) -> DataFrame:
+def gateway_growth(cube_f: DataFrame, p: Params) -> DataFrame:
     """One gateway's sale revenue and count by month."""
     return (
-        vf.where((F.col("source") == p.growth_gateway) & X.is_sale())
-        .groupBy("month")
-        .agg(X.dbl(F.sum("amount")).alias("revenue"), F.count(F.lit(1)).alias("n"))
+        monthly_sales(cube_f.where(F.col("source") == p.growth_gateway))
+        .select("month", X.dbl("revenue").alias("revenue"), "n")
         .orderBy("month")
     )
 

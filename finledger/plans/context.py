@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import books as B
 from ..operators import ledger as L
 from ..operators import normalize as N
+from ..operators import revenue as R
 from ..operators import statements as S
 from ..params import CARD, CHECKOUT, DEFAULT, FAILURE_STATUSES, WALLET_A, WALLET_B, Params
 from ..sources import bindings as BIND
@@ -78,6 +79,15 @@ class Context:
     def filtered_revenue(self) -> DataFrame:
         return L.revenue(self.filtered, self.p.refunds_from)
 
+    @cached_property
+    def revenue_cube(self) -> DataFrame:
+        """V reduced to one row per (date, source): every revenue output reads this."""
+        return R.daily_cube(self.revenue)
+
+    @cached_property
+    def filtered_cube(self) -> DataFrame:
+        return L.by_range_and_sources(self.revenue_cube, self.p)
+
     @cached_property
     def failures(self) -> DataFrame:
         return N.failure_histogram(self.card_raw, FAILURE_STATUSES)
@@ -105,7 +115,7 @@ class Context:
 
     @cached_property
     def monthly_pl(self) -> DataFrame:
-        return B.monthly_pl(self.revenue, self.books_monthly)
+        return B.monthly_pl(self.revenue_cube, self.books_monthly)
 
     @cached_property
     def monthly_pl_filtered(self) -> DataFrame:
@@ -130,7 +140,7 @@ class Context:
     # stages that depend only on the input tables and the fiscal window
     SHARED = (
         "order_facts", "card_raw", "wallet_a_raw", "wallet_b_raw", "checkout_raw", "norm_parts", "union",
-        "ledger", "revenue", "failures", "books_sheet", "books", "cogs", "books_monthly",
+        "ledger", "revenue", "revenue_cube", "failures", "books_sheet", "books", "cogs", "books_monthly",
         "monthly_pl", "statements", "statement_metrics", "vendor_sheet", "vendors",
     )
 
@@ -165,6 +175,6 @@ class Context:
         self.__dict__["ledger"] = stage_table(
             self.spark, L.ledger([u], self.p).sortWithinPartitions("date"), "ledger"
         )
-        for k in ("books", "failures", "statements", "vendors"):
+        for k in ("revenue_cube", "books", "failures", "statements", "vendors"):
             self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
         return self

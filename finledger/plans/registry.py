@@ -243,7 +243,7 @@ def _monthly_pl(c: Context) -> DataFrame:
 
 @query("monthly_pl_no_books")
 def _monthly_pl_nb(c: Context) -> DataFrame:
-    return B.monthly_pl_no_books(c.revenue)
+    return B.monthly_pl_no_books(c.revenue_cube)
 
 
 @query("source_semi")
@@ -259,17 +259,17 @@ def _failures(c: Context) -> DataFrame:
 
 @query("monthly_revenue")
 def _monthly_revenue(c: Context) -> DataFrame:
-    return R.monthly_revenue(c.revenue)
+    return R.monthly_revenue(c.revenue_cube)
 
 
 @query("monthly_sales_fees")
 def _msf(c: Context) -> DataFrame:
-    return R.monthly_sales_fees(c.revenue)
+    return R.monthly_sales_fees(c.revenue_cube)
 
 
 @query("monthly_refunds")
 def _mr(c: Context) -> DataFrame:
-    return R.monthly_refunds(c.revenue)
+    return R.monthly_refunds(c.revenue_cube)
 
 
 @query("books_monthly")
@@ -305,62 +305,62 @@ def _cd(c: Context) -> DataFrame:
 
 @query("yoy_monthly")
 def _yoy(c: Context) -> DataFrame:
-    return I.yoy_monthly(c.filtered_revenue, c.p)
+    return I.yoy_monthly(c.filtered_cube, c.p)
 
 
 @query("q1_yoy")
 def _q1(c: Context) -> DataFrame:
-    return I.q1_yoy(c.revenue)
+    return I.q1_yoy(c.revenue_cube)
 
 
 @query("kpi_overview")
 def _kpi_overview(c: Context) -> DataFrame:
-    return R.kpi_overview(c.filtered_revenue)
+    return R.kpi_overview(c.filtered_cube)
 
 
 @query("monthly_trend")
 def _trend(c: Context) -> DataFrame:
-    return R.monthly_trend(c.filtered_revenue)
+    return R.monthly_trend(c.filtered_cube)
 
 
 @query("source_share")
 def _share(c: Context) -> DataFrame:
-    return R.source_share(c.filtered_revenue)
+    return R.source_share(c.filtered_cube)
 
 
 @query("net_month_source")
 def _nms(c: Context) -> DataFrame:
-    return R.net_month_source(c.filtered_revenue)
+    return R.net_month_source(c.filtered_cube)
 
 
 @query("refunds_month_source")
 def _rms(c: Context) -> DataFrame:
-    return R.refunds_month_source(c.filtered_revenue)
+    return R.refunds_month_source(c.filtered_cube)
 
 
 @query("refunds_by_source")
 def _rbs(c: Context) -> DataFrame:
-    return R.refunds_by_source(c.filtered_revenue)
+    return R.refunds_by_source(c.filtered_cube)
 
 
 @query("net_reconciliation")
 def _recon(c: Context) -> DataFrame:
-    return R.net_reconciliation(c.filtered_revenue)
+    return R.net_reconciliation(c.filtered_cube)
 
 
 @query("kpi_volume")
 def _kpi_volume(c: Context) -> DataFrame:
-    return I.kpi_volume(c.filtered_revenue, c.failures, c.p)
+    return I.kpi_volume(c.filtered_cube, c.failures, c.p)
 
 
 @query("count_month_source")
 def _cms(c: Context) -> DataFrame:
-    return R.count_month_source(c.filtered_revenue)
+    return R.count_month_source(c.filtered_cube)
 
 
 @query("avg_by_source")
 def _abs(c: Context) -> DataFrame:
-    return R.avg_by_source(c.filtered_revenue)
+    return R.avg_by_source(c.filtered_cube)
 
 
 @query("failures_window")
@@ -391,12 +391,12 @@ def _rates(c: Context) -> DataFrame:
 @query("kpi_alerts")
 def _alerts(c: Context) -> DataFrame:
     rates = I.refund_rates(c.spark, c.ledger, c.p)
-    return I.kpi_alerts(c.monthly_pl_filtered, c.cogs_filtered, _metrics_one(c), rates, I.q1_yoy(c.revenue), c.p)
+    return I.kpi_alerts(c.monthly_pl_filtered, c.cogs_filtered, _metrics_one(c), rates, I.q1_yoy(c.revenue_cube), c.p)
 
 
 @query("gateway_growth")
 def _growth(c: Context) -> DataFrame:
-    return I.gateway_growth(c.filtered_revenue, c.p)
+    return I.gateway_growth(c.filtered_cube, c.p)
 
 
 @query("distinct_status")
@@ -438,17 +438,17 @@ def _wfl(c: Context) -> DataFrame:
 # --- 2.7 windows --------------------------------------------------------------------------
 @query("mom_change")
 def _mom(c: Context) -> DataFrame:
-    return I.mom_change(c.filtered_revenue)
+    return I.mom_change(c.filtered_cube)
 
 
 @query("mom_change_by_source")
 def _mom_src(c: Context) -> DataFrame:
-    return I.mom_change(c.filtered_revenue, by_source=True)
+    return I.mom_change(c.filtered_cube, by_source=True)
 
 
 @query("rolling3")
 def _roll(c: Context) -> DataFrame:
-    return I.rolling3(c.filtered_revenue)
+    return I.rolling3(c.filtered_cube)
 
 
 # --- 2.8 top-k -------------------------------------------------------------------------------
@@ -476,8 +476,8 @@ def _avail(c: Context) -> DataFrame:
 # --- 2.10 text forms ---------------------------------------------------------------------------
 @query("fmt_kpis")
 def _fmt(c: Context) -> DataFrame:
-    k = R.kpi_overview(c.filtered_revenue)
-    v = I.kpi_volume(c.filtered_revenue, c.failures, c.p)
+    k = R.kpi_overview(c.filtered_cube)
+    v = I.kpi_volume(c.filtered_cube, c.failures, c.p)
     row = B.combine_rows(k, v)
     return row.select(
         X.fmt_currency("gross").alias("gross_text"),

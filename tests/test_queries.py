@@ -72,14 +72,14 @@ def test_invariants(spark):
     ctx = Context(spark, SF001)
     from finledger.operators import revenue as R
 
-    by_src = R.net_month_source(ctx.filtered_revenue).groupBy("month").sum("net").collect()
-    trend = {r.month: r.net for r in R.monthly_trend(ctx.filtered_revenue).collect()}
+    by_src = R.net_month_source(ctx.filtered_cube).groupBy("month").sum("net").collect()
+    trend = {r.month: r.net for r in R.monthly_trend(ctx.filtered_cube).collect()}
     for r in by_src:
         assert abs(r[1] - trend[r.month]) < 1e-6
-    for r in R.net_reconciliation(ctx.filtered_revenue).collect():
+    for r in R.net_reconciliation(ctx.filtered_cube).collect():
         assert abs(r.net - (r.sales - r.refunds - r.fees)) < 1e-6
-    ov = R.kpi_overview(ctx.filtered_revenue).collect()[0]
-    assert abs(sum(r.total for r in R.source_share(ctx.filtered_revenue).collect()) - ov.gross) < 1e-6
+    ov = R.kpi_overview(ctx.filtered_cube).collect()[0]
+    assert abs(sum(r.total for r in R.source_share(ctx.filtered_cube).collect()) - ov.gross) < 1e-6
     # waterfall: the relative steps after gross profit close to the stated net income when
     # the statement's net income equals gross profit - total expenses
     wf = RG.run(spark, SF001, "waterfall_levels").where("step = 13").collect()

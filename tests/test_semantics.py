@@ -59,7 +59,7 @@ def test_revenue_predicate_null_rules(spark):
 
 def test_sum_over_no_rows_is_zero(spark):
     led = empty(spark, LEDGER)
-    row = R.kpi_overview(led).collect()[0]
+    row = R.kpi_overview(R.daily_cube(led)).collect()[0]
     assert (row.gross, row.refunds, row.net) == (0.0, 0.0, 0.0)
 
 
@@ -69,7 +69,7 @@ def test_monthly_revenue_net_rule(spark):
         ("b", date(2000, 3, 2), "-5", "completed", "x", "w", "usd", False, None, None),    # negative sale: max(a,0)=0
         ("c", date(2000, 3, 3), "-30", "completed", "Payment Refund", "w", "usd", True, None, None),
     ])
-    r = R.monthly_revenue(led).collect()[0]
+    r = R.monthly_revenue(R.daily_cube(led)).collect()[0]
     assert (r.gross, r.refunds, r.net, r.tx_count) == (100.0, 30.0, 70.0, 3)
 
 
@@ -134,9 +134,9 @@ def test_rolling_mean_needs_three_rows(spark):
     led = _ledger_rows(spark, [
         (str(i), date(2000, m, 1), str(10 * m), "completed", "x", "w", "usd", False, "credit", None) for i, m in enumerate([1, 2, 3, 4])
     ])
-    rows = sorted(I.rolling3(led).collect())
+    rows = sorted(I.rolling3(R.daily_cube(led)).collect())
     assert [r.roll3 for r in rows] == [None, None, 20.0, 30.0]
-    mom = sorted(I.mom_change(led).collect())
+    mom = sorted(I.mom_change(R.daily_cube(led)).collect())
     assert [r.mom_pct for r in mom] == [100.0, 50.0, 33.3]
 
 
@@ -211,9 +211,9 @@ def test_refunds_from_ledger_counts_card_refunds(spark):
         ("r", date(2000, 3, 2), "40", "settled", "credit", "card", "usd", True, "debit", None),
         ("d", date(2000, 3, 3), "-5", "completed", "x", "wallet_a", "usd", False, "debit", None),
     ])
-    default = R.kpi_overview(L.revenue(led)).collect()[0]
+    default = R.kpi_overview(R.daily_cube(L.revenue(led))).collect()[0]
     assert (default.gross, default.refunds) == (100.0, 0.0)  # card refunds never reach V
-    wide = R.kpi_overview(L.revenue(led, refunds_from="ledger")).collect()[0]
+    wide = R.kpi_overview(R.daily_cube(L.revenue(led, refunds_from="ledger"))).collect()[0]
     assert (wide.gross, wide.refunds, wide.net) == (100.0, 40.0, 60.0)
     # a non-refund debit row stays out either way
     assert sorted(r[0] for r in L.revenue(led, refunds_from="ledger").select("transaction_id").collect()) == ["r", "s"]
