@@ -148,10 +148,13 @@ class Context:
         """Same inputs, other parameters; stages that do not depend on the
         changed parameters are shared, not rebuilt."""
         ctx = Context(self.spark, self.sf_dir, self.p.with_(**changes))
-        if not {"fiscal_from", "fiscal_to"} & set(changes):
-            for k in self.SHARED:
-                if k in self.__dict__:
-                    ctx.__dict__[k] = self.__dict__[k]
+        if {"fiscal_from", "fiscal_to"} & set(changes):
+            return ctx
+        # the revenue subset and what is built on it depend on refunds_from
+        stale = {"revenue", "revenue_cube", "monthly_pl"} if "refunds_from" in changes else set()
+        for k in self.SHARED:
+            if k in self.__dict__ and k not in stale:
+                ctx.__dict__[k] = self.__dict__[k]
         return ctx
 
     def materialize_shared(self) -> "Context":

@@ -217,3 +217,19 @@ def test_refunds_from_ledger_counts_card_refunds(spark):
     assert (wide.gross, wide.refunds, wide.net) == (100.0, 40.0, 60.0)
     # a non-refund debit row stays out either way
     assert sorted(r[0] for r in L.revenue(led, refunds_from="ledger").select("transaction_id").collect()) == ["r", "s"]
+
+
+def test_derive_rebuilds_what_a_parameter_changes(spark):
+    from finledger.plans.context import Context
+
+    from .conftest import SF001
+
+    base = Context(spark, SF001)
+    _ = base.ledger, base.revenue, base.revenue_cube, base.monthly_pl, base.books
+    d = base.derive(sources=("card",))
+    assert d.ledger is base.ledger and d.revenue_cube is base.revenue_cube and d.books is base.books
+    w = base.derive(refunds_from="ledger")
+    assert w.ledger is base.ledger and w.revenue is not base.revenue and w.revenue_cube is not base.revenue_cube
+    assert w.revenue.count() >= base.revenue.count()
+    f = base.derive(fiscal_from=date(2001, 1, 1))
+    assert f.ledger is not base.ledger
