@@ -233,3 +233,30 @@ def test_derive_rebuilds_what_a_parameter_changes(spark):
     assert w.revenue.count() >= base.revenue.count()
     f = base.derive(fiscal_from=date(2001, 1, 1))
     assert f.ledger is not base.ledger
+
+
+def test_cache_is_preferred_when_present(spark):
+    """S6 policy: an existing cache wins over a rebuild (no staleness check)."""
+    from finledger.schema import LEDGER_BASE
+    from finledger.sources import files as FS
+
+    led = _ledger_rows(spark, [("a", date(2000, 3, 1), "10", "completed", "x", "w", "usd", False, "credit", None)])
+    path = FS.new_path(spark, "cache-test")
+    first = FS.load_or_build(spark, path, lambda: led)
+    assert first.count() == 1
+    other = _ledger_rows(spark, [("b", date(2000, 4, 1), "5", "completed", "x", "w", "usd", False, "credit", None)] * 3)
+    again = FS.load_or_build(spark, path, lambda: other)  # cache present: not rebuilt
+    assert [r.transaction_id for r in again.collect()] == ["a"]
+    rebuilt = FS.load_or_build(spark, FS.new_path(spark, "cache-test"), lambda: other, prefer_cache=True)
+    assert rebuilt.count() == 3 and set(rebuilt.columns) >= {f.name for f in LEDGER_BASE.fields}
+
+
+def test_explore_search_sort_and_page(spark):
+    from finledger.operators import explore as EX
+
+    df = spark.createDataFrame(
+        [(i, f"name{i}", "paid" if i % 2 else "failed", float(i)) for i in range(10)], "id int, name string, status string, v double"
+    )
+    page = EX.explore(df, contains={"status": "PAI"}, search="name", ranges={"v": (2, None)},
+                      order_by=[("v", True)], limit=2, offset=1, tie_break="id")
+    assert [r.id for r in page.collect()] == [7, 5]
