@@ -162,7 +162,8 @@ def _first_match(pattern: str, *, non_null: bool = False) -> Column:
     cond = X.rlike_or_false("label", pattern)
     if non_null:
         cond = cond & F.col("value").isNotNull()
-    return F.min(F.when(cond, F.struct("line_no", "value")))["value"]
+    # rows that do not match get a null ordering, which min_by skips
+    return F.min_by(F.col("value"), F.when(cond, F.col("line_no")))
 
 
 def statement_metrics(stmts: DataFrame) -> DataFrame:
