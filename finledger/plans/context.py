@@ -178,6 +178,8 @@ class Context:
         self.__dict__["ledger"] = stage_table(
             self.spark, L.ledger([u], self.p).sortWithinPartitions("date"), "ledger"
         )
-        for k in ("revenue_cube", "books", "failures", "statements", "vendors"):
+        # books (line-item sized) by month: date-range filters prune whole months
+        self.__dict__["books"] = stage_table(self.spark, self.books, "books", partition_by="month")
+        for k in ("revenue_cube", "failures", "statements", "vendors"):
             self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
         return self
