@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..params import Params
 from ..schema import MONEY_SUM
-from .ledger import in_range_col
+from .ledger import user_range
 from .revenue import pp_monthly
 
 # Transaction types counted as revenue / expense in the monthly books.
@@ -54,10 +54,7 @@ def cogs_entries(books: DataFrame) -> DataFrame:
 def in_user_range(df: DataFrame, p: Params) -> DataFrame:
     """By the user's date range.  The implied month range is added too: it
     changes no result but prunes the month partitions of a staged books table."""
-    cond = in_range_col("date", p)
-    if "month" in df.columns:
-        cond = cond & F.col("month").between(F.trunc(F.lit(p.date_from), "month"), F.lit(p.date_to))
-    return df.where(cond)
+    return df.where(user_range(df, p))
 
 
 def books_monthly(books: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
-from .ledger import in_range_col
+from .ledger import user_range
 
 
 def explore_filtered(filtered: DataFrame, p: Params) -> DataFrame:
@@ -37,7 +37,7 @@ def outgoing(led: DataFrame, p: Params) -> DataFrame:
 
     The dashboard ignores the source filter here; ``outgoing_uses_sources`` opts in.
     """
-    cond = in_range_col("date", p) & (
+    cond = user_range(led, p) & (
         (F.col("balance_impact") == "debit") | (F.col("is_refund") == True) | (F.col("amount") < 0)  # noqa: E712
     )
     if p.outgoing_uses_sources:

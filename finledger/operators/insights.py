@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..params import GATEWAYS, Params
 from .books import combine_rows
-from .ledger import in_range_col, month_window, sources_dim
+from .ledger import month_window, sources_dim, user_range
 from .revenue import monthly_sales
 
 
@@ -50,7 +50,7 @@ def refund_rates(spark: SparkSession, led: DataFrame, p: Params) -> DataFrame:
     no status and no impact filter on refunds (as the dashboard does).
     """
     base = led.where(
-        in_range_col("date", p) & F.col("source").isin(*p.sources) & X.currency_ok() & X.not_conversion()
+        user_range(led, p) & F.col("source").isin(*p.sources) & X.currency_ok() & X.not_conversion()
     )
     agg = base.groupBy("source").agg(
         F.sum(F.when(X.is_sale() & X.successful(), F.col("amount"))).alias("rev"),
@@ -141,7 +141,7 @@ def large_refunds(led: DataFrame, p: Params) -> DataFrame:
     thr = F.lit(p.large_refund_threshold).cast("decimal(18,2)")
     r = led.where(
         X.is_refund() & (F.abs("amount") >= thr) & X.currency_ok()
-        & in_range_col("date", p) & F.col("source").isin(*p.sources)
+        & user_range(led, p) & F.col("source").isin(*p.sources)
     )
     return r.select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),

@@ -44,7 +44,7 @@ def revenue(led: DataFrame, refunds_from: str = "revenue") -> DataFrame:
 
 def by_range_and_sources(df: DataFrame, p: Params, date_col: str = "date") -> DataFrame:
     """user date range and source set."""
-    return df.where(X.in_range(date_col, p.date_from, p.date_to) & F.col("source").isin(*p.sources))
+    return df.where(user_range(df, p, date_col) & F.col("source").isin(*p.sources))
 
 
 def month_window(df: DataFrame, p: Params, month_col: str = "month") -> DataFrame:
@@ -82,3 +82,13 @@ def source_semi(spark: SparkSession, led: DataFrame, names) -> DataFrame:
 def in_range_col(c: str, p: Params):
     """The user's date range as a predicate on column ``c``."""
     return X.in_range(c, p.date_from, p.date_to)
+
+
+def user_range(df: DataFrame, p: Params, date_col: str = "date"):
+    """The user's date range on ``df``; when ``df`` carries a ``month`` column the
+    implied month range is added — it changes no result, but prunes the month
+    partitions of a staged table (``PartitionFilters``)."""
+    cond = in_range_col(date_col, p)
+    if "month" in df.columns:
+        cond = cond & F.col("month").between(F.trunc(F.lit(p.date_from), "month"), F.lit(p.date_to))
+    return cond

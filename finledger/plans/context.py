@@ -174,9 +174,10 @@ class Context:
         u = stage_table(self.spark, self.union, "union", partition_by="source")
         self.__dict__["union"] = u
         self.__dict__["norm_parts"] = [u.where(F.col("source") == g) for g in GATEWAYS]
-        # sorted by date inside each file: date-range filters skip row groups
+        # by source and month (date-range filters prune whole months), sorted by
+        # date inside each file (row groups skip within a month)
         self.__dict__["ledger"] = stage_table(
-            self.spark, L.ledger([u], self.p).sortWithinPartitions("date"), "ledger"
+            self.spark, L.ledger([u], self.p).sortWithinPartitions("date"), "ledger", partition_by=["source", "month"]
         )
         # books (line-item sized) by month: date-range filters prune whole months
         self.__dict__["books"] = stage_table(self.spark, self.books, "books", partition_by="month")

@@ -46,13 +46,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base}{sep}finledger/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage_table(spark: SparkSession, df: DataFrame, name: str,
+                partition_by: str | list[str] | None = None) -> DataFrame:
     """Write a stage to the shared folder as Parquet and read it back (lineage cut).
-    ``partition_by`` (a low-cardinality column) lets later filters prune files."""
+    ``partition_by`` (low-cardinality columns) lets later filters prune files."""
     path = new_path(spark, name)
     w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(partition_by)
+        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
