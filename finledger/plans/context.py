@@ -177,10 +177,13 @@ class Context:
         # by source and month (date-range filters prune whole months), sorted by
         # date inside each file (row groups skip within a month)
         self.__dict__["ledger"] = stage_table(
-            self.spark, L.ledger([u], self.p).sortWithinPartitions("date"), "ledger", partition_by=["source", "month"]
+            self.spark, L.ledger([u], self.p), "ledger",
+            partition_by=["source", "month"], within=["date", "transaction_id"],
         )
         # books (line-item sized) by month: date-range filters prune whole months
-        self.__dict__["books"] = stage_table(self.spark, self.books, "books", partition_by="month")
+        self.__dict__["books"] = stage_table(
+            self.spark, self.books, "books", partition_by="month", within=["date", "entity", "split", "num"]
+        )
         for k in ("revenue_cube", "failures", "statements", "vendors"):
             self.__dict__[k] = stage_table(self.spark, getattr(self, k), k)
         return self

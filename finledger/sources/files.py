@@ -47,13 +47,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage_table(spark: SparkSession, df: DataFrame, name: str,
-                partition_by: str | list[str] | None = None) -> DataFrame:
+                partition_by: str | list[str] | None = None, within: list[str] | None = None) -> DataFrame:
     """Write a stage to the shared folder as Parquet and read it back (lineage cut).
-    ``partition_by`` (low-cardinality columns) lets later filters prune files."""
+
+    ``partition_by`` (low-cardinality columns) lets later filters prune files.
+    With ``within`` (finer keys) the rows are first range-partitioned on
+    ``partition_by + within``: each task writes a contiguous run of partition
+    folders (few files per folder) and a hot folder is split over several tasks
+    by the finer keys; rows are sorted by those keys inside each file.
+    """
     path = new_path(spark, name)
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    if parts and within:
+        df = df.repartitionByRange(*parts, *within).sortWithinPartitions(*parts, *within)
     w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    if parts:
+        w = w.partitionBy(*parts)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
