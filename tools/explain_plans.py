@@ -57,7 +57,7 @@ def main() -> None:
         out += ["```", ""]
         scans = re.findall(r"\(\d+\) Scan parquet[^\n]*\n(?:[^\n]+\n)*?(?=\n|\Z)", details)
         for sc in scans:
-            keep = [ln for ln in sc.splitlines() if re.match(r"(\(\d+\) Scan|Output|PushedFilters|ReadSchema|Location)", ln)]
+            keep = [ln for ln in sc.splitlines() if re.match(r"(\(\d+\) Scan|Output|PartitionFilters|PushedFilters|ReadSchema|Location)", ln)]
             out += ["    " + ln[:200] for ln in keep] + [""]
     os.makedirs("docs", exist_ok=True)
     with open("docs/PLANS.md", "w") as f:
