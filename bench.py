@@ -62,10 +62,14 @@ def main() -> None:
     ctx = Context(spark, sf_dir).materialize_shared()
     times["etl_ledger_books"] = round(time.perf_counter() - t0, 3)
 
+    failed: dict[str, str] = {}
     for name in RG.QUERIES:
         t = time.perf_counter()
-        RG.run(spark, sf_dir, name, ctx=ctx).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t, 3)
+        try:
+            RG.run(spark, sf_dir, name, ctx=ctx).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t, 3)
+        except Exception as e:  # noqa: BLE001 - record and go on: the JSON line must still be printed
+            failed[name] = str(e).splitlines()[0][:200] if str(e) else type(e).__name__
 
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     total = round(sum(times.values()), 3)
@@ -81,6 +85,7 @@ def main() -> None:
                 "etl_sec": times["etl_ledger_books"],
                 "queries_sec": round(total - times["etl_ledger_books"], 3),
                 "n_queries": len(RG.QUERIES),
+                "failed": failed,
             }
         )
     )
