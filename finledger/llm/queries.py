@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, sharding, tokens, toxicity
+from . import ann, decontaminate, jaccard, linededup, packing, pii, quality, sharding, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, "finledger").withColumnRenamed("__n", "n_entities")
+
+
 def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.clean_pages(table(spark, sf_dir, "pages"))
 
@@ -25,6 +30,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -34,16 +47,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), ["doc_id"], 8)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_surrogates": op1_surrogates,
     "op2_site_lines": op2_site_lines,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_stable_projections": op5_stable_projections,
+    "op6_weak_labels": op6_weak_labels,
     "op7_bm25_packing": op7_bm25_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
