@@ -1,14 +1,54 @@
-"""Corpus preparation: the stages in order, each writing its documents for the next."""
+"""Corpus preparation: the stages in order, each writing its documents for the next.
+
+toxicity -> line removal -> Jaccard join -> benchmark decontamination -> packing.
+Every stage but the last returns the columns of ``documents``; where a stage
+cuts a text, ``n_chars`` follows.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from finledger.llm import decontaminate, jaccard, linededup, packing, toxicity
 from finledger.llm.common import shared_dir, table
 
-STAGES: list = []
+
+def _measured(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(linededup.clean_documents(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", cut_benchmark),
+    ("packing", pack),
+]
 ORACLE_SQL = None  # compression lengths, retrieval order and tokens have no SQL form
 
 

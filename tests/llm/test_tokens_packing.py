@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from finledger.llm import packing as P
 from finledger.llm import queries as Q
@@ -17,14 +18,18 @@ ODD = ["", None, "<|endoftext|> a<|startoftext|>b <|x", "ΑΣ ΣΑ it's I'LL 12
 
 def test_words_equal_the_library_on_plain_and_odd_texts():
     tok = K.load(K.tokenizer_file())
-    words = K.Words(tok, K.whole_tokens(K.tokenizer_file()), list)
+    words = K.Words(tok, K.whole_tokens(K.tokenizer_file()), lambda ids: np.asarray(ids, "<u2").tobytes(), pa.binary())
     rng = random.Random(5)
     plain = [chr(c) for c in range(0x21, 0x2100) if K.PLAIN.fullmatch(chr(c))]
     texts = [t for t in ODD if t] + ["".join(rng.choice(plain) if rng.random() < 0.8 else " " for _ in range(60)) for _ in range(3000)]
     texts += ["".join(chr(rng.randrange(32, 127)) for _ in range(80)) for _ in range(1000)]
     texts += [f"a{chr(c)}1{chr(c)}!{chr(c)}" for c in range(0x21, 0xD7FF) if K.PLAIN.fullmatch(chr(c))]
-    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert [i for w in words.of_text(t) for i in w] == e.ids, repr(t)
+    texts += ["a,b. c.. d!. (e). f., g", "x. y, z.\nEnd. ", " lead", "", "É. Ü, ﬁ."]
+    parts = [b"".join(found[x:y].to_pylist()) for found, ends in words.of_texts(texts)
+             for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    for t, e, got in zip(texts, tok.encode_batch(texts, add_special_tokens=False), parts, strict=True):
+        want = np.asarray(e.ids, "<u2").tobytes()
+        assert b"".join(words.of_text(t)) == want == got, repr(t)
 
 
 def test_query_counts_equal_the_library(spark):
