@@ -26,18 +26,19 @@ def to_money(c: str | Column) -> Column:
 
 # --- X6 -------------------------------------------------------------------
 def parse_us_date(c: str | Column) -> Column:
-    """``%m/%d/%Y``: takes both ``1/5/2026`` and ``01/05/2026``; null if bad."""
-    return F.try_to_date(col(c), "M/d/yyyy")
+    """Leading ``%m/%d/%Y`` date (``1/5/2026`` or ``01/05/2026``); what follows, such as a time, is ignored; null if bad."""
+    return F.try_to_date(F.regexp_extract(col(c), r"^\s*(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy")
 
 
 def parse_us_date_prefix(c: str | Column) -> Column:
-    """First 10 characters as ``%m/%d/%Y`` (time of day discarded)."""
-    return parse_us_date(F.substring(col(c), 1, 10))
+    """The date at the start of a US date and time."""
+    return parse_us_date(c)
 
 
 def parse_iso_date_prefix(c: str | Column) -> Column:
-    """First 10 characters as ISO ``yyyy-MM-dd``."""
-    return F.try_to_date(F.substring(col(c), 1, 10), "yyyy-MM-dd")
+    """Leading ISO date, padded or not, with ``-`` or ``/``; what follows is ignored; null if bad."""
+    found = F.regexp_extract(col(c), r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2})", 1)
+    return F.try_to_date(F.regexp_replace(found, "/", "-"), "yyyy-M-d")
 
 
 # --- X7 -------------------------------------------------------------------
@@ -51,9 +52,9 @@ def yearmon(c: str | Column) -> Column:
 
 # --- X8 -------------------------------------------------------------------
 def blank_to_null(c: str | Column) -> Column:
-    """A reader that turns blank cells into NA (the wallet reader does)."""
-    c = col(c)
-    return F.when(F.trim(c) == "", F.lit(None).cast("string")).otherwise(c)
+    """Trimmed cell; blank cells and the text ``NA`` are null (the wallet reader does both)."""
+    c = F.trim(col(c))
+    return F.when(~c.isin("", "NA"), c)
 
 
 def full_name(first: str | Column, last: str | Column) -> Column:
@@ -158,11 +159,11 @@ def fmt_money2(c: str | Column, null_text: str = "") -> Column:
 
 
 def fmt_pct(c: str | Column, signed: bool = False) -> Column:
-    """``12.5%`` (or ``+12.5%``), ``N/A`` when null."""
+    """``12.5%`` (or ``+12.5%``), ``60%`` for a whole number, ``N/A`` when null."""
     c = col(c)
     sign = F.when(c >= 0, F.lit("+")).otherwise(F.lit("")) if signed else F.lit("")
     return F.when(c.isNull(), F.lit("N/A")).otherwise(
-        F.concat(sign, c.cast("string"), F.lit("%"))
+        F.concat(sign, F.regexp_replace(c.cast("string"), r"\.0$", ""), F.lit("%"))
     )
 
 

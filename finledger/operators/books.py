@@ -105,9 +105,11 @@ def monthly_pl_no_books(cube: DataFrame) -> DataFrame:
 
 def unless_empty(windowed: DataFrame, whole: DataFrame) -> DataFrame:
     """The windowed table, or the whole-window one when the user's range holds no
-    rows (the dashboard's fallback).  The test is a LIMIT-1 job on the driver
-    side; only its boolean comes back."""
-    return whole if windowed.isEmpty() else windowed
+    rows (the dashboard's fallback).  Part of the plan, no job runs while it is
+    built: the whole table is anti-joined with at most one row of the window."""
+    some = windowed.limit(1).select(F.lit(True).alias("__some"))
+    rest = whole.withColumn("__some", F.lit(True)).join(F.broadcast(some), "__some", "left_anti").drop("__some")
+    return windowed.unionByName(rest)
 
 
 def cogs_by_supplier_account(cogs: DataFrame) -> DataFrame:

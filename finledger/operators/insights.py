@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..params import GATEWAYS, Params
+from ..params import Params
 from .books import combine_rows
 from .ledger import month_window, sources_dim, user_range
 from .revenue import monthly_sales
@@ -57,7 +57,7 @@ def refund_rates(spark: SparkSession, led: DataFrame, p: Params) -> DataFrame:
         F.sum(F.when(X.is_refund(), F.abs("amount"))).alias("refunds"),
     )
     z = F.lit(0).cast("decimal(18,2)")
-    j = sources_dim(spark, GATEWAYS).join(F.broadcast(agg), "source", "left")
+    j = sources_dim(spark, p.gateways).join(F.broadcast(agg), "source", "left")
     rev, ref = F.coalesce("rev", z), F.coalesce("refunds", z)
     rate = F.when(rev > 0, X.pct(ref, rev)).otherwise(F.lit(0.0))
     return j.select(
@@ -68,6 +68,11 @@ def refund_rates(spark: SparkSession, led: DataFrame, p: Params) -> DataFrame:
     ).orderBy(F.desc("rate"), "source")
 
 
+def refund_rate_chart(rates: DataFrame) -> DataFrame:
+    """A28, chart form: gateways with revenue, highest rate first."""
+    return rates.where(F.col("rev") > 0).orderBy(F.desc("rate"), "source")
+
+
 def yoy_monthly(cube_f: DataFrame, p: Params) -> DataFrame:
     """Sale revenue by calendar month for two years side by side, and the change %."""
     base = (

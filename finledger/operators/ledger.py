@@ -57,7 +57,7 @@ def sources_dim(spark: SparkSession, names=GATEWAYS) -> DataFrame:
     return spark.createDataFrame([(s,) for s in names], "source string")
 
 
-def sources_available(spark: SparkSession, led: DataFrame) -> DataFrame:
+def sources_available(spark: SparkSession, led: DataFrame, names=GATEWAYS) -> DataFrame:
     """Known gateways that are present in the ledger (set intersection).
 
     The ledger side is reduced to its distinct sources first (a partial
@@ -65,7 +65,7 @@ def sources_available(spark: SparkSession, led: DataFrame) -> DataFrame:
     the fixed gateway dimension (broadcast, a handful of rows).
     """
     present = led.select("source").distinct()
-    return present.join(F.broadcast(sources_dim(spark)), "source", "inner")
+    return present.join(F.broadcast(sources_dim(spark, names)), "source", "inner")
 
 
 def distinct_status(led: DataFrame) -> DataFrame:

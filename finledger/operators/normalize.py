@@ -65,7 +65,7 @@ def normalize_card(raw: DataFrame, source: str = CARD) -> DataFrame:
     status = F.lower(F.col("`Transaction Status`"))
     kept = raw.where(amt_txt.isNotNull() & (amt_txt != "") & (status == "settled"))
     amount = X.to_money(amt_txt)
-    refund = F.coalesce(typ == "credit", F.lit(False))
+    refund = typ == "credit"  # a row without type is neither sale nor refund
     return _ledger_select(
         kept,
         transaction_id=F.col("`Transaction ID`"),

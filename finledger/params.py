@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import date
 from decimal import Decimal
 
@@ -38,6 +38,8 @@ class Params:
     fiscal_to: date = date(2001, 12, 31)
     date_from: date = date(2000, 2, 15)
     date_to: date = date(2001, 12, 31)
+    # every gateway that has extracts, and those the user selected
+    gateways: tuple[str, ...] = GATEWAYS
     sources: tuple[str, ...] = GATEWAYS
     # gateway whose failures are tracked, whose refund rate is the alert KPI,
     # and whose growth is charted
@@ -60,7 +62,6 @@ class Params:
     refunds_from: str = "revenue"
     # the outgoing table ignores the source filter unless this is set
     outgoing_uses_sources: bool = False
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

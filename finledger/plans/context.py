@@ -168,12 +168,11 @@ class Context:
         dashboard caches per extract) is partitioned by source, so each
         gateway's rows are a pruned read of it.
         """
-        from ..params import GATEWAYS
         from ..sources.files import stage_table
 
         u = stage_table(self.spark, self.union, "union", partition_by="source")
         self.__dict__["union"] = u
-        self.__dict__["norm_parts"] = [u.where(F.col("source") == g) for g in GATEWAYS]
+        self.__dict__["norm_parts"] = [u.where(F.col("source") == g) for g in self.p.gateways]
         # by source and month (date-range filters prune whole months), sorted by
         # date inside each file (row groups skip within a month)
         self.__dict__["ledger"] = stage_table(

@@ -616,7 +616,7 @@ mw AS (SELECT {{keys}}month, revenue, lag(revenue) OVER (w) AS prev,
     Q["fmt_kpis"] = _with(KPI_VOL.strip()) + (
         f"""SELECT {_fmt_currency('gross')} AS gross_text, {_fmt_currency('refunds')} AS refunds_text,
   {_fmt_currency('net')} AS net_text, format('{{:,}}', total_txn) AS total_txn_text,
-  format('{{:,}}', failed_txn) AS failed_txn_text, CAST(failure_rate AS VARCHAR) || '%' AS failure_rate_text,
+  format('{{:,}}', failed_txn) AS failed_txn_text, regexp_replace(CAST(failure_rate AS VARCHAR), '\\.0$', '') || '%' AS failure_rate_text,
   {_fmt_currency('avg_value')} AS avg_value_text
 FROM kov, kvol"""
     )

@@ -95,7 +95,7 @@ def _cache(c: Context) -> DataFrame:
 
 @query("load_report")
 def _load_report(c: Context) -> DataFrame:
-    return FS.load_report(c.spark, c.union, {"books": c.books})
+    return FS.load_report(c.spark, c.union, {"books": c.books}, c.p.gateways)
 
 
 @query("export_csv")
@@ -305,7 +305,7 @@ def _cd(c: Context) -> DataFrame:
 
 @query("yoy_monthly")
 def _yoy(c: Context) -> DataFrame:
-    return I.yoy_monthly(c.filtered_cube, c.p)
+    return I.yoy_monthly(B.unless_empty(c.filtered_cube, c.revenue_cube), c.p)
 
 
 @query("q1_yoy")
@@ -470,7 +470,7 @@ def _union(c: Context) -> DataFrame:
 
 @query("sources_available")
 def _avail(c: Context) -> DataFrame:
-    return L.sources_available(c.spark, c.ledger)
+    return L.sources_available(c.spark, c.ledger, c.p.gateways)
 
 
 # --- 2.10 text forms ---------------------------------------------------------------------------

@@ -63,21 +63,10 @@ BOOK_TYPES = {
 CARRIER_WORD = {0: "Northern Freight ", 1: "Metro Express "}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread: bool = False) -> DataFrame:
-    """Scan with column pruning.  ``spread`` (fact tables only): when the scan
-    yields fewer splits than the cluster has cores — a file written as one row
-    group — deal its rows round-robin over the cores; a large input already has
-    thousands of splits and is left alone (no shuffle)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Scan with column pruning; splits follow ``spark.sql.files.maxPartitionBytes`` at every size."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    df = df.select(*cols) if cols else df
-    if spread:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-        except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
-            pass
-    return df
+    return df.select(*cols) if cols else df
 
 
 def _case(expr: Column, mapping: dict, default=None) -> Column:
@@ -226,7 +215,7 @@ def books_sheet(spark: SparkSession, sf_dir: str, date_from=None, date_to=None)
     li = read_table(
         spark, sf_dir, "lineitem",
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
-        "l_extendedprice", "l_shipdate", spread=True,
+        "l_extendedprice", "l_shipdate",
     )
     if date_from is not None:
         li = li.where(F.col("l_shipdate") >= F.lit(date_from.isoformat()).cast("timestamp_ntz"))

@@ -1,10 +1,11 @@
 """Tolerant load of a catalogue of extract files (S1-S3 + S7).
 
 Each catalogue entry names a gateway, the kind of its export and a path.  A path
-that does not exist is skipped and recorded as missing (the dashboard carries on
-with what it has); the present extracts are read, normalised and unioned into
-one ledger.  The report lists every entry with its status and normalised row
-count — one ``groupBy(source).count()`` over the union, joined to the catalogue.
+that does not exist is recorded as missing, a folder without a readable file as
+empty, and the load goes on with what it has; the present extracts are read,
+normalised and unioned into one ledger.  A gateway may have any number of
+entries.  The report lists every entry with its status and normalised row count
+— one count by entry over the union, joined to the catalogue.
 """
 
 from __future__ import annotations
@@ -31,16 +32,17 @@ class Entry:
     path: str
 
 
-def read_entry(spark: SparkSession, e: Entry) -> DataFrame | None:
-    """The normalised extract, or None when its file is absent."""
+def read_entry(spark: SparkSession, e: Entry) -> DataFrame | str:
+    """The normalised extract, or why there is none: ``missing`` or ``empty``."""
     cols = N.CARD_COLUMNS if e.kind == "card" else None
     try:
         raw = FS.read_extract_csv(spark, e.path, cols, keep_blanks=KEEP_BLANKS[e.kind])
         raw.schema  # resolves the path now: a missing file surfaces here
     except AnalysisException as err:
-        if "PATH_NOT_FOUND" in str(err) or "Path does not exist" in str(err):
-            return None
-        raise
+        status = {"PATH_NOT_FOUND": "missing", "UNABLE_TO_INFER_SCHEMA": "empty"}.get(err.getCondition())
+        if status is None:
+            raise
+        return status
     if e.kind == "card":
         return N.normalize_card(raw, e.source)
     if e.kind == "wallet":
@@ -50,22 +52,20 @@ def read_entry(spark: SparkSession, e: Entry) -> DataFrame | None:
 
 def load_extracts(spark: SparkSession, entries: list[Entry], p: Params) -> tuple[DataFrame, DataFrame]:
     """(ledger of the present extracts, load report of every entry)."""
-    parts = {e.source: read_entry(spark, e) for e in entries}
-    present = [df for df in parts.values() if df is not None]
+    parts = [read_entry(spark, e) for e in entries]
+    present = [df.withColumn("entry", F.lit(i)) for i, df in enumerate(parts) if isinstance(df, DataFrame)]
     if present:
         union = N.union_extracts(present)
     else:
         from ..schema import LEDGER_BASE, empty
 
-        union = empty(spark, LEDGER_BASE)
-    counts = union.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+        union = empty(spark, LEDGER_BASE).withColumn("entry", F.lit(0))
+    counts = union.groupBy("entry").agg(F.count(F.lit(1)).alias("rows"))
     cat = spark.createDataFrame(
-        [(e.source, e.path, parts[e.source] is not None) for e in entries], "source string, path string, found boolean"
+        [(i, e.source, e.path, df if isinstance(df, str) else "loaded") for i, (e, df) in enumerate(zip(entries, parts))],
+        "entry int, source string, path string, status string",
     )
-    report = cat.join(F.broadcast(counts), "source", "left").select(
-        "source",
-        "path",
-        F.when(F.col("found"), F.lit("loaded")).otherwise(F.lit("missing")).alias("status"),
-        F.coalesce("rows", F.lit(0).cast("long")).alias("rows"),
+    report = cat.join(F.broadcast(counts), "entry", "left").select(
+        "source", "path", "status", F.coalesce("rows", F.lit(0).cast("long")).alias("rows")
     )
-    return L.ledger([union], p), report
+    return L.ledger([union.drop("entry")], p), report

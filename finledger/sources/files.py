@@ -19,15 +19,16 @@ from ..schema import MONEY_SUM
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; set one only where it is unset."""
+    """The cluster's shared checkpoint folder; a scratch one only on a local master."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         try:
             d = spark.sparkContext.getCheckpointDir()
         except Exception:  # noqa: BLE001 - no SparkContext view (Connect)
             d = None
+    if not d and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
-        # only a session without a shared folder (local tests) gets a scratch one
         d = tempfile.mkdtemp(prefix="finledger-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -73,7 +74,7 @@ def write_extract_csv(df: DataFrame, path: str, *, keep_blanks: bool) -> str:
 
     ``keep_blanks`` writes null as ``NA`` so that null and ``''`` both survive.
     """
-    w = df.write.mode("overwrite").option("header", True)
+    w = df.write.mode("overwrite").option("header", True).option("escape", '"')
     if keep_blanks:
         w = w.option("nullValue", "NA")
     w.csv(path)
@@ -85,9 +86,14 @@ def read_extract_csv(spark: SparkSession, path: str, columns: list[str] | None =
     """Header CSV, every column text, picked **by name** (never by a
     positional schema).  ``keep_blanks`` reads like ``fread`` (only ``NA`` is
     null, ``""`` stays empty); otherwise blanks become null as the wallet reader
-    makes them.  Malformed lines are kept (PERMISSIVE) rather than failing the load.
+    makes them.  Quotes are doubled inside a quoted cell and cells may hold line
+    breaks, so a file is one task; an export comes as many files.  Malformed
+    lines are kept (PERMISSIVE) rather than failing the load.
     """
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+    r = (
+        spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+        .option("escape", '"').option("multiLine", True)
+    )
     if keep_blanks:
         r = r.option("nullValue", "NA")
     df = r.csv(path)
@@ -219,12 +225,20 @@ def read_ledger_cache(spark: SparkSession, path: str, schema: T.StructType | Non
 
 
 def load_or_build(spark: SparkSession, path: str, build, prefer_cache: bool = True) -> DataFrame:
-    """Cache policy: a present cache wins (no staleness check, like the dashboard)."""
+    """Cache policy: a present cache wins (no staleness check, like the dashboard).
+
+    Only an absent path is built; any other error (permission, network, a broken
+    file) is raised and nothing is overwritten.
+    """
+    from pyspark.errors import AnalysisException
+
     from ..schema import LEDGER
 
     try:
         exists = prefer_cache and bool(spark.read.parquet(path).schema.fields)
-    except Exception:  # noqa: BLE001 - absent or unreadable cache
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         exists = False
     if not exists:
         write_ledger_cache(build(), path)
@@ -232,13 +246,14 @@ def load_or_build(spark: SparkSession, path: str, build, prefer_cache: bool = Tr
 
 
 # --- S7: load report ------------------------------------------------------------
-def load_report(spark: SparkSession, union: DataFrame, extra: dict[str, DataFrame] | None = None) -> DataFrame:
+def load_report(spark: SparkSession, union: DataFrame, extra: dict[str, DataFrame] | None = None,
+                gateways=GATEWAYS) -> DataFrame:
     """Catalogue of inputs with status and normalised row count.
 
     Counts are one ``groupBy(source).count()`` over the union, left-joined to
     the fixed catalogue (a handful of rows, broadcast).
     """
-    cat = spark.createDataFrame([(s,) for s in list(GATEWAYS) + list((extra or {}).keys())], "source string")
+    cat = spark.createDataFrame([(s,) for s in list(gateways) + list((extra or {}).keys())], "source string")
     counts = union.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     for name, df in (extra or {}).items():
         counts = counts.unionByName(df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("rows")))

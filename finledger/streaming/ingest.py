@@ -22,9 +22,10 @@ from ..functions import exprs as X
 from ..operators import ledger as L
 from ..operators import normalize as N
 from ..params import CARD, CHECKOUT, Params
+from ..sources.catalogue import KEEP_BLANKS
 
-# card and checkout exports keep blank cells as '' (only NA is null); wallets do not
-KEEP_BLANKS = {"card": True, "wallet": False, "checkout": True}
+#: a file counts however old its time stamp is: beyond any delivery
+MAX_FILE_AGE = "36500d"
 
 
 def _normaliser(kind: str, source: str) -> Callable[[DataFrame], DataFrame]:
@@ -56,6 +57,9 @@ def extract_stream(spark: SparkSession, drop_dir: str, kind: str, source: str,
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
+        .option("escape", '"')
+        .option("multiLine", True)
+        .option("maxFileAge", MAX_FILE_AGE)
     )
     if keep:
         r = r.option("nullValue", "NA")

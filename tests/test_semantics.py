@@ -90,6 +90,8 @@ def test_fmt_currency_and_pct(spark):
     got = [r[0] for r in df.select(X.fmt_currency("v")).collect()]
     assert got == ["$1,234", "-$2", "N/A"]  # half-even like R
     assert [r[0] for r in df.select(X.fmt_pct("v", signed=True)).collect()] == ["+1234.5%", "-2.5%", "N/A"]
+    whole = spark.createDataFrame([(60.0,), (0.0,), (100.5,)], "v double")
+    assert [r[0] for r in whole.select(X.fmt_pct("v")).collect()] == ["60%", "0%", "100.5%"]
 
 
 def test_default_columns_when_absent(spark):

@@ -11,7 +11,8 @@ FORBIDDEN = {
     r"\b(pandas_)?udf\s*\(": "no Python UDF: built-in functions only",
     r"\.collect\(\)|\.toPandas\(\)": "no data pulled to the driver inside an operator",
     r"\bcrossJoin\b": "no cross joins",
-    r"\.rdd\.(map|flatMap|mapPartitions|foreach)": "DataFrames, not RDD transforms",
+    r"\.rdd\b": "DataFrames, not RDD transforms, and no look at partitions while a plan is built",
+    r"\.isEmpty\(\)": "no job while a plan is built",
 }
 
 
