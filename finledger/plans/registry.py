@@ -388,6 +388,11 @@ def _rates(c: Context) -> DataFrame:
     return I.refund_rates(c.spark, c.ledger, c.p)
 
 
+@query("refund_rate_chart")
+def _rate_chart(c: Context) -> DataFrame:
+    return I.refund_rate_chart(I.refund_rates(c.spark, c.ledger, c.p))
+
+
 @query("kpi_alerts")
 def _alerts(c: Context) -> DataFrame:
     rates = I.refund_rates(c.spark, c.ledger, c.p)
@@ -531,3 +536,25 @@ def _load_extracts(c: Context) -> DataFrame:
     ]
     ledger, _report = CAT.load_extracts(c.spark, entries, c.p)
     return ledger
+
+
+@query("load_extracts_report")
+def _load_extracts_report(c: Context) -> DataFrame:
+    """Two files of the card gateway, one wallet file that never came, one line per entry."""
+    from ..sources import catalogue as CAT
+
+    root = FS.new_path(c.spark, "extracts")
+    odd = F.expr("cast(substr(`Transaction ID`, 3) as bigint) % 2 = 1")
+    FS.write_extract_csv(c.card_raw.where(odd), f"{root}/card_odd", keep_blanks=True)
+    FS.write_extract_csv(c.card_raw.where(~odd), f"{root}/card_even", keep_blanks=True)
+    FS.write_extract_csv(c.wallet_a_raw, f"{root}/wallet_a", keep_blanks=False)
+    FS.write_extract_csv(c.checkout_raw, f"{root}/checkout", keep_blanks=True)
+    entries = [
+        CAT.Entry(CARD, "card", f"{root}/card_odd"),
+        CAT.Entry(CARD, "card", f"{root}/card_even"),
+        CAT.Entry(WALLET_A, "wallet", f"{root}/wallet_a"),
+        CAT.Entry(WALLET_B, "wallet", f"{root}/wallet_b"),  # never delivered
+        CAT.Entry(CHECKOUT, "checkout", f"{root}/checkout"),
+    ]
+    _ledger, report = CAT.load_extracts(c.spark, entries, c.p)
+    return report.select("source", F.element_at(F.split("path", "/"), -1).alias("file"), "status", "rows")
