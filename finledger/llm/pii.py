@@ -33,9 +33,9 @@ from .common import staged
 ROUNDS = 4
 # fixed values: what the detector knows, one alternative for each type, most specific first
 TYPES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "aws": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"(?i:(?<=\b(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?))[A-Za-z0-9_+/\-]{8,200}",
+    "secret": r"\b(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{8,200}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -49,6 +49,14 @@ _HEX = "0123456789abcdef"
 _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщьыз"
 
 
+SECRET_NAME = r"^[^=:]*[=:]\s{0,3}[\"']?"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def entity_type(m: Column) -> Column:
     """The type of a found entity, by its shape."""
     kind = F.when(m.contains("@") & m.rlike(f"^(?:{TYPES['email']})$"), "email")
@@ -63,7 +71,7 @@ def normal(kind: Column, m: Column) -> Column:
     name = F.lower(F.regexp_replace(m, r"^\S+ ", ""))
     return (F.when(kind == "email", F.lower(m)).when(kind == "phone", F.right(digits, F.lit(10)))
             .when(kind == "card", digits).when(kind == "iban", F.regexp_replace(m, " ", ""))
-            .when(kind.isin("woman", "man"), name).otherwise(m))
+            .when(kind.isin("woman", "man"), name).when(kind == "secret", F.regexp_replace(m, SECRET_NAME, "")).otherwise(m))
 
 
 def _stream(key: str, kind: Column, norm: Column, draw: Column) -> Column:
@@ -125,29 +133,40 @@ def _name(m: Column, stream: Column, ending: str) -> Column:
 
 
 def surrogate(key: str, m: Column, kind: Column, draw: Column) -> Column:
-    norm = normal(kind, m)
-    s = _stream(key, kind, norm, draw)
+    """The entity's replacement; type, identity and keyed digits are computed once."""
+    known = F.struct(m.alias("m"), kind.alias("kind"))
+    return let(known, lambda a: let(F.struct(a["m"].alias("m"), a["kind"].alias("kind"), normal(a["kind"], a["m"]).alias("norm")), lambda b: let(
+        F.struct(b["m"].alias("m"), b["kind"].alias("kind"), b["norm"].alias("norm"), _stream(key, b["kind"], b["norm"], draw).alias("s")),
+        lambda v: _laid_over(v["m"], v["kind"], v["norm"], v["s"]))))
+
+
+def _laid_over(m: Column, kind: Column, norm: Column, s: Column) -> Column:
     never = F.lit(False)
     every = F.lit(1 << 20)
     local, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     label = F.substring_index(host, ".", 1)
     email = F.concat(_reshape(local, s, never, every), F.lit("@"),
-                     _reshape(label, F.substr(s, F.lit(129), F.lit(128)) , never, every), F.lit(".example.net"))
+                     let(F.substr(s, F.lit(129), F.lit(128)), lambda t: _reshape(label, t, never, every)), F.lit(".example.net"))
     ip = F.concat_ws(".", (_pick(s, F.lit(0), 15) + 240).cast("string"),
                      *[_pick(s, F.lit(i), 256).cast("string") for i in (1, 2, 3)])
     phone = _reshape(m, s, never, F.lit(10))
+
+    def card(v: Column) -> Column:
+        """v: digits, and the entity reshaped with its first digit kept."""
+        digits, drawn = v["digits"], v["drawn"]
+        body = F.concat(F.substr(F.regexp_replace(drawn, "[^0-9]", ""), F.lit(1), F.length(digits) - 1), F.lit("0"))
+        check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10)).cast("string")
+        return F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, F.concat(
+            F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
     digits = F.regexp_replace(m, "[^0-9]", "")
-    drawn = _reshape(m, s, never, F.length(digits) - 1)  # the first digit stays
-    body = F.concat(F.substr(F.regexp_replace(drawn, "[^0-9]", ""), F.lit(1), F.length(digits) - 1), F.lit("0"))
-    check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10)).cast("string")
-    valid = F.pmod(_luhn_sum(digits), F.lit(10)) == 0
-    card = F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+    cards = let(F.struct(digits.alias("digits"), _reshape(m, s, never, F.length(digits) - 1).alias("drawn")), card)
     aws = F.concat(F.lit("AKIA"), _reshape(F.substr(m, F.lit(5)), s, never, every))
     iban = F.concat(F.substr(m, F.lit(1), F.lit(2)), _reshape(F.substr(m, F.lit(3)), s, never, every))
-    hexadecimal = m.rlike("^[0-9a-f]+$")
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
+    secret = F.concat(F.regexp_extract(m, SECRET_NAME, 0), _reshape(norm, s, norm.rlike("^[0-9a-f]+$"), every))
+    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", cards)
             .when(kind == "aws", aws).when(kind == "iban", iban).when(kind == "woman", _name(m, s, "a"))
-            .when(kind == "man", _name(m, s, "on")).otherwise(_reshape(m, s, hexadecimal, every)))
+            .when(kind == "man", _name(m, s, "on")).when(kind == "secret", secret).otherwise(_reshape(m, s, never, every)))
 
 
 def redrawn(found: DataFrame, key: str) -> DataFrame:
@@ -178,8 +197,16 @@ def redrawn(found: DataFrame, key: str) -> DataFrame:
     raise ValueError("surrogates still collide: widen the type's surrogate space")
 
 
+#: what every alternative of a type needs; most texts hold none of it and skip the full pattern
+HINT = r"[0-9][0-9.]|\b(?:Mrs?|Ms|Miss|Frau|Herr|Madame|Mme|Monsieur|Señora?|Sra?|Г-жа|Г-н)\b"
+
+
 def entities(df: DataFrame, text: str = "text") -> Column:
-    return F.regexp_extract_all(F.col(text).cast("string"), F.lit(ANY), F.lit(0))
+    body = F.col(text).cast("string")
+    hint = body.rlike(HINT)
+    for sign in ("@", "=", ":", "AKIA", "ASIA"):
+        hint = hint | F.contains(body, F.lit(sign))
+    return F.when(hint, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -194,18 +221,20 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     fix = hits.join(again, ["kind", "norm"]).groupBy("h", "n").agg(
         F.map_from_entries(F.collect_list(F.struct("m", "draw"))).alias("__draws"))
     fix = staged(df.sparkSession, fix.select(F.col("h").alias("__h"), F.col("n").alias("__len"), "__draws"), "redrawn")
-    rows = df.withColumn("__m", entities(df, text)).withColumn("__h", row).withColumn("__len", F.octet_length(body))
+    rows = df.withColumn("__h", row).withColumn("__len", F.octet_length(body))
     # written first, so its size is known: broadcast below Spark's threshold, else a shuffle join
     rows = rows.join(fix, ["__h", "__len"], "left")
 
     def replaced(m: Column) -> Column:
         return surrogate(key, m, entity_type(m), F.coalesce(F.try_element_at(F.col("__draws"), m), F.lit(0)))
 
-    gaps = F.split(body, ANY, -1)
-    new = F.transform("__m", replaced)
-    # with n entities there are n + 1 gaps
-    joined = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(
-        g, F.coalesce(F.get(F.col("__new"), i), F.lit(""))))), "")
-    rows = rows.withColumn("__new", F.when(F.size("__m") > 0, new))
-    rows = rows.withColumn(text, F.when(F.size("__m") > 0, joined).otherwise(body))
-    return rows.withColumn("__n", F.when(body.isNull(), 0).otherwise(F.size("__m"))).select(*df.columns, "__n")
+    def rebuilt(v: Column) -> Column:
+        """v: text and its entities; with n entities there are n + 1 gaps."""
+        new = F.array_append(F.transform(v["m"], replaced), F.lit(""))
+        joined = F.array_join(F.zip_with(F.split(v["t"], ANY, -1), new, lambda gap, entity: F.concat(gap, entity)), "")
+        return F.struct(F.when(F.size(v["m"]) > 0, joined).otherwise(v["t"]).alias("t"),
+                        F.coalesce(F.when(v["t"].isNull(), 0).otherwise(F.size(v["m"])), F.lit(0)).alias("n"))
+
+    rows = rows.withColumn("__r", let(F.struct(body.alias("t"), entities(df, text).alias("m")), rebuilt))
+    rows = rows.withColumn(text, F.col("__r.t")).withColumn("__n", F.col("__r.n"))
+    return rows.select(*df.columns, "__n")
