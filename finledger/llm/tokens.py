@@ -20,7 +20,9 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,17 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 #: characters on which Python and the library agree in case, class and composition (tested)
 PLAIN = re.compile("[!-~\xa1-ɏΑ-ΡΣ-Ωα-ωА-я‐-‧‰-⁞"
                    "₠-₹ぁ-ゔァ-ヺ一-龥]+")
+#: a text of letters, digits, ASCII blanks and marks, where no comma or full stop follows a mark, may be
+#: lower-cased as a whole and have these split off at word ends
+SIMPLE = re.compile("(?:[0-9A-Za-z\t-\r \xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e\u0391-\u03a1\u03a3-\u03a9"
+                    "\u03b1-\u03c9\u0410-\u044f]++|[!-/:-@\\[-`{-~\u2010-\u2027](?![.,]))*+")
+#: the same for ASCII texts, byte by byte: c control, m mark, . full stop or comma, x anything else
+ASCII_CLASS = bytes(ord("x") if chr(b).isalnum() or b in (9, 10, 11, 12, 13, 32) or b > 126 else ord("c") if b < 32 else
+                    ord(".") if chr(b) in ".," else ord("m") for b in range(256))
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 LONGEST_CACHED = 64
+PART_CHARS = 4_000_000
 END_ID = 2
 
 
@@ -53,17 +63,17 @@ def load(path: str):
     return tok
 
 
-def whole_tokens(path: str) -> dict[str, int]:
-    """The offline proof: strings that the library encodes alone as one token.
-
-    Byte-level vocabulary entries stand for bytes by printable characters; the
-    table is the byte alphabet's own rule (printable Latin-1 as itself, the rest
-    from U+0100 on).
-    """
-    tok = load(path)
+def byte_letters() -> dict[int, str]:
+    """The byte alphabet's own rule: printable Latin-1 as itself, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
-    to_byte = {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+def whole_tokens(path: str) -> dict[str, int]:
+    """The offline proof: strings that the library encodes alone as one token."""
+    tok = load(path)
+    to_byte = {c: b for b, c in byte_letters().items()}
     found = {}
     for piece, i in tok.get_vocab(with_added_tokens=False).items():
         stem = piece.removesuffix("</w>")
@@ -81,26 +91,36 @@ def whole_tokens(path: str) -> dict[str, int]:
 class Words(dict):
     """word -> made(ids of the word), filled on first sight; small enough for a Python worker."""
 
-    def __init__(self, tok, whole: dict[str, int], made: Callable[[list[int]], object]):
+    def __init__(self, tok, whole: dict[str, int], made: Callable[[list[int]], object], kind: pa.DataType):
         super().__init__()
-        self.tok, self.whole, self.made, self.pre = tok, whole, made, {}
+        self.tok, self.whole, self.made, self.kind, self.pre = tok, whole, made, kind, {}
+        self.merge, self.letters = tok.model.tokenize, byte_letters()
+
+    def merged(self, p: str) -> list[int]:
+        """The ids of a pre-token that is no whole token, by the library's merges."""
+        if (ids := self.pre.get(p)) is None:
+            ids = [t.id for t in self.merge("".join(map(self.letters.__getitem__, p.encode())))]
+            if len(p) <= LONGEST_CACHED:
+                if len(self.pre) > CACHED_WORDS // 4:
+                    self.pre.clear()
+                self.pre[p] = ids
+        return ids
 
     def ids(self, word: str) -> list[int]:
+        if word.isalpha() and word.isascii():  # one pre-token, its own byte letters
+            word = word.lower()
+            return [one] if (one := self.whole.get(word)) is not None else [t.id for t in self.merge(word)]
         if "<|" in word or not PLAIN.fullmatch(word):
             return self.tok.encode(word, add_special_tokens=False).ids
+        if not word.isascii():  # one sigma: the library lower-cases each character by itself
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
+        word = word.lower()
         out: list[int] = []
-        # one sigma: the library lower-cases each character by itself
-        for p in PRE_TOKEN.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()):
+        for p in PRE_TOKEN.findall(word):
             if (one := self.whole.get(p)) is not None:
                 out.append(one)
-                continue
-            if (rest := self.pre.get(p)) is None:
-                rest = self.tok.encode(p, add_special_tokens=False).ids
-                if len(p) <= LONGEST_CACHED:
-                    if len(self.pre) > CACHED_WORDS:
-                        self.pre.clear()
-                    self.pre[p] = rest
-            out += rest
+            else:
+                out += self.merged(p)
         return out
 
     def __missing__(self, word: str):
@@ -117,23 +137,60 @@ class Words(dict):
             return [self.made(self.tok.encode(text, add_special_tokens=False).ids)]
         return map(self.__getitem__, text.split())
 
+    def of_texts(self, texts: list[str]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Parts of the texts, in order: the words' values and where each text's begin and end.
+
+        Simple texts are split and their distinct words found by Arrow; only
+        distinct words are looked up.
+        """
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size < PART_CHARS):
+                size += len(texts[stop])
+                stop += 1
+            part = texts[at:stop]
+            plain = [t.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ") if simple(t) else None for t in part]
+            words = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+            flat = words.flatten().dictionary_encode()
+            values = pa.array(map(self.__getitem__, flat.dictionary.to_pylist()), self.kind)
+            ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(words).to_pylist())])
+            found = values.take(flat.indices)
+            if None in plain:
+                rows = [found[ends[i]:ends[i + 1]] if t is not None else pa.array(self.of_text(part[i]), self.kind)
+                        for i, t in enumerate(plain)]
+                ends = np.cumsum([0, *map(len, rows)])
+                found = pa.concat_arrays(rows)
+            yield found, ends
+            at = stop
+
+
+def simple(text: str) -> bool:
+    if not text.isascii():
+        return SIMPLE.fullmatch(text) is not None and "Σ" not in text and "<|" not in text
+    classes = text.encode().translate(ASCII_CLASS)
+    return b"m." not in classes and b".." not in classes and b"c" not in classes and "<|" not in text and "\x7f" not in text
+
 
 _KEPT: dict = {}
 
 
-def words_of(path: str, whole: dict[str, int], kind: str, made: Callable[[list[int]], object]) -> Words:
+def words_of(path: str, whole: dict[str, int], made: Callable[[list[int]], object], kind: pa.DataType) -> Words:
     """One cache for each worker process, tokenizer and kind of value."""
     if (path, kind) not in _KEPT:
-        _KEPT[path, kind] = Words(load(path), whole, made)
+        _KEPT[path, kind] = Words(load(path), whole, made, kind)
     return _KEPT[path, kind]
 
 
-def counter(path: str, whole, text: str, limit: int):
+def counter(path: str, whole, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path, whole.value, "count", len)
+        words = words_of(path, whole.value, len, pa.int64())
         for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            n = [sum(words.of_text(t)) for t in texts]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            n: list[int] = []
+            for found, ends in words.of_texts(texts):
+                sums = np.append(0, np.cumsum(found.to_numpy()))
+                n += (sums[ends[1:]] - sums[ends[:-1]]).tolist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()),
                  pa.array([x > limit for x in n], pa.bool_())],
@@ -147,6 +204,6 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     whole = df.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    out = map_batches(rows, counter(path, whole, "text", limit),
+    out = map_batches(rows, counter(path, whole, limit),
                           f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", key)
