@@ -4,9 +4,10 @@ Typical use::
 
     from finledger import Context, Params, run, QUERIES
 
-    ctx = Context(spark, "/data/tables", Params(sources=("card", "checkout")))
+    entries = [Entry("card", "card", "/data/card"), Entry("books", "books", "/data/books.csv")]
+    ctx, report = Context.from_catalogue(spark, entries, Params(gateways=("card",), sources=("card",)))
     ctx.materialize_shared()                 # optional: stage shared tables once
-    run(spark, "/data/tables", "monthly_revenue", ctx=ctx).show()
+    run(spark, "", "monthly_revenue", ctx=ctx).show()
 
 Operators live in ``finledger.operators`` and take DataFrames, so they also
 apply to ledgers loaded from files (``finledger.sources.catalogue``) or streams
@@ -16,5 +17,6 @@ apply to ledgers loaded from files (``finledger.sources.catalogue``) or streams
 from .params import DEFAULT, GATEWAYS, Params
 from .plans.context import Context
 from .plans.registry import QUERIES, run
+from .sources.catalogue import Entry
 
-__all__ = ["Context", "DEFAULT", "GATEWAYS", "Params", "QUERIES", "run"]
+__all__ = ["Context", "DEFAULT", "Entry", "GATEWAYS", "Params", "QUERIES", "run"]

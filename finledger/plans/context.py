@@ -19,14 +19,25 @@ from ..operators import normalize as N
 from ..operators import revenue as R
 from ..operators import statements as S
 from ..params import CARD, CHECKOUT, DEFAULT, FAILURE_STATUSES, WALLET_A, WALLET_B, Params
+from ..schema import BOOKS, FAILURES, LEDGER_BASE, STATEMENT, VENDORS, empty
 from ..sources import bindings as BIND
+from ..sources.catalogue import Entry, Inputs, load_inputs, normalised
 
 
 class Context:
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT):
+    """``inputs`` are the user's own extracts and sheets; without them the test tables are bound."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT, inputs: Inputs | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.p = params
+        self.inputs = inputs
+
+    @classmethod
+    def from_catalogue(cls, spark: SparkSession, entries: list[Entry], params: Params = DEFAULT) -> tuple[Context, DataFrame]:
+        """(context over the entries that are there, report of all entries)."""
+        inputs, report = load_inputs(spark, entries)
+        return cls(spark, "", params, inputs), report
 
     # --- raw extracts (text) --------------------------------------------
     @cached_property
@@ -52,6 +63,9 @@ class Context:
     # --- normalised -----------------------------------------------------
     @cached_property
     def norm_parts(self) -> list[DataFrame]:
+        if self.inputs is not None:
+            parts = [normalised(raw, kind, source) for source, kind, raw in self.inputs.extracts]
+            return parts or [empty(self.spark, LEDGER_BASE)]
         return [
             N.normalize_card(self.card_raw, CARD),
             N.normalize_wallet(self.wallet_a_raw, WALLET_A),
@@ -90,15 +104,22 @@ class Context:
 
     @cached_property
     def failures(self) -> DataFrame:
+        if self.inputs is not None:
+            cards = [raw for source, kind, raw in self.inputs.extracts if kind == "card" and source == self.p.failure_gateway]
+            return N.failure_histogram(N.union_extracts(cards), FAILURE_STATUSES) if cards else empty(self.spark, FAILURES)
         return N.failure_histogram(self.card_raw, FAILURE_STATUSES)
 
     # --- books and statements ----------------------------------------------
     @cached_property
-    def books_sheet(self) -> DataFrame:
+    def books_sheet(self) -> DataFrame | None:
+        if self.inputs is not None:
+            return self.inputs.books
         return BIND.books_sheet(self.spark, self.sf_dir, self.p.fiscal_from, self.p.fiscal_to)
 
     @cached_property
     def books(self) -> DataFrame:
+        if self.books_sheet is None:
+            return empty(self.spark, BOOKS)
         return B.books_window(B.books_typed(self.books_sheet), self.p)
 
     @cached_property
@@ -115,6 +136,9 @@ class Context:
 
     @cached_property
     def monthly_pl(self) -> DataFrame:
+        """Joined with the books; without any, sales and refunds alone."""
+        if self.inputs is not None and self.inputs.books is None:
+            return B.monthly_pl_no_books(self.revenue_cube)
         return B.monthly_pl(self.revenue_cube, self.books_monthly)
 
     @cached_property
@@ -123,6 +147,8 @@ class Context:
 
     @cached_property
     def statements(self) -> DataFrame:
+        if self.inputs is not None:
+            return empty(self.spark, STATEMENT) if self.inputs.statements is None else self.inputs.statements
         return S.statements_from_books(self.books)
 
     @cached_property
@@ -130,11 +156,15 @@ class Context:
         return S.statement_metrics(self.statements)
 
     @cached_property
-    def vendor_sheet(self) -> DataFrame:
+    def vendor_sheet(self) -> DataFrame | None:
+        if self.inputs is not None:
+            return self.inputs.vendors
         return B.vendor_sheet(self.books)
 
     @cached_property
     def vendors(self) -> DataFrame:
+        if self.vendor_sheet is None:
+            return empty(self.spark, VENDORS)
         return B.vendor_totals(self.vendor_sheet)
 
     # stages that depend only on the input tables and the fiscal window
@@ -147,7 +177,7 @@ class Context:
     def derive(self, **changes) -> "Context":
         """Same inputs, other parameters; stages that do not depend on the
         changed parameters are shared, not rebuilt."""
-        ctx = Context(self.spark, self.sf_dir, self.p.with_(**changes))
+        ctx = Context(self.spark, self.sf_dir, self.p.with_(**changes), self.inputs)
         if {"fiscal_from", "fiscal_to"} & set(changes):
             return ctx
         # the revenue subset and what is built on it depend on refunds_from

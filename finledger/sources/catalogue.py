@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger as L
 from ..operators import normalize as N
 from ..params import Params
+from ..schema import BOOKS, MONEY_SUM
 from . import files as FS
 
 # card and checkout exports keep blank cells as '' (only NA is null); wallets do not
@@ -27,27 +28,95 @@ KEEP_BLANKS = {"card": True, "wallet": False, "checkout": True}
 
 @dataclass(frozen=True)
 class Entry:
-    source: str
-    kind: str  # "card" | "wallet" | "checkout"
+    source: str  # gateway of an extract; any name for a sheet
+    kind: str  # extracts: "card", "wallet", "checkout"; sheets: "books", "statement", "vendors"
     path: str
 
 
-def read_entry(spark: SparkSession, e: Entry) -> DataFrame | str:
-    """The normalised extract, or why there is none: ``missing`` or ``empty``."""
-    cols = N.CARD_COLUMNS if e.kind == "card" else None
+EXTRACTS = ("card", "wallet", "checkout")
+#: sheets have no header of their own: cells by position
+SHEETS = {"books": [f.name for f in BOOKS.fields[:9]], "statement": ["label", "value"], "vendors": [f"_c{i}" for i in range(10)]}
+
+
+def _read(spark: SparkSession, e: Entry) -> DataFrame:
+    if e.kind == "card":
+        return FS.read_extract_csv(spark, e.path, N.CARD_COLUMNS, keep_blanks=True)
+    if e.kind in EXTRACTS:
+        return FS.read_extract_csv(spark, e.path, keep_blanks=KEEP_BLANKS[e.kind])
+    schema = ", ".join(f"`{c}` string" for c in SHEETS[e.kind])
+    return spark.read.option("escape", '"').option("multiLine", True).schema(schema).csv(e.path)
+
+
+def read_raw(spark: SparkSession, e: Entry) -> DataFrame | str:
+    """The entry's text cells, or why there are none: ``missing`` or ``empty``."""
     try:
-        raw = FS.read_extract_csv(spark, e.path, cols, keep_blanks=KEEP_BLANKS[e.kind])
-        raw.schema  # resolves the path now: a missing file surfaces here
+        raw = _read(spark, e)
+        if not raw.inputFiles():
+            return "empty"
+        return raw
     except AnalysisException as err:
         status = {"PATH_NOT_FOUND": "missing", "UNABLE_TO_INFER_SCHEMA": "empty"}.get(err.getCondition())
         if status is None:
             raise
         return status
-    if e.kind == "card":
-        return N.normalize_card(raw, e.source)
-    if e.kind == "wallet":
-        return N.normalize_wallet(raw, e.source)
-    return N.normalize_checkout(raw, e.source)
+
+
+def normalised(raw: DataFrame, kind: str, source: str) -> DataFrame:
+    if kind == "card":
+        return N.normalize_card(raw, source)
+    if kind == "wallet":
+        return N.normalize_wallet(raw, source)
+    return N.normalize_checkout(raw, source)
+
+
+def read_entry(spark: SparkSession, e: Entry) -> DataFrame | str:
+    """The normalised extract, or why there is none."""
+    raw = read_raw(spark, e)
+    return raw if isinstance(raw, str) else normalised(raw, e.kind, e.source)
+
+
+def statement_lines(raw: DataFrame, statement_id: int) -> DataFrame:
+    """Label and value cells of one statement sheet in file order; rows without label are dropped.
+
+    A sheet with line breaks inside cells is one task, so the rows' ids count its lines.
+    """
+    line = F.monotonically_increasing_id().bitwiseAND(0x7FFFFFFF).cast("int") + 1
+    lines = raw.select(F.lit(statement_id).alias("statement_id"), line.alias("line_no"), "label",
+                       F.col("value").try_cast(MONEY_SUM).alias("value"))
+    return lines.where(F.trim("label") != "")
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What a catalogue holds: (gateway, kind, cells) of each extract, and the sheets (None: absent)."""
+
+    extracts: tuple[tuple[str, str, DataFrame], ...] = ()
+    books: DataFrame | None = None
+    statements: DataFrame | None = None
+    vendors: DataFrame | None = None
+
+
+def load_inputs(spark: SparkSession, entries: list[Entry]) -> tuple[Inputs, DataFrame]:
+    """(inputs of the present entries, report of every entry: source, kind, path, status).
+
+    Nothing is counted here: the report comes from the files' presence alone.
+    """
+    found = [(e, read_raw(spark, e)) for e in entries]
+    here = [(e, raw) for e, raw in found if not isinstance(raw, str)]
+    extracts = tuple((e.source, e.kind, raw) for e, raw in here if e.kind in EXTRACTS)
+
+    def union(parts: list[DataFrame]) -> DataFrame | None:
+        return N.union_extracts(parts) if parts else None
+
+    books = union([raw.withColumn("entity", F.lit(i)) for i, (e, raw) in enumerate(here) if e.kind == "books"])
+    sheets = [raw for e, raw in here if e.kind == "statement"]
+    statements = union([statement_lines(raw, i) for i, raw in enumerate(sheets)])
+    vendors = union([raw for e, raw in here if e.kind == "vendors"])
+    report = spark.createDataFrame(
+        [(e.source, e.kind, e.path, raw if isinstance(raw, str) else "loaded") for e, raw in found],
+        "source string, kind string, path string, status string",
+    )
+    return Inputs(extracts, books, statements, vendors), report
 
 
 def load_extracts(spark: SparkSession, entries: list[Entry], p: Params) -> tuple[DataFrame, DataFrame]:

@@ -138,3 +138,54 @@ def test_late_file_with_an_old_time_stamp_is_ingested(spark, tmp_path):
     os.utime(drop / "two" / "part.csv", (old, old))
     SI.ingest_folders(spark, *args)
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def user_files(spark, tmp_path):
+    """The test tables written out as a user's extracts and sheets; wallet_b never came."""
+    ctx = Context(spark, SF001)
+    at = lambda name: f"{tmp_path}/{name}"
+    FS.write_extract_csv(ctx.card_raw, at("card"), keep_blanks=True)
+    FS.write_extract_csv(ctx.wallet_a_raw, at("wallet_a"), keep_blanks=False)
+    FS.write_extract_csv(ctx.checkout_raw, at("checkout"), keep_blanks=True)
+    FS.write_extract_csv(ctx.checkout_raw, at("checkout_eu"), keep_blanks=True)
+    books = ctx.books_sheet.drop("entity")
+    title = spark.createDataFrame([("Transaction List", *[""] * 8), ("Date", *["x"] * 8)], books.schema)
+    title.unionByName(books).coalesce(1).write.option("escape", '"').csv(at("books"))
+    one = ctx.statements.where("statement_id = 0").orderBy("line_no").select("label", F.col("value").cast("string"))
+    one.coalesce(1).write.option("escape", '"').csv(at("statement"))
+    ctx.vendor_sheet.write.option("escape", '"').csv(at("vendors"))
+    entries = [CAT.Entry(n, k, at(n)) for n, k in (
+        ("card", "card"), ("wallet_a", "wallet"), ("wallet_b", "wallet"), ("checkout", "checkout"), ("checkout_eu", "checkout"),
+        ("books", "books"), ("statement", "statement"), ("vendors", "vendors"))]
+    return ctx, entries
+
+
+def test_context_from_a_users_files(spark, tmp_path):
+    from finledger.plans import registry as RG
+
+    bound, entries = user_files(spark, tmp_path)
+    names = ("card", "wallet_a", "wallet_b", "checkout", "checkout_eu")
+    ctx, report = Context.from_catalogue(spark, entries, DEFAULT.with_(gateways=names, sources=names))
+    status = {r.source: r.status for r in report.collect()}
+    assert status.pop("wallet_b") == "missing" and set(status.values()) == {"loaded"}
+    by = {r.source: r["count"] for r in ctx.ledger.groupBy("source").count().collect()}
+    want = {r.source: r["count"] for r in bound.ledger.groupBy("source").count().collect()}
+    assert by["checkout_eu"] == by["checkout"] == want["checkout"] and by["card"] == want["card"]
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(ctx.books_monthly, bound.books_monthly) and same(ctx.failures, bound.failures) and same(ctx.vendors, bound.vendors)
+    first = bound.statement_metrics.where("statement_id = 0")
+    assert same(ctx.statement_metrics, first)
+    assert "checkout_eu" in {r.source for r in RG.run(spark, "", "refund_rates", ctx=ctx).collect()}
+    assert RG.run(spark, "", "monthly_pl", ctx=ctx).count() > 0
+
+
+def test_absent_books_and_sheets(spark, tmp_path):
+    from finledger.plans import registry as RG
+
+    _, entries = user_files(spark, tmp_path)
+    ctx, _ = Context.from_catalogue(spark, [e for e in entries if e.kind in ("card", "checkout")])
+    rows = RG.run(spark, "", "monthly_pl", ctx=ctx).collect()
+    assert rows and all(r.total_expenses is None and r.net_income is None for r in rows)
+    assert ctx.books.count() == ctx.vendors.count() == ctx.statements.count() == 0
+    none, report = Context.from_catalogue(spark, [])
+    assert none.ledger.count() == 0 and report.count() == 0
