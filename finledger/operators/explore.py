@@ -54,14 +54,27 @@ def outgoing(led: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _beyond(keys: list[tuple[str, bool]], last: tuple) -> Column:
+    """Rows that sort after ``last``: beyond it in some key and equal to it in all keys before."""
+    cond, same = F.lit(False), F.lit(True)
+    for (c, desc), v in zip(keys, last, strict=True):
+        x = F.col(c)
+        later = (x < F.lit(v)) | x.isNull() if desc else x > F.lit(v)  # nulls last descending, first ascending
+        cond, same = cond | (same & later), same & (x == F.lit(v))
+    return cond
+
+
 def explore(df: DataFrame, contains: dict[str, str] | None = None,
             ranges: dict[str, tuple] | None = None, order_by: list[tuple[str, bool]] | None = None,
             limit: int | None = None, offset: int = 0, search: str | None = None,
-            tie_break: str | None = None) -> DataFrame:
+            tie_break: str | None = None, after: tuple | None = None) -> DataFrame:
     """F16: per-column substring filter, global search, ranges, sort and a page.
 
     The sort is total (``tie_break`` appended) so a page is deterministic; with a
-    limit Spark plans a top-k (TakeOrderedAndProject), not a full sort.
+    limit Spark plans a top-k (TakeOrderedAndProject), not a full sort.  An
+    ``offset`` costs offset + limit rows in one place; for deep pages give
+    ``after``, the sort values (not null) of the last row of the page before:
+    rows up to it are filtered out and any page costs ``limit`` rows.
     """
     conds: list[Column] = []
     for c, s in (contains or {}).items():
@@ -74,6 +87,8 @@ def explore(df: DataFrame, contains: dict[str, str] | None = None,
     if search:
         any_col = [F.coalesce(F.lower(F.col(c).cast("string")).contains(search.lower()), F.lit(False)) for c in df.columns]
         conds.append(reduce(lambda a, b: a | b, any_col))
+    if after is not None:
+        conds.append(_beyond([*(order_by or []), *([(tie_break, False)] if tie_break else [])], after))
     out = df.where(reduce(lambda a, b: a & b, conds)) if conds else df
     keys = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_first() for c, desc in (order_by or [])]
     if tie_break:

@@ -189,3 +189,19 @@ def test_absent_books_and_sheets(spark, tmp_path):
     assert ctx.books.count() == ctx.vendors.count() == ctx.statements.count() == 0
     none, report = Context.from_catalogue(spark, [])
     assert none.ledger.count() == 0 and report.count() == 0
+
+
+def test_pages_after_the_last_row_equal_pages_by_offset(spark):
+    from finledger.operators import explore as E
+
+    ctx = Context(spark, SF001)
+    table = E.explore_filtered(ctx.filtered, ctx.p)
+    how = {"order_by": [("amount", True)], "limit": 20, "tie_break": "txn_id"}
+    last = None
+    for page in range(4):
+        by_offset = E.explore(table, offset=20 * page, **how).collect()
+        rows = E.explore(table, after=last, **how).collect()
+        assert rows == by_offset and len(rows) == 20
+        last = (rows[-1].amount, rows[-1].txn_id)
+    plan = E.explore(table, after=last, **how)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=20" in plan
