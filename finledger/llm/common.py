@@ -30,14 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: settings while a table is staged: shuffle files go when the write ends, Python gets rows in small batches
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and read it back.
 
-    Cuts the lineage: what follows re-reads the table after a lost executor.
+    Cuts the lineage: what follows re-reads the table after a lost executor, so
+    the shuffle files of the write are not needed any more and go at its end.
     """
     path = f"{shared_dir(spark).rstrip('/')}/finledger-llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k) for k in STAGING}
+    try:
+        for k, v in STAGING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(spark: SparkSession) -> None:

@@ -13,10 +13,14 @@ first cut where distances do differ:
     and every link lies in a region.
 3.  Each region joins by pivots.  Every node is compared with its region's
     pivots; linked nodes merge.  Regions whose nodes are all merged are done;
-    the others recur with new pivots from their largest and smallest classes,
-    and what is left after ``rounds`` is compared completely, but for pairs that
-    the triangle inequality over a common pivot excludes and pairs in one class.
-4.  A comparison first bounds the distance by the two prefixes, which are known
+    the others recur with new pivots from their classes.
+4.  What is left after ``rounds`` is joined completely, but for pairs in one
+    class.  Nodes near a pivot form its cell (a pivot's regions share one cell);
+    a cell is dealt out in tiles, each joining at most ``TILE`` nodes outside the
+    pivot's class with ``TILE`` nodes inside the triangle inequality's window.
+    Nodes far from their pivot join within their region, again but for those
+    that the triangle inequality excludes.
+5.  A comparison first bounds the distance by the two prefixes, which are known
     completely below their smaller end; only pairs that pass fetch whole sets.
 
 Only components are returned, so pairs in one class need no comparison; no link
@@ -41,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import map_batches, release, ship, staged
 
 WIDTH = 5
 HOT_BIT = np.int64(1) << np.int64(61)
@@ -50,6 +54,7 @@ _PLACES = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B,
                    np.uint64)
 FILTER_BITS = 1 << 22
 PART_CHARS = 4_000_000
+TILE = 256
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -134,21 +139,21 @@ def whole_sets(hot, flags):
     return run
 
 
-def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, pa, pb) whose prefixes allow a link."""
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, na, nb, pa, pb) to (a, b, may, least): whether they may link, and a bound below their distance."""
     for b in batches:
-        keep = []
-        for i, (na, nb, x, y) in enumerate(zip(*(b.column(c).to_pylist() if c < 4 else b.column(c) for c in (2, 3, 4, 5)), strict=True)):
-            if 5 * min(na, nb) < 4 * max(na, nb):
-                continue
+        may, least = [], []
+        for na, nb, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
             x, y = x.values.to_numpy(), y.values.to_numpy()
-            # below the smaller end both sets are known whole
+            # strictly below the smaller end both sets are known whole; equal upper halves count as equal
             end = min(x[-1], y[-1])
-            x, y = x[:np.searchsorted(x, end, "right")], y[:np.searchsorted(y, end, "right")]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both and 9 * (len(x) + len(y) - 2 * both) <= na + nb:
-                keep.append(i)
-        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            x, y = x[:np.searchsorted(x, end)], y[:np.searchsorted(y, end)]
+            apart = len(x) + len(y) - 2 * min(len(x), len(y), int(np.isin(x, y).sum()))
+            apart = max(apart, abs(na - nb))
+            may.append(9 * apart <= na + nb)
+            least.append(2 * apart / (na + nb + apart))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(may, pa.bool_()), pa.array(least, pa.float64())], ["a", "b", "may", "least"])
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +171,50 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["a", "b", "linked", "distance"])
 
 
+def shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by blocks of their common elements."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(fx, fy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    parts = []
+    for flat, sets in ((fx, x), (fy, y)):
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        ok = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[ok], kind="stable")
+        parts.append((at[ok][order], row[ok][order], len(sets)))
+    for lo in range(0, len(both), columns):
+        m = []
+        for at, row, n in parts:
+            x0, x1 = np.searchsorted(at, [lo, lo + columns])
+            one = np.zeros((n, columns), np.float32)
+            one[row[x0:x1], at[x0:x1] - lo] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out
+
+
+def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the classes of two tiles of a cell: one for each node of the left and class of the right."""
+    a, b = [], []
+    if left.num_rows and right.num_rows:
+        da, db = left["d"].to_numpy(), right["d"].to_numpy()
+        right = right.take(np.flatnonzero((db >= da.min() - 0.2 - 1e-9) & (db <= da.max() + 0.2 + 1e-9)))
+    if left.num_rows and right.num_rows:
+        x, y = ([np.frombuffer(s, np.int64) for s in t["s"].to_pylist()] for t in (left, right))
+        nx, ny = (np.array([len(s) for s in sets])[:, None] for sets in (x, y))
+        both = shared(x, y)
+        linked = 100 * both >= 80 * (nx + ny.T - both)
+        rx, ry = left["root"].to_numpy(), right["root"].to_numpy()
+        kx, ky = left["node"].to_numpy(), right["node"].to_numpy()
+        for i in range(len(x)):
+            at = np.flatnonzero(linked[i] & (ry != rx[i]))
+            at = at[np.unique(ry[at], return_index=True)[1]]
+            a += [kx[i]] * len(at)
+            b += ky[at].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, root (smallest node reachable) for all ends of (a, b): alternating large and small stars."""
     spark = links.sparkSession
@@ -207,9 +256,11 @@ class Space:
         often = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 3)
         often = often.orderBy(F.desc("c"), "s").limit(hot)
         self.hot = spark.sparkContext.broadcast(np.sort(np.array([r["s"] for r in often.toLocalIterator()], np.int64)))
-        self.signed = staged(spark, map_batches(self.rows, signer(self.hot), one), "signatures")
-        known = self.signed.where(F.col("node").isNotNull()).select("node", "n", "prefix").dropDuplicates(["node"])
+        signed = staged(spark, map_batches(self.rows, signer(self.hot), one), "signatures")
+        known = signed.where(F.col("node").isNotNull()).select("node", "n", "prefix").dropDuplicates(["node"])
         self.nodes = staged(spark, known, "nodes")
+        self.signed = staged(spark, signed.drop("prefix"), "classes-of-equals")
+        release(signed)
         self.sets: DataFrame | None = None
 
     def fetch(self, need: DataFrame) -> None:
@@ -239,19 +290,42 @@ class Space:
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """a, b, linked, distance for those of the pairs (a, b) that may link."""
-        n = self.nodes
+        """a, b, linked, distance (null where the prefixes exclude a link), least (a bound below it) for the pairs (a, b)."""
+        # the upper halves of the numbers keep their order and are enough for a bound
+        upper = F.transform("prefix", lambda x: F.shiftright(x, 31).cast("int"))
+        n = self.nodes.select("node", "n", upper.alias("prefix"))
         both = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
         both = both.join(n.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
         both = both.select("a", "b", "na", "nb", "pa", "pb")
-        may = staged(self.spark, map_batches(both, possible, "a long, b long"), "possible")
+        every = staged(self.spark, map_batches(both, bounded, "a long, b long, may boolean, least double"), "bounded")
+        may, out = every.where("may").select("a", "b"), every.where("not may").select(
+            "a", "b", F.lit(False).alias("linked"), F.lit(None).cast("double").alias("distance"), "least")
         self.fetch(may.select(F.col("a").alias("node")).union(may.select("b")).distinct())
         if self.sets is None:
-            return may.select("a", "b", F.lit(False).alias("linked"), F.lit(1.0).alias("distance"))
+            return out
         s = self.sets
         both = may.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
         both = both.join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-        return staged(self.spark, map_batches(both, measured, "a long, b long, linked boolean, distance double"), "measured")
+        found = staged(self.spark, map_batches(both, measured, "a long, b long, linked boolean, distance double"), "measured")
+        return out.union(found.withColumn("least", F.col("distance")))
+
+    def join_cells(self, cells: DataFrame) -> DataFrame:
+        """Links (a, b) between classes in each cell; ``cells``: p, node, root, d (distance from p)."""
+        own = cells.where("node = p").select("p", F.col("root").alias("main"))
+        rows = cells.join(own, "p").withColumn("open", (F.col("root") != F.col("main")).cast("int"))
+        size = rows.groupBy("p").agg(F.sum("open").alias("no"), F.count(F.lit(1)).alias("nk"))
+        size = size.where("no > 0").select("p", *[F.ceil(F.col(c) / TILE).cast("int").alias(t) for c, t in (("no", "to"), ("nk", "tk"))])
+        rows = rows.join(size, "p").join(self.sets, "node")
+        first = F.pmod(F.xxhash64("node", F.lit(1)), F.col("to")).cast("int")
+        second = F.pmod(F.xxhash64("node", F.lit(2)), F.col("tk")).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("open = 1").select("p", first.alias("i"), all_of("tk").alias("j"), "node", "root", "d", "s")
+        right = rows.select("p", all_of("to").alias("i"), second.alias("j"), "node", "root", "d", "s")
+        ship(self.spark)
+        # new names, as both sides come from the same rows
+        names = ["p", "i", "j", "node", "root", "d", "s"]
+        left, right = left.toDF(*names), right.toDF(*names)
+        return left.groupBy("p", "i", "j").cogroup(right.groupBy("p", "i", "j")).applyInArrow(tile, "a long, b long")
 
 
 def listed(hot, flags):
@@ -267,62 +341,83 @@ def listed(hot, flags):
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 32, hot: int = 1 << 18,
-                    rounds: int = 3) -> DataFrame:
+                    rounds: int = 2) -> DataFrame:
     """id, h (hash of the text), n (set size), root (class; null without words) for every row."""
     space = Space(docs, key, text, share, hot)
     spark = space.spark
     entries = space.nodes.select("node", F.explode("prefix").alias("s"))
-    # regions of more than one node; both aggregates combine before their shuffle
+    # regions of more than one node; the aggregate combines before its shuffle
     regions = entries.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("q")).where("c > 1")
     held = staged(spark, entries.join(regions, "s"), "regions")
     # the first pivot is the node whose shingles most others hold: the middle of a group of near copies
-    weight = staged(spark, held.groupBy("node").agg(F.sum("c").alias("w")), "weights")
-    held = held.join(weight, "node")
-    middle = held.groupBy("s").agg(F.max(F.struct("w", "node")).alias("m")).select("s", F.col("m.node").alias("p"))
-    open_ = staged(spark, held.join(middle, "s"), "pivots")
-
-    def pairs_of(first, second) -> DataFrame:
-        return first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(
-            second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-
-    stars = pairs_of(open_.where("node != p").select(F.col("node").alias("x"), F.col("p").alias("y")),
-                     open_.where("node != q").select(F.col("node").alias("x"), F.col("q").alias("y")))
+    weight = held.groupBy("node").agg(F.sum("c").alias("w")).join(space.nodes.select("node", "n"), "node")
+    weight = staged(spark, weight, "weights")
+    weighted = held.select("s", "node", "q").join(weight, "node")
+    middle = weighted.groupBy("s").agg(F.max(F.struct("w", "node", "n")).alias("m"),
+                                       F.min(F.struct("node", "n")).alias("q"))
+    middle = middle.select("s", F.col("m.node").alias("p"), F.col("m.n").alias("np"), F.col("q.node").alias("q"), F.col("q.n").alias("nq"))
+    open_ = staged(spark, weighted.drop("q").join(middle, "s"), "pivots")
+    release(held)
+
+    def pairs_of(*ends: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b), a < b, of the given (x, y)."""
+        every = ends[0] if len(ends) == 1 else ends[0].union(ends[1])
+        return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # sizes alone exclude most pairs of unrelated nodes
+    alike = lambda m: f"5 * least(n, {m}) >= 4 * greatest(n, {m})"
+    stars = pairs_of(open_.where("node != p and " + alike("np")).select(F.col("node").alias("x"), F.col("p").alias("y")),
+                     open_.where("node != q and " + alike("nq")).select(F.col("node").alias("x"), F.col("q").alias("y")))
     stars = staged(spark, stars, "stars")
-    tested, seen = stars, space.compare(stars)
-    links = seen.where("linked").select("a", "b")
-    roots = components(links)
-    for r in range(1, rounds + 1):
-        place = F.coalesce("root", "node")
-        now = open_.select("s", "node", "p", "w").join(roots, "node", "left").withColumn("root", place)
-        rank = F.struct("root", F.col("w") if r == 1 else F.xxhash64("node", F.lit(r)), "node")
-        ends = now.groupBy("s").agg(F.max(rank).alias("hi"), F.count(F.lit(1)).alias("c"), F.min(
-            F.struct("root", -F.col("w") if r == 1 else F.xxhash64("node", F.lit(r)), "node")).alias("lo"))
+    seen = space.compare(stars)
+    roots = components(seen.where("linked").select("a", "b"))
+
+    def merged(new: DataFrame) -> DataFrame:
+        if new.isEmpty():
+            return roots
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new.select("a", "b")))
+
+    def unmerged(name: str, r: int) -> DataFrame:
+        """The regions that still hold several classes, with a node of their first (l) and last class (g)."""
+        now = open_.select("s", "node", "n", "p", "np", "w").join(roots, "node", "left")
+        now = now.withColumn("root", F.coalesce("root", "node"))
+        low = F.struct("root", -F.col("w") if r == 1 else F.xxhash64("node", F.lit(r)), "node", "n")
+        high = F.struct("root", F.col("w") if r == 1 else F.xxhash64("node", F.lit(r)), "node", "n")
+        ends = now.groupBy("s").agg(F.min(low).alias("lo"), F.max(high).alias("hi"), F.count(F.lit(1)).alias("c"))
         ends = ends.where("lo.root != hi.root and c > 2").select(
-            "s", F.col("lo.node").alias("l"), F.col("lo.root").alias("lr"), F.col("hi.node").alias("g"), F.col("hi.root").alias("gr"))
-        open_ = staged(spark, now.join(ends, "s"), f"regions-{r}")
-        if r < rounds:
-            more = pairs_of(open_.where("root != lr").select(F.col("node").alias("x"), F.col("l").alias("y")),
-                            open_.where("root != gr").select(F.col("node").alias("x"), F.col("g").alias("y")))
-        else:
-            # the rest of each region: all pairs between classes that no common pivot excludes
-            far = seen.select(F.col("a").alias("node"), F.col("b").alias("p"), "distance").union(
-                seen.select(F.col("b").alias("node"), F.col("a").alias("p"), "distance"))
-            with_far = open_.join(far, ["node", "p"], "left")
-            x = with_far.select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("distance").alias("da"))
-            y = with_far.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("distance").alias("db"))
-            more = x.join(y, "s").where("a < b and ra != rb and (da is null or db is null or abs(da - db) <= 0.2 + 1e-9)")
-            more = more.select("a", "b").distinct()
-        more = staged(spark, more.join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
-        if more.isEmpty():
-            if r < rounds:
-                continue
-            break
-        tested = tested.union(more)
-        new = space.compare(more)
+            "s", F.col("lo.node").alias("l"), F.col("lo.root").alias("lr"), F.col("lo.n").alias("nl"),
+            F.col("hi.node").alias("g"), F.col("hi.root").alias("gr"), F.col("hi.n").alias("ng"))
+        return staged(spark, now.join(ends, "s"), name)
+
+    for r in range(1, rounds):
+        open_ = unmerged(f"regions-{r}", r)
+        more = pairs_of(open_.where("root != lr and " + alike("nl")).select(F.col("node").alias("x"), F.col("l").alias("y")),
+                        open_.where("root != gr and " + alike("ng")).select(F.col("node").alias("x"), F.col("g").alias("y")))
+        new = space.compare(staged(spark, more.join(seen, ["a", "b"], "left_anti"), f"pairs-{r}"))
         seen = seen.union(new)
-        if not new.where("linked").isEmpty():
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new.where("linked").select("a", "b"))
-            roots = components(links)
+        roots = merged(new.where("linked"))
+
+    open_ = unmerged("regions-last", rounds)
+    far = seen.select(F.col("a").alias("node"), F.col("b").alias("p"), "distance", "least").union(
+        seen.select(F.col("b").alias("node"), F.col("a").alias("p"), "distance", "least"))
+    placed = open_.join(far, ["node", "p"], "left").withColumn(
+        "d", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("distance")))
+    by_size = F.lit(1.0) - F.least("n", "np") / F.greatest("n", "np")
+    least = F.greatest(by_size, F.coalesce("d", "least", F.lit(0.0)))
+    placed = staged(spark, placed.select("s", "p", "node", "n", "root", "d", least.alias("least")), "placed")
+    if space.sets is not None:
+        cells = placed.where(F.col("d").isNotNull()).select("p", "node", "root", "d").distinct()
+        roots = merged(staged(spark, space.join_cells(cells), "cell-links"))
+    # nodes far from their pivot: pairs in a region that are not both in its cell
+    x = placed.select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"), F.col("n").alias("na"))
+    y = placed.where(F.col("d").isNull()).select(
+        "s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("least").alias("lb"), F.col("n").alias("nb"))
+    rest = x.join(y, "s").where("ra != rb and 5 * least(na, nb) >= 4 * greatest(na, nb) and "
+                                "(da is null and a < b or da is not null and lb <= da + 0.2 + 1e-9)")
+    rest = pairs_of(rest.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    rest = staged(spark, rest.join(seen, ["a", "b"], "left_anti"), "pairs-last")
+    if not rest.isEmpty():
+        roots = merged(space.compare(rest).where("linked"))
     out = space.signed.select("id", "h", "n", "node").join(roots, "node", "left")
     return out.select("id", "h", "n", F.coalesce("root", "node").alias("root"))
 
