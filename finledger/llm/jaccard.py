@@ -436,10 +436,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     rows = staged(docs.sparkSession, link_components(docs, key, text, **how), "classes")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     first = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("f"))
-    keep = first.select(F.col("f.id").alias("__id"), F.col("f.h").alias("__h"))
-    keep = keep.union(rows.where(F.col("root").isNull()).select("id", "h").distinct())
-    keep = staged(docs.sparkSession, keep, "kept")
-    own = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    same = own[key].eqNullSafe(keep["__id"]) & (own["__h"] == keep["__h"])
-    # rows with equal key and text are one document
-    return own.join(keep, same, "left_semi").dropDuplicates([key, "__h"]).select(*docs.columns)
+    mark = rows.where(F.col("root").isNotNull()).join(first, "root")
+    gone = mark.where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("h") == F.col("f.h"))))
+    gone = staged(docs.sparkSession, gone.select(F.col("id").alias("__id"), F.col("h").alias("__gone")).distinct(), "gone")
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = own.join(gone, own[key].eqNullSafe(gone["__id"]) & (own["__own"] == gone["__gone"]), "left_anti")
+    # rows with equal key and text are one document; where there are none, texts need no second shuffle
+    if not rows.groupBy("id", "h").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([key, "__own"])
+    return out.select(*docs.columns)
