@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: a sharded BM25 index fills each seed's window with unused neighbours.
 
-Documents become token ids (plus an end id), are dealt to shards by their most
-telling token, so that documents with a rare token in common meet, and each
-shard is packed in blocks of bounded size.  A block's inverted index (BM25 over
+Documents become token ids (plus an end id), are dealt to shards by their rarest
+token (the one merged last, which has the largest id), so that documents with a
+rare token in common meet, and each shard is packed in blocks of bounded size.  A block's inverted index (BM25 over
 token ids, with idf and mean length of the whole corpus) ranks the unused
 documents for a seed; they fill the seed's window in that order and the last one
 is cut at the window's end, its rest staying unused.  What is left at a block's
@@ -40,26 +40,37 @@ def _u16(ids: list[int]) -> bytes:
 
 
 def encoder(path: str, whole):
-    """Batches of (id, text) to (id, ids): ids as little-endian 16-bit numbers with the end id."""
+    """(id, text) to (id, ids, crc, rare): ids as little-endian 16-bit numbers with the end id, and the largest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = words_of(path, whole.value, "u16", _u16), _u16([END_ID])
+        words, end = words_of(path, whole.value, _u16, pa.binary()), _u16([END_ID])
         for b in batches:
-            ids = [b"".join(words.of_text(t or "")) + end for t in b.column(1).to_pylist()]
+            ids: list[bytes] = []
+            for found, ends in words.of_texts([t or "" for t in b.column(1).to_pylist()]):
+                if not len(found):
+                    ids += [end] * (len(ends) - 1)
+                    continue
+                # the words' ids lie one after the other in the array's data
+                place = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1][ends]
+                data = memoryview(found.buffers()[2])
+                ids += [bytes(data[x:y]) + end for x, y in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                ["id", "ids", "crc"])
+                [b.column(0), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                 pa.array([int(np.frombuffer(x, "<u2").max()) for x in ids], pa.int32())],
+                ["id", "ids", "crc", "rare"])
 
     return run
 
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: documents holding each token; token -1 counts documents, -2 tokens."""
-    df, docs, total = np.zeros(VOCABULARY, np.int64), 0, 0
+    df, docs, total, here = np.zeros(VOCABULARY, np.int64), 0, 0, np.zeros(VOCABULARY, bool)
     for b in batches:
         for x in b.column(0).to_pylist():
             ids = np.frombuffer(x, "<u2")
-            df[np.unique(ids)] += 1
+            here[ids] = True
+            df += here
+            here[ids] = False
             docs, total = docs + 1, total + len(ids)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays(
@@ -67,21 +78,6 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ["token", "n"])
 
 
-def telling(idf):
-    """Adds the token of the highest tf-idf weight; ties go to the smaller token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = idf.value
-        for b in batches:
-            best = []
-            for x in b.column(1).to_pylist():
-                t, n = np.unique(np.frombuffer(x, "<u2"), return_counts=True)
-                best.append(int(t[np.argmax(w[t] * np.log1p(n))]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int32())], ["id", "ids", "crc", "best"])
-
-    return run
-
-
 class Block:
     """Unused pieces of documents and their inverted index."""
 
@@ -195,7 +191,7 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
 
     The ids are written once to the shared folder; the corpus statistics
     (at most one row per token) and the packing read them there.  One shuffle
-    moves the ids to their shards, ranged over (telling token, checksum), so that
+    moves the ids to their shards, ranged over (rarest token, checksum), so that
     a token held by many documents is split over shards; rows are sorted in a
     shard, so a task that runs again packs the same way.
     """
@@ -204,7 +200,7 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     kind = df.schema[key].dataType.simpleString()
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long"), "token-ids")
+    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long, rare int"), "token-ids")
     counts = map_batches(ids.select("ids"), frequencies, "token long, n long")
     found = {r["token"]: r["n"] for r in counts.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator()}
     docs, total = found.pop(-1, 0), found.pop(-2, 0)
@@ -212,8 +208,7 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     for t, n in found.items():
         idf[t] = np.log1p((docs - n + 0.5) / (n + 0.5))
     idf = spark.sparkContext.broadcast(idf)
-    dealt = map_batches(ids, telling(idf), f"id {kind}, ids binary, crc long, best int")
-    dealt = dealt.repartitionByRange("best", "crc", "id").sortWithinPartitions("best", "crc", "id")
+    dealt = ids.repartitionByRange("rare", "crc", "id").sortWithinPartitions("rare", "crc", "id")
     pieces = map_batches(dealt.select("id", "ids"), 
         packer(window, idf, max(1.0, total / max(1, docs))),
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
