@@ -634,4 +634,5 @@ mw AS (SELECT {{keys}}month, revenue, lag(revenue) OVER (w) AS prev,
   {_fmt_currency('avg_value')} AS avg_value_text
 FROM kov, kvol"""
     )
+    Q["cache_failures"] = Q["failure_histogram"]
     return Q

@@ -90,7 +90,23 @@ def _scan_books(c: Context) -> DataFrame:
 
 @query("cache_roundtrip")
 def _cache(c: Context) -> DataFrame:
-    return FS.load_or_build(c.spark, FS.new_path(c.spark, "ledger"), lambda: c.ledger)
+    return _from_cache(c)[0]
+
+
+def _from_cache(c: Context) -> tuple[DataFrame, DataFrame]:
+    """Builds the cache, then loads it again: the second load must not build."""
+
+    def never() -> DataFrame:
+        raise AssertionError("a present cache was built again")
+
+    path = FS.new_path(c.spark, "cache")
+    FS.load_or_build_all(c.spark, path, lambda: c.ledger, lambda: c.failures)
+    return FS.load_or_build_all(c.spark, path, never, never)
+
+
+@query("cache_failures")
+def _cache_failures(c: Context) -> DataFrame:
+    return _from_cache(c)[1]
 
 
 @query("load_report")

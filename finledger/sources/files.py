@@ -224,27 +224,38 @@ def read_ledger_cache(spark: SparkSession, path: str, schema: T.StructType | Non
     return df.select(*[f.name for f in schema.fields]) if schema is not None else df
 
 
-def load_or_build(spark: SparkSession, path: str, build, prefer_cache: bool = True) -> DataFrame:
-    """Cache policy: a present cache wins (no staleness check, like the dashboard).
-
-    Only an absent path is built; any other error (permission, network, a broken
-    file) is raised and nothing is overwritten.
-    """
+def _present(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there; any error but an absent path (permission, network, a broken file) is raised."""
     from pyspark.errors import AnalysisException
 
-    from ..schema import LEDGER
-
     try:
-        exists = prefer_cache and bool(spark.read.parquet(path).schema.fields)
+        return bool(spark.read.parquet(path).schema.fields)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
-        exists = False
-    if not exists:
+        return False
+
+
+def load_or_build(spark: SparkSession, path: str, build, prefer_cache: bool = True) -> DataFrame:
+    """Cache policy: a present cache wins (no staleness check, like the dashboard);
+    only an absent path is built, nothing unreadable is overwritten."""
+    from ..schema import LEDGER
+
+    if not (prefer_cache and _present(spark, path)):
         write_ledger_cache(build(), path)
     return read_ledger_cache(spark, path, LEDGER)
 
 
+def load_or_build_all(spark: SparkSession, path: str, build_ledger, build_failures) -> tuple[DataFrame, DataFrame]:
+    """Ledger and failure histogram kept side by side, each under the same policy."""
+    from ..schema import FAILURES
+
+    ledger = load_or_build(spark, f"{path}/ledger", build_ledger)
+    if not _present(spark, f"{path}/failures"):
+        build_failures().write.parquet(f"{path}/failures")
+    return ledger, spark.read.schema(FAILURES).parquet(f"{path}/failures")
+
+
 # --- S7: load report ------------------------------------------------------------
 def load_report(spark: SparkSession, union: DataFrame, extra: dict[str, DataFrame] | None = None,
                 gateways=GATEWAYS) -> DataFrame:
