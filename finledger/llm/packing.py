@@ -17,7 +17,9 @@ document; an empty table packs into nothing.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,10 @@ VOCABULARY = 1 << 16
 
 
 def _u16(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u2").tobytes()
+    a = array("H", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 def encoder(path: str, whole):

@@ -131,6 +131,27 @@ class Words(dict):
             self[word] = value
         return value
 
+    def simple_ids(self, word: str) -> list[int]:
+        """The ids of a word of a simple, lower-cased text: letters alone are one composed pre-token."""
+        if not word.isalpha():
+            return self.ids(word)
+        if (one := self.whole.get(word)) is not None:
+            return [one]
+        return [t.id for t in self.merge(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]
+
+    def simple_values(self, words: list[str]) -> list:
+        """The values of distinct words of simple texts."""
+        found = list(map(self.get, words))
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        for i, v in enumerate(found):
+            if v is None:
+                word = words[i]
+                found[i] = v = self.made(self.simple_ids(word))
+                if len(word) <= LONGEST_CACHED:
+                    self[word] = v
+        return found
+
     def of_text(self, text: str) -> Iterable:
         """The words' values, in order; their ids are those of the whole text."""
         if ODD_SPACE.search(text):  # Python splits at these, the library does not
@@ -153,7 +174,7 @@ class Words(dict):
             plain = [t.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ") if simple(t) else None for t in part]
             words = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
             flat = words.flatten().dictionary_encode()
-            values = pa.array(map(self.__getitem__, flat.dictionary.to_pylist()), self.kind)
+            values = pa.array(self.simple_values(flat.dictionary.to_pylist()), self.kind)
             ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(words).to_pylist())])
             found = values.take(flat.indices)
             if None in plain:
