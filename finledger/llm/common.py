@@ -73,6 +73,17 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+_WORKER: dict = {}
+
+
+def kept(key, make: Callable):
+    """A worker process's cache, across its tasks; the cache of whatever ran there before goes."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import kept, map_batches
 
 # fixed values: the pre-token pattern of the tokenizer file
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -42,7 +42,7 @@ SIMPLE = re.compile("(?:[0-9A-Za-z\t-\r \xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01
 ASCII_CLASS = bytes(ord("x") if chr(b).isalnum() or b in (9, 10, 11, 12, 13, 32) or b > 126 else ord("c") if b < 32 else
                     ord(".") if chr(b) in ".," else ord("m") for b in range(256))
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 64
 PART_CHARS = 4_000_000
 END_ID = 2
@@ -101,7 +101,7 @@ class Words(dict):
         if (ids := self.pre.get(p)) is None:
             ids = [t.id for t in self.merge("".join(map(self.letters.__getitem__, p.encode())))]
             if len(p) <= LONGEST_CACHED:
-                if len(self.pre) > CACHED_WORDS // 4:
+                if len(self.pre) > CACHED_WORDS // 8:
                     self.pre.clear()
                 self.pre[p] = ids
         return ids
@@ -193,14 +193,9 @@ def simple(text: str) -> bool:
     return b"m." not in classes and b".." not in classes and b"c" not in classes and "<|" not in text and "\x7f" not in text
 
 
-_KEPT: dict = {}
-
-
 def words_of(path: str, whole: dict[str, int], made: Callable[[list[int]], object], kind: pa.DataType) -> Words:
     """One cache for each worker process, tokenizer and kind of value."""
-    if (path, kind) not in _KEPT:
-        _KEPT[path, kind] = Words(load(path), whole, made, kind)
-    return _KEPT[path, kind]
+    return kept(("words", path, str(kind)), lambda: Words(load(path), whole, made, kind))
 
 
 def counter(path: str, whole, limit: int):

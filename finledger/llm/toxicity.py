@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import kept, map_batches
 
 PAD = b"   "
 #: letters of a word: everything but ASCII blanks and punctuation
@@ -164,16 +165,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(rows, share)
 
 
-_KEPT: dict = {}
+def with_cache(model, name: str):
+    """The broadcast model, its word cache that of the worker process."""
+    m = model.value
+    m._saved = kept(("toxicity", name), dict)
+    return m
 
 
-def scorer(model):
+def scorer(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _KEPT.setdefault(model.id, model.value) if hasattr(model, "id") else model.value
+        m = with_cache(model, name)
         for b in batches:
             x = np.array([m.features(words(t)) for t in b.column(1).to_pylist()]).reshape(-1, 2 * len(STEPS))
             s = m.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["id", "score"])
+        m._saved = {}  # only the worker's cache holds on to the words
 
     return run
 
@@ -183,19 +189,20 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     sent = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    out = map_batches(rows, scorer(sent), f"id {kind}, score double").withColumnRenamed("id", key)
+    out = map_batches(rows, scorer(sent, uuid4().hex), f"id {kind}, score double").withColumnRenamed("id", key)
     return out.select(key, (remainder(key) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def marker(model):
+def marker(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _KEPT.setdefault(model.id, model.value) if hasattr(model, "id") else model.value
+        m = with_cache(model, name)
         for b in batches:
             at = b.schema.get_field_index("__text")
             x = np.array([m.features(words(t)) for t in b.column(at).to_pylist()]).reshape(-1, 2 * len(STEPS))
             keep = pa.array(m.score(x) < 0.5, pa.bool_())
             yield b.drop_columns(["__text"]).filter(keep)
+        m._saved = {}
 
     return run
 
@@ -203,4 +210,4 @@ def marker(model):
 def drop_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``df`` that the model does not call toxic, with all their columns. No shuffle."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    return map_batches(df.withColumn("__text", F.col(text).cast("string")), marker(sent), df.schema)
+    return map_batches(df.withColumn("__text", F.col(text).cast("string")), marker(sent, uuid4().hex), df.schema)
