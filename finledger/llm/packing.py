@@ -33,7 +33,7 @@ from .tokens import END_ID, tokenizer_file, whole_tokens, words_of
 
 K1, B = 1.2, 0.75
 #: a block holds at most so many documents and tokens; its index is all that a task keeps
-BLOCK_DOCS, BLOCK_TOKENS = 512, 1 << 20
+BLOCK_DOCS, BLOCK_TOKENS = 256, 1 << 20
 VOCABULARY = 1 << 16
 
 
@@ -69,12 +69,13 @@ def encoder(path: str, whole):
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: documents holding each token; token -1 counts documents, -2 tokens."""
-    df, docs, total, here = np.zeros(VOCABULARY, np.int64), 0, 0, np.zeros(VOCABULARY, bool)
+    df, docs, total, here = np.zeros(VOCABULARY, np.int32), 0, 0, np.zeros(VOCABULARY, bool)
     for b in batches:
         for x in b.column(0).to_pylist():
             ids = np.frombuffer(x, "<u2")
             here[ids] = True
-            df += here
+            top = int(ids.max()) + 1
+            df[:top] += here[:top]
             here[ids] = False
             docs, total = docs + 1, total + len(ids)
     at = np.flatnonzero(df)

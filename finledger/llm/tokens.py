@@ -42,7 +42,7 @@ SIMPLE = re.compile("(?:[0-9A-Za-z\t-\r \xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01
 ASCII_CLASS = bytes(ord("x") if chr(b).isalnum() or b in (9, 10, 11, 12, 13, 32) or b > 126 else ord("c") if b < 32 else
                     ord(".") if chr(b) in ".," else ord("m") for b in range(256))
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 LONGEST_CACHED = 64
 PART_CHARS = 4_000_000
 END_ID = 2
@@ -101,7 +101,7 @@ class Words(dict):
         if (ids := self.pre.get(p)) is None:
             ids = [t.id for t in self.merge("".join(map(self.letters.__getitem__, p.encode())))]
             if len(p) <= LONGEST_CACHED:
-                if len(self.pre) > CACHED_WORDS // 8:
+                if len(self.pre) > CACHED_WORDS // 16:
                     self.pre.clear()
                 self.pre[p] = ids
         return ids
