@@ -73,6 +73,19 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def smallest_hashes(df: DataFrame, keys: list[str], wanted: int, of: int) -> DataFrame:
+    """The ``wanted`` rows with the smallest hash of ``keys`` among ``of`` rows.
+
+    A share a little above ``wanted / of`` is filtered out first, so that only
+    about as many rows as wanted reach the task that sorts them, at every size.
+    """
+    hashed = F.xxhash64(*keys)
+    share = min(1.0, (wanted + 6 * wanted**0.5 + 50) / max(1, of))
+    if share < 1:
+        df = df.where(hashed < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return df.orderBy(hashed, *keys).limit(wanted)
+
+
 _WORKER: dict = {}
 
 

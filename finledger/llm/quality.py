@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import map_batches, smallest_hashes, staged
 
 BUCKETS = 1 << 16
 GOOD, BAD, NONE = 1, 2, 0
@@ -161,7 +161,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     found = {r["pattern"]: r["n"] for r in counts.toLocalIterator()}  # at most 3^9 rows
     posterior, _, _ = label_model(found)
     short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
-    picked = short.orderBy(F.xxhash64("id", "text"), "id").limit(sample)
+    picked = smallest_hashes(short, ["id", "text"], sample, sum(found.values()))
     texts = [r["text"] or "" for r in staged(spark, picked, "quality-sample").orderBy(F.xxhash64("id", "text"), "id").toLocalIterator()]
     target = np.array([posterior.get(code(votes(t)), 0.5) for t in texts])
     sent = spark.sparkContext.broadcast(learn(texts, target))
