@@ -33,7 +33,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches
+from .common import kept, map_batches, smallest_hashes
 
 PAD = b"   "
 #: letters of a word: everything but ASCII blanks and punctuation
@@ -156,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = (n["t"] or 0) / n["n"] if n["n"] else 0.0
     rows: list[tuple[str, int]] = []
     for c in (0, 1):
-        # bounded: the smallest hashes of a class, found by a distributed top-k; texts join afterwards
-        ids = marked.where(F.col("y") == c).select("__k").orderBy(F.xxhash64("__k"), "__k").limit(per_class)
+        # bounded: the smallest hashes of a class; texts join afterwards
+        of = (n["t"] or 0) if c else n["n"] - (n["t"] or 0)
+        ids = smallest_hashes(marked.where(F.col("y") == c).select("__k"), ["__k"], per_class, of)
         body = docs.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("t"))
         body = body.where(F.octet_length("t").between(1, longest))
         got = body.join(F.broadcast(ids), "__k").groupBy("__k").agg(F.min("t").alias("t"))
