@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, staged
+from .common import map_batches, ship, smallest_hashes, staged
 
 LEAF = 64
 MAX_CELLS = 1 << 16
@@ -190,7 +190,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
     points = staged(spark, map_batches(candidates.select("id", "v"), projected(False), "id long, x binary, p binary"), "points")
     # the index is fitted on the smallest hashes: a bounded sample, alike at every size
-    taken = points.select("p").orderBy(F.xxhash64("id"), "id").limit(sample)
+    taken = smallest_hashes(points.select("id", "p"), ["id"], sample, count).select("p")
     pts = matrix([bytes(r["p"]) for r in taken.toLocalIterator()], dims)
     depth = max(0, math.ceil(math.log2(max(1, min(MAX_CELLS, count / cell_rows)))))
     tree = spark.sparkContext.broadcast(Splits(pts, depth))
