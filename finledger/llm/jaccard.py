@@ -254,7 +254,14 @@ class Space:
         sets = map_batches(some.select(F.col("h"), F.lit(0).cast("long").alias("place"), "text"), listed(none, flags),
                            "node long, s array<long>").dropDuplicates(["node"])
         often = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 3)
-        often = often.orderBy(F.desc("c"), "s").limit(hot)
+        # the least count that at most ``hot`` shingles reach: no sort of all of them
+        often, least, total = staged(spark, often, "frequent"), 3, 0
+        for r in often.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
+            total += r["n"]
+            if total > hot:
+                least = r["c"] + 1
+                break
+        often = often.where(F.col("c") >= least)
         self.hot = spark.sparkContext.broadcast(np.sort(np.array([r["s"] for r in often.toLocalIterator()], np.int64)))
         signed = staged(spark, map_batches(self.rows, signer(self.hot), one), "signatures")
         known = signed.where(F.col("node").isNotNull()).select("node", "n", "prefix").dropDuplicates(["node"])
