@@ -277,23 +277,24 @@ class Space:
         first = self.signed.join(need, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
         first = staged(self.spark, first, "wanted")
         place = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-        bits = first.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(
+        # Spark's bitmaps number positions from 1, in buckets of 32768 that begin at 1
+        bits = first.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(
             F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
         flags = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
         any_ = False
-        for r in bits.toLocalIterator():  # a bitmap of fixed size in at most 129 rows
-            part, lo = np.frombuffer(bytes(r["bits"]), np.uint8), (r["k"] - 1) * 4096 if r["k"] else 0
+        for r in bits.toLocalIterator():  # a bitmap of fixed size in at most 128 rows
+            part, lo = np.frombuffer(bytes(r["bits"]), np.uint8), (r["k"] - 1) * 4096
             flags[lo:lo + len(part)] |= part
             any_ = True
         if not any_:
             return
         flags = self.spark.sparkContext.broadcast(flags)
-        # bitmap positions count from 0 for number 0, in buckets of 32768 that begin at 1
-        spot = F.expr("(bitmap_bucket_number(p) - 1) * 32768 + bitmap_bit_position(p)")
-        rows = self.rows.withColumn("p", place).where(F.col("text") != "")
-        found = map_batches(rows.select("h", spot.cast("long").alias("place"), "text"), whole_sets(self.hot, flags), "node long, s binary")
+        rows = self.rows.where(F.col("text") != "").select("h", place.cast("long").alias("place"), "text")
+        found = map_batches(rows, whole_sets(self.hot, flags), "node long, s binary")
         found = found.join(first, "node", "left_semi").dropDuplicates(["node"])
         found = staged(self.spark, found, "sets")
+        if (lost := first.count() - found.count()) != 0:
+            raise RuntimeError(f"{lost} wanted sets were not found")
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def compare(self, pairs: DataFrame) -> DataFrame:

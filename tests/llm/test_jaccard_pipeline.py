@@ -85,6 +85,14 @@ def test_groups_equal_brute_force_in_any_setting(spark, monkeypatch):
     assert result(J.join_documents(df, share=1, hot=3, rounds=1)) == want
 
 
+def test_every_place_of_the_filter_is_fetched(spark, monkeypatch):
+    # one text in eight stands at the filter's first place, 0
+    monkeypatch.setattr(J, "FILTER_BITS", 8)
+    rows = groups()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.join_documents(df)) == brute(rows)
+
+
 def test_one_of_each_keeps_the_smallest_and_all_columns(spark):
     rows = groups(9)
     data = [(k, t, "q") for k, t in rows] + [(None, rows[0][1], "q"), (rows[3][0], rows[3][1], "q"), (None, "only here without id", "q")]
