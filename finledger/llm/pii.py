@@ -31,18 +31,21 @@ from pyspark.sql import functions as F
 from .common import staged
 
 ROUNDS = 4
+# fixed values: a capitalised word of a name, and all that follow it
+WORD = r"(?:\p{Lu}['’])?+\p{Lu}\p{L}++(?:['’]\p{Lu}\p{L}++)?"
+NAMES = f"{WORD}(?:[ -]{WORD})*+"
 # fixed values: what the detector knows, one alternative for each type, most specific first
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "aws": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"\b(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{8,200}",
+    "secret": r"\b(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}(?:\"[^\s\"]{8,}+|'[^\s']{8,}+|[^\s\"']{8,}+)",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b",
-    "woman": r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
-    "man": r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Г-н)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
+    "woman": r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа)\.? " + NAMES,
+    "man": r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Г-н)\.? " + NAMES,
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 _HEX = "0123456789abcdef"
@@ -50,6 +53,8 @@ _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмн
 
 
 SECRET_NAME = r"^[^=:]*[=:]\s{0,3}[\"']?"
+#: signs at a secret's end may belong to the sentence: they stay, and are no part of its identity
+SECRET_END = r"[.,;:!?)\]}>]*+$"
 
 
 def let(value: Column, body) -> Column:
@@ -71,7 +76,8 @@ def normal(kind: Column, m: Column) -> Column:
     name = F.lower(F.regexp_replace(m, r"^\S+ ", ""))
     return (F.when(kind == "email", F.lower(m)).when(kind == "phone", F.right(digits, F.lit(10)))
             .when(kind == "card", digits).when(kind == "iban", F.regexp_replace(m, " ", ""))
-            .when(kind.isin("woman", "man"), name).when(kind == "secret", F.regexp_replace(m, SECRET_NAME, "")).otherwise(m))
+            .when(kind.isin("woman", "man"), name)
+            .when(kind == "secret", F.regexp_replace(F.regexp_replace(m, SECRET_NAME, ""), SECRET_END, "")).otherwise(m))
 
 
 def _stream(key: str, kind: Column, norm: Column, draw: Column) -> Column:
@@ -108,6 +114,18 @@ def _reshape(m: Column, stream: Column, hexadecimal: Column, keep_from: Column)
     return F.aggregate(F.split(F.reverse(m), ""), start, step, lambda s: s["out"])
 
 
+def _secret(norm: Column, stream: Column) -> Column:
+    """A secret's shape filled from the stream, in time linear in its length; letters of other scripts become Latin ones."""
+    hexadecimal = norm.rlike("^[0-9a-f]+$")
+
+    def char(c: Column, i: Column) -> Column:
+        latin = F.when(hexadecimal, _letter("abcdef", _pick(stream, i, 6))).otherwise(_letter(_LATIN, _pick(stream, i, 26)))
+        return (F.when(c.rlike("[0-9]"), _pick(stream, i, 10).cast("string")).when(c.rlike("[A-Z]"), F.upper(latin))
+                .when(c.rlike(r"[a-z]|[^\x00-\x7F]"), latin).otherwise(c))
+
+    return F.array_join(F.transform(F.split(norm, ""), char), "")
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of a number, its last digit counted once."""
     def add(s: Column, c: Column) -> Column:
@@ -121,13 +139,15 @@ def _name(m: Column, stream: Column, ending: str) -> Column:
     """Title, then as many names of keyed syllables as the entity has, in its script."""
     syllables = F.array(*[F.lit(a + b) for a in "bdklmnrstv" for b in "aeio"])
 
-    def word(at: int, last: str) -> Column:
-        parts = [F.element_at(syllables, _pick(stream, F.lit(at + i), 40) + 1) for i in range(4 if at else 3)]
+    def word(at: Column, syllables_of: int, last: str) -> Column:
+        parts = [F.element_at(syllables, _pick(stream, at + i, 40) + 1) for i in range(syllables_of)]
         return F.initcap(F.concat(*parts, F.lit(last)))
 
     title, rest = F.regexp_extract(m, r"^(\S+ )", 1), F.regexp_replace(m, r"^\S+ ", "")
-    between = F.regexp_extract(rest, r"[ -]", 0)
-    latin = F.when(between == "", word(8, "s")).otherwise(F.concat(word(0, ending), between, word(8, "s")))
+    # the last name stands at 8 of the stream, the first at 0, those between from 12 on
+    between = F.regexp_extract_all(rest, F.lit(r"[ -]"), F.lit(0))
+    given = F.transform(between, lambda sign, i: F.concat(word(F.when(i == 0, 0).otherwise(8 + 4 * i), 3, ending), sign))
+    latin = F.concat(F.array_join(given, ""), word(F.lit(8), 4, "s"))
     cyrillic = F.translate(latin, _LATIN + _LATIN.upper(), _CYRILLIC + _CYRILLIC.upper())
     return F.concat(title, F.when(rest.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
 
@@ -163,7 +183,8 @@ def _laid_over(m: Column, kind: Column, norm: Column, s: Column) -> Column:
     cards = let(F.struct(digits.alias("digits"), _reshape(m, s, never, F.length(digits) - 1).alias("drawn")), card)
     aws = F.concat(F.lit("AKIA"), _reshape(F.substr(m, F.lit(5)), s, never, every))
     iban = F.concat(F.substr(m, F.lit(1), F.lit(2)), _reshape(F.substr(m, F.lit(3)), s, never, every))
-    secret = F.concat(F.regexp_extract(m, SECRET_NAME, 0), _reshape(norm, s, norm.rlike("^[0-9a-f]+$"), every))
+    ending = F.regexp_extract(F.regexp_replace(m, SECRET_NAME, ""), SECRET_END, 0)
+    secret = F.concat(F.regexp_extract(m, SECRET_NAME, 0), _secret(norm, s), ending)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", cards)
             .when(kind == "aws", aws).when(kind == "iban", iban).when(kind == "woman", _name(m, s, "a"))
             .when(kind == "man", _name(m, s, "on")).when(kind == "secret", secret).otherwise(_reshape(m, s, never, every)))

@@ -44,6 +44,23 @@ def test_surrogates_keep_type_format_gender_and_script(spark):
     assert texts(P.pseudonymise(df, "k")) == out != texts(P.pseudonymise(df, "other key"))
 
 
+def test_long_secrets_tokens_passwords_and_names_go_whole(spark):
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    key, parts = some(500), [some(36), some(90), some(43)]
+    rows = [f"token={key} end", f'api_key: "{".".join(parts)}" end', "password=P@ss!w$rdÜber end", f"secret='{parts[0]}==~{parts[1]}' end",
+            "Mr Juan Carlos Perez came", "Mrs. Ana Maria Lopez-Garcia O'Neill came", f"password={parts[0]}.", f"password={parts[0]}"]
+    out = texts(P.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k"))
+    left = lambda value, text: [value[i:i + 6] for i in range(len(value) - 5) if value[i:i + 6] in text]
+    assert re.fullmatch(r"token=[A-Za-z0-9]{500} end", out[0]) and not left(key, out[0])
+    assert re.fullmatch(r'api_key: "\w{36}\.\w{90}\.\w{43}" end', out[1]) and not any(left(x, out[1]) for x in parts)
+    assert re.fullmatch(r"password=[A-Z]@[a-z]{2}![a-z]\$[a-z]{6} end", out[2])
+    assert not any(left(x, out[3]) for x in parts) and out[3].endswith("' end") and "==~" in out[3]
+    assert re.fullmatch(r"Mr \w+on \w+on \w+s came", out[4]) and not re.search("Juan|Carlos|Perez", out[4])
+    assert re.fullmatch(r"Mrs\. \w+a \w+a \w+a-\w+a \w+s came", out[5]) and not re.search("Ana|Maria|Lopez|Garcia|Neill", out[5])
+    assert out[6] == out[7] + "." and parts[0] not in out[7]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     # a surrogate space of 1000 for 60 entities collides for sure
     real = P.surrogate
