@@ -116,6 +116,11 @@ class Context:
             return self.inputs.books
         return BIND.books_sheet(self.spark, self.sf_dir, self.p.fiscal_from, self.p.fiscal_to)
 
+    @cached_property
+    def books_export(self) -> DataFrame | None:
+        """The whole sheet, entries outside the fiscal window too."""
+        return self.books_sheet if self.inputs is not None else BIND.books_sheet(self.spark, self.sf_dir)
+
     @cached_property
     def books(self) -> DataFrame:
         if self.books_sheet is None:

@@ -85,7 +85,7 @@ def _scan_statement(c: Context) -> DataFrame:
 
 @query("scan_books")
 def _scan_books(c: Context) -> DataFrame:
-    return B.books_window(B.books_typed(FS.scan_books(c.spark, c.books_sheet)), c.p)
+    return B.books_window(B.books_typed(FS.scan_books(c.spark, c.books_export)), c.p)
 
 
 @query("cache_roundtrip")

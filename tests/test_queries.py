@@ -106,6 +106,16 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint" in plan
 
 
+def test_scan_books_reads_the_whole_sheet_and_cuts_the_window_afterwards(spark, monkeypatch):
+    from finledger.plans import registry
+    from finledger.sources import files as FS
+
+    sheets, scan = [], FS.scan_books
+    monkeypatch.setattr(FS, "scan_books", lambda spark, sheet, *a, **b: sheets.append(sheet) or scan(spark, sheet, *a, **b))
+    rows = registry.run(spark, SF001, "scan_books").count()
+    assert sheets[0].count() == spark.read.parquet(f"{SF001}/lineitem.parquet").count() > rows > 0
+
+
 def test_scan_books_splits_entities_over_pages(spark):
     """With a small page size every entity spans several sheet files; the read-back
     must still hold exactly the entries (title and header rows skipped per file)."""
