@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: a sharded BM25 index fills each seed's window with unused neighbours.
 
-Documents become token ids (plus an end id), are dealt to shards by their rarest
-token (the one merged last, which has the largest id), so that documents with a
-rare token in common meet, and each shard is packed in blocks of bounded size.  A block's inverted index (BM25 over
+Documents become token ids (plus an end id), are dealt to shards by their most
+telling token (tf-idf over the corpus), so that documents with a rare token in
+common meet, and each shard is packed in blocks bounded by their tokens alone.  A block's inverted index (BM25 over
 token ids, with idf and mean length of the whole corpus) ranks the unused
 documents for a seed; they fill the seed's window in that order and the last one
 is cut at the window's end, its rest staying unused.  What is left at a block's
@@ -32,8 +32,8 @@ from .common import map_batches, staged
 from .tokens import END_ID, tokenizer_file, whole_tokens, words_of
 
 K1, B = 1.2, 0.75
-#: a block holds at most so many documents and tokens; its index is all that a task keeps
-BLOCK_DOCS, BLOCK_TOKENS = 256, 1 << 20
+#: a block is full at so many tokens; its index is all that a task keeps
+BLOCK_TOKENS = 1 << 20
 VOCABULARY = 1 << 16
 
 
@@ -45,7 +45,7 @@ def _u16(ids: list[int]) -> bytes:
 
 
 def encoder(path: str, whole):
-    """(id, text) to (id, ids, crc, rare): ids as little-endian 16-bit numbers with the end id, and the largest."""
+    """(id, text) to (id, ids, crc): ids as little-endian 16-bit numbers with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = words_of(path, whole.value, _u16, pa.binary()), _u16([END_ID])
@@ -60,9 +60,8 @@ def encoder(path: str, whole):
                 data = memoryview(found.buffers()[2])
                 ids += [bytes(data[x:y]) + end for x, y in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                 pa.array([int(np.frombuffer(x, "<u2").max()) for x in ids], pa.int32())],
-                ["id", "ids", "crc", "rare"])
+                [b.column(0), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
+                ["id", "ids", "crc"])
 
     return run
 
@@ -84,6 +83,21 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ["token", "n"])
 
 
+def telling(idf):
+    """Adds the token of the highest tf-idf weight; ties go to the smaller token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = idf.value
+        for b in batches:
+            best = []
+            for x in b.column(1).to_pylist():
+                t, n = np.unique(np.frombuffer(x, "<u2"), return_counts=True)
+                best.append(int(t[np.argmax(w[t] * np.log1p(n))]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int32())], ["id", "ids", "crc", "best"])
+
+    return run
+
+
 class Block:
     """Unused pieces of documents and their inverted index."""
 
@@ -94,8 +108,8 @@ class Block:
             t, n = np.unique(ids[start:], return_counts=True)
             long = len(ids) - start
             self.terms.append(t)
-            tf.append(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * long / mean)))
-            of.append(np.full(len(t), i))
+            tf.append((idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * long / mean))).astype(np.float32))
+            of.append(np.full(len(t), i, np.int32))
         terms = np.concatenate(self.terms)
         order = np.argsort(terms, kind="stable")
         self.weight, self.of = np.concatenate(tf)[order], np.concatenate(of)[order]
@@ -136,21 +150,26 @@ def packer(window: int, idf, mean: float):
 
         def pack(items: list[tuple]) -> list[tuple]:
             """Fills windows; returns the pieces of a window that could not be filled."""
-            block = Block(items, idf.value, mean)
-            start = [s for _, _, s in items]
-            left = [len(ids) - s for _, ids, s in items]
-            for seed in range(len(items)):
-                while left[seed]:
-                    pieces, room = [], window
-                    for i in (seed, *block.neighbours(seed).tolist()):
-                        if (take := min(left[i], room)) > 0:
-                            pieces.append((items[i][0], items[i][1], start[i], take))
-                            start[i], left[i], room = start[i] + take, left[i] - take, room - take
-                            if not room:
-                                break
-                    if room:
-                        return pieces
-                    emit(pieces)
+            while items:
+                block, unused = Block(items, idf.value, mean), len(items)
+                start = [s for _, _, s in items]
+                left = [len(ids) - s for _, ids, s in items]
+                for seed in range(len(items)):
+                    if 2 * unused < len(items):
+                        break  # the index is built again of what is unused
+                    while left[seed]:
+                        pieces, room = [], window
+                        for i in (seed, *block.neighbours(seed).tolist()):
+                            if (take := min(left[i], room)) > 0:
+                                pieces.append((items[i][0], items[i][1], start[i], take))
+                                start[i], left[i], room = start[i] + take, left[i] - take, room - take
+                                unused -= not left[i]
+                                if not room:
+                                    break
+                        if room:
+                            return pieces
+                        emit(pieces)
+                items = [(key, ids, s) for (key, ids, _), s, n in zip(items, start, left, strict=True) if n]
             return []
 
         items: list[tuple] = []
@@ -167,7 +186,7 @@ def packer(window: int, idf, mean: float):
                 if start < len(ids):
                     items.append((key, ids, start))
                     size += len(ids) - start
-                if len(items) >= BLOCK_DOCS or size >= BLOCK_TOKENS:
+                if size >= BLOCK_TOKENS:
                     open_ = pack(items)
                     # the ends of documents cut by the last window begin the next block
                     items, size = [(k, i, s) for k, i, s, _ in open_], sum(n for *_, n in open_)
@@ -197,7 +216,7 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
 
     The ids are written once to the shared folder; the corpus statistics
     (at most one row per token) and the packing read them there.  One shuffle
-    moves the ids to their shards, ranged over (rarest token, checksum), so that
+    moves the ids to their shards, ranged over (telling token, checksum), so that
     a token held by many documents is split over shards; rows are sorted in a
     shard, so a task that runs again packs the same way.
     """
@@ -206,7 +225,7 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     kind = df.schema[key].dataType.simpleString()
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long, rare int"), "token-ids")
+    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long"), "token-ids")
     counts = map_batches(ids.select("ids"), frequencies, "token long, n long")
     found = {r["token"]: r["n"] for r in counts.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator()}
     docs, total = found.pop(-1, 0), found.pop(-2, 0)
@@ -214,7 +233,8 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     for t, n in found.items():
         idf[t] = np.log1p((docs - n + 0.5) / (n + 0.5))
     idf = spark.sparkContext.broadcast(idf)
-    dealt = ids.repartitionByRange("rare", "crc", "id").sortWithinPartitions("rare", "crc", "id")
+    dealt = map_batches(ids, telling(idf), f"id {kind}, ids binary, crc long, best int")
+    dealt = dealt.repartitionByRange("best", "crc", "id").sortWithinPartitions("best", "crc", "id")
     pieces = map_batches(dealt.select("id", "ids"), 
         packer(window, idf, max(1.0, total / max(1, docs))),
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -91,6 +91,29 @@ def test_packing_of_nulls_copies_long_texts_clashes_and_empty(spark):
     assert sum(r.length for r in twice) % 2 == 0
 
 
+def test_a_window_is_filled_by_a_far_neighbour_of_its_shard():
+    # documents i and i + 600 hold the same tokens; a window has room for two documents
+    class Sent:
+        value = np.ones(P.VOCABULARY)
+
+    ids = [np.arange(1000 + i % 600 * 20, 1020 + i % 600 * 20).astype("<u2").tobytes() for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(ids, pa.binary())], ["id", "ids"])
+    of = {}
+    for out in P.packer(40, Sent, 20.0)(iter([batch])):
+        of |= dict(zip(out.column(0).to_pylist(), out.column(5).to_pylist(), strict=True))
+    assert len(of) == 1200 and all(of[i] == of[i + 600] for i in range(600))
+
+
+def test_shards_follow_the_highest_tf_idf():
+    class Sent:
+        value = np.ones(P.VOCABULARY)
+
+    Sent.value[7] = 5.0
+    ids = np.array([7, 900, 40000], "<u2").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([ids], pa.binary()), pa.array([0])], ["id", "ids", "crc"])
+    assert next(P.telling(Sent)(iter([batch]))).column(3).to_pylist() == [7]
+
+
 def test_neighbours_rank_by_bm25():
     idf = np.ones(P.VOCABULARY)
     docs = [[1, 2, 3], [9, 9, 9], [1, 2, 8], [1, 7, 6]]
