@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, linededup, packing, pii, quality, sharding, tokens, toxicity
+from . import alignment, ann, decontaminate, jaccard, linededup, merkle, mixing, packing, pii, quality, sharding, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,18 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), ["doc_id"], 8)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_surrogates": op1_surrogates,
     "op2_site_lines": op2_site_lines,
@@ -66,8 +78,13 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_jump_sharding": op10_jump_sharding,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_merge_path_alignment": op12_merge_path_alignment,
+    "op13_pareto_mix": op13_pareto_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_site_lines": linededup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_pareto_mix": mixing.SQL,
 }
