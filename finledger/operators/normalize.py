@@ -34,6 +34,18 @@ WALLET_DEFAULTS = {
     "Balance Impact": "credit",
 }
 
+# The ten checkout-export columns read by name.
+CHECKOUT_COLUMNS = [
+    "id", "Created date (UTC)", "Amount", "Amount Refunded", "Fee", "Status", "Description", "Currency",
+    "Customer Description", "Customer Email",
+]
+#: columns of each kind of export with the default where a file lacks them
+EXTRACT_COLUMNS: dict[str, dict[str, str | None]] = {
+    "card": dict.fromkeys(CARD_COLUMNS),
+    "wallet": WALLET_DEFAULTS,
+    "checkout": dict.fromkeys(CHECKOUT_COLUMNS),
+}
+
 
 def _ledger_select(df: DataFrame, **cols: Column) -> DataFrame:
     """Project to the ledger schema, casting each column to its declared type."""
@@ -58,12 +70,22 @@ def clean_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean(c) for c in df.columns])
 
 
+def card_kept() -> Column:
+    """settled rows with an amount."""
+    amount = F.col("`Amount Submitted For Settlement`")
+    return amount.isNotNull() & (amount != "") & (F.lower(F.col("`Transaction Status`")) == "settled")
+
+
+#: which records of an export its normaliser keeps
+KEPT = {"card": card_kept, "wallet": lambda: F.lit(True), "checkout": lambda: F.lit(True)}
+
+
 def normalize_card(raw: DataFrame, source: str = CARD) -> DataFrame:
     """P1 + F4: settled card rows with an amount."""
     amt_txt = F.col("`Amount Submitted For Settlement`")
     typ = F.col("`Transaction Type`")
     status = F.lower(F.col("`Transaction Status`"))
-    kept = raw.where(amt_txt.isNotNull() & (amt_txt != "") & (status == "settled"))
+    kept = raw.where(card_kept())
     amount = X.to_money(amt_txt)
     refund = typ == "credit"  # a row without type is neither sale nor refund
     return _ledger_select(

@@ -121,6 +121,13 @@ class Context:
         """The whole sheet, entries outside the fiscal window too."""
         return self.books_sheet if self.inputs is not None else BIND.books_sheet(self.spark, self.sf_dir)
 
+    @cached_property
+    def entities(self) -> DataFrame:
+        """The entities that keep books (entity)."""
+        if self.inputs is not None:
+            return self.books_export.select("entity").distinct()
+        return BIND.entities(self.spark, self.sf_dir)
+
     @cached_property
     def books(self) -> DataFrame:
         if self.books_sheet is None:

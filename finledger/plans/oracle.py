@@ -325,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
 FROM o2 WHERE gateway = 'card'"""
     )
     Q["scan_wallet"] = _w(
-        f"""SELECT strftime(d, '%m/%d/%Y') AS "Date", '00:00:00' AS "Time", 'Cust No' || ck AS "Name",
+        f"""SELECT CASE gateway WHEN 'wallet_a' THEN strftime(d, '%m/%d/%Y') ELSE strftime(d, '%-m/%-d/%Y') END AS "Date", '00:00:00' AS "Time", 'Cust No' || ck AS "Name",
   CASE WHEN rf THEN 'Payment Refund' WHEN pr = '4-NOT SPECIFIED' THEN 'General Currency Conversion'
        WHEN k % 13 = 0 THEN NULL ELSE 'Website Payment' END AS "Type",
   upper(substr(status, 1, 1)) || substr(status, 2) AS "Status",
@@ -333,10 +333,11 @@ FROM o2 WHERE gateway = 'card'"""
   {_money_text("(CASE WHEN rf OR pr = '3-MEDIUM' THEN -amt ELSE amt END)")} AS "Gross",
   {_money_text("fee")} AS "Fee",
   {_money_text("((CASE WHEN rf OR pr = '3-MEDIUM' THEN -amt ELSE amt END) - fee)")} AS "Net",
-  'cust' || ck || '@example.com' AS "From Email Address", 'wa-' || k AS "Transaction ID",
+  'cust' || ck || '@example.com' AS "From Email Address",
+  CASE gateway WHEN 'wallet_a' THEN 'wa-' ELSE 'wb-' END || k AS "Transaction ID",
   'Item ' || (k % 50) AS "Item Title",
   CASE WHEN k % 11 = 0 THEN NULL WHEN pr = '3-MEDIUM' THEN 'Debit' ELSE 'Credit' END AS "Balance Impact"
-FROM o2 WHERE gateway = 'wallet_a'"""
+FROM o2 WHERE gateway IN ('wallet_a', 'wallet_b')"""
     )
     Q["scan_checkout"] = _w(
         """SELECT 'k-' || k AS "id", strftime(CAST(d AS TIMESTAMP), '%Y-%m-%d %H:%M') AS "Created date (UTC)",
@@ -370,6 +371,16 @@ LEFT JOIN (SELECT source, count(*) AS n FROM uni GROUP BY source UNION ALL SELEC
   UNION ALL SELECT 'wallet_a', 'wallet_a', 'loaded', count(*) FROM uni WHERE source = 'wallet_a'
   UNION ALL SELECT 'wallet_b', 'wallet_b', 'missing', 0
   UNION ALL SELECT 'checkout', 'checkout', 'loaded', count(*) FROM uni WHERE source = 'checkout')"""
+    )
+    Q["load_rejects"] = _w(
+        """SELECT r.source, CAST(r.read + coalesce(t.n, 0) AS BIGINT) AS read, b.reason, coalesce(b.n, 0) AS n, b.order_sum
+FROM (SELECT 'wallet_b' AS source, 0 AS read UNION ALL
+      SELECT gateway, count(*) FROM o2 WHERE gateway <> 'wallet_b' GROUP BY gateway) r
+LEFT JOIN (SELECT gateway AS source, CASE k % 97 WHEN 5 THEN 'short' WHEN 6 THEN 'long' ELSE 'quote' END AS reason,
+             count(*) AS n, CAST(sum(CASE WHEN k % 97 <> 5 THEN k END) AS BIGINT) AS order_sum
+           FROM o2 WHERE gateway <> 'wallet_b' AND k % 97 IN (5, 6, 7) GROUP BY 1, 2) b ON b.source = r.source
+LEFT JOIN (SELECT gateway AS source, count(*) AS n FROM o2 WHERE gateway <> 'wallet_b' AND k % 97 IN (5, 6, 7) GROUP BY 1) t
+  ON t.source = r.source"""
     )
     Q["export_csv"] = _w(f"SELECT {EXPLORE_COLS} FROM lf")
 
@@ -382,7 +393,7 @@ LEFT JOIN (SELECT source, count(*) AS n FROM uni GROUP BY source UNION ALL SELEC
   CAST(0 AS DOUBLE) AS net_amount,
   'unknown' AS status, type, source, description, 'USD' AS currency, customer_name, customer_email, is_refund,
   'credit' AS balance_impact
-FROM wal_l WHERE source = 'wallet_a'"""
+FROM wal_l"""
     )
     Q["calendar_cols"] = _w("SELECT transaction_id, date, month, yearmon, yr FROM led")
     Q["account_clean"] = _w("SELECT split, regexp_replace(split, '^[0-9]+ ', '') AS account_clean, count(*) AS n FROM bkw GROUP BY split")
@@ -393,12 +404,12 @@ FROM wal_l WHERE source = 'wallet_a'"""
 FROM stm WHERE value IS NOT NULL OR label IN {_in(S.KEY_ROWS)}"""
     )
     Q["clean_amount"] = _w(
-        """SELECT 'wa-' || k AS transaction_id,
+        """SELECT CASE gateway WHEN 'wallet_a' THEN 'wa-' ELSE 'wb-' END || k AS transaction_id,
   (CASE WHEN (CASE WHEN rf OR pr = '3-MEDIUM' THEN -amt ELSE amt END) < 0 THEN '-' ELSE '' END
    || CASE k % 3 WHEN 0 THEN '$' WHEN 1 THEN '$ ' ELSE '' END || format('{:,.2f}', amt)) AS gross_text,
   CAST(CASE WHEN rf OR pr = '3-MEDIUM' THEN -amt ELSE amt END AS DOUBLE) AS gross, CAST(fee AS DOUBLE) AS fee,
   CAST((CASE WHEN rf OR pr = '3-MEDIUM' THEN -amt ELSE amt END) - fee AS DOUBLE) AS net
-FROM o2 WHERE gateway = 'wallet_a'"""
+FROM o2 WHERE gateway IN ('wallet_a', 'wallet_b')"""
     )
     Q["parse_dates"] = _w(
         "SELECT CASE gateway WHEN 'card' THEN 'c-' WHEN 'wallet_a' THEN 'wa-' WHEN 'wallet_b' THEN 'wb-' ELSE 'k-' END || k "

@@ -21,6 +21,7 @@ from ..operators import normalize as N
 from ..operators import revenue as R
 from ..operators import statements as S
 from ..params import CARD, CHECKOUT, DEFAULT, WALLET_A, WALLET_B, Params
+from ..sources import bindings as BIND
 from ..sources import files as FS
 from .context import Context
 
@@ -62,20 +63,23 @@ def _with(ctx: Context, **kw) -> Context:
 # --- 2.1 sources / sinks ----------------------------------------------------
 @query("scan_card")
 def _scan_card(c: Context) -> DataFrame:
-    path = FS.write_extract_csv(c.card_raw, FS.new_path(c.spark, "card"), keep_blanks=True)
+    path = BIND.deliver(c.card_raw, FS.new_path(c.spark, "card"), "Transaction ID", keep_blanks=True)
     return FS.read_extract_csv(c.spark, path, N.CARD_COLUMNS, keep_blanks=True)
 
 
 @query("scan_wallet")
 def _scan_wallet(c: Context) -> DataFrame:
-    path = FS.write_extract_csv(c.wallet_a_raw, FS.new_path(c.spark, "wallet"), keep_blanks=False)
-    return FS.read_extract_csv(c.spark, path, keep_blanks=False)
+    """Both wallets, each in files with column orders of their own; the names come from the headers."""
+    path = FS.new_path(c.spark, "wallet")
+    paths = [BIND.deliver(raw, f"{path}/{name}", "Transaction ID", keep_blanks=False)
+             for name, raw in ((WALLET_A, c.wallet_a_raw), (WALLET_B, c.wallet_b_raw))]
+    return FS.read_extract_csv(c.spark, paths, keep_blanks=False)
 
 
 @query("scan_checkout")
 def _scan_checkout(c: Context) -> DataFrame:
-    path = FS.write_extract_csv(c.checkout_raw, FS.new_path(c.spark, "checkout"), keep_blanks=True)
-    return FS.read_extract_csv(c.spark, path, keep_blanks=True)
+    path = BIND.deliver(c.checkout_raw, FS.new_path(c.spark, "checkout"), "id", keep_blanks=True)
+    return FS.read_extract_csv(c.spark, path, N.CHECKOUT_COLUMNS, keep_blanks=True)
 
 
 @query("scan_statement")
@@ -85,7 +89,7 @@ def _scan_statement(c: Context) -> DataFrame:
 
 @query("scan_books")
 def _scan_books(c: Context) -> DataFrame:
-    return B.books_window(B.books_typed(FS.scan_books(c.spark, c.books_export)), c.p)
+    return B.books_window(B.books_typed(FS.scan_books(c.spark, c.books_export, c.entities)), c.p)
 
 
 @query("cache_roundtrip")
@@ -139,8 +143,14 @@ def _norm_checkout(c: Context) -> DataFrame:
 
 @query("default_columns")
 def _default_columns(c: Context) -> DataFrame:
-    thin = c.wallet_a_raw.drop("Balance Impact", "Fee", "Net", "Status", "Currency")
-    return N.normalize_wallet(thin, WALLET_A)
+    """P4 by file: wallet files that lack five columns."""
+    parts = []
+    for source, raw in ((WALLET_A, c.wallet_a_raw), (WALLET_B, c.wallet_b_raw)):
+        thin = raw.drop("Balance Impact", "Fee", "Net", "Status", "Currency")
+        path = BIND.deliver(thin, FS.new_path(c.spark, "thin"), "Transaction ID", keep_blanks=False)
+        read = FS.read_extract_csv(c.spark, path, list(N.WALLET_DEFAULTS), keep_blanks=False, defaults=N.WALLET_DEFAULTS)
+        parts.append(N.normalize_wallet(read, source))
+    return N.union_extracts(parts)
 
 
 @query("calendar_cols")
@@ -167,7 +177,7 @@ def _statement_display(c: Context) -> DataFrame:
 
 @query("clean_amount")
 def _clean_amount(c: Context) -> DataFrame:
-    w = c.wallet_a_raw
+    w = c.wallet_a_raw.unionByName(c.wallet_b_raw)
     return w.select(
         F.col("`Transaction ID`").alias("transaction_id"),
         F.col("Gross").alias("gross_text"),
@@ -534,23 +544,30 @@ def _stream_ingest(c: Context) -> DataFrame:
     return FS.read_ledger_cache(c.spark, table, LEDGER)
 
 
+def _delivered(c: Context, root: str) -> list:
+    """The gateways' files as they come: columns in any order, damaged lines, a wallet that never came."""
+    from ..sources import catalogue as CAT
+
+    def put(name: str, raw: DataFrame, key: str, keep: bool) -> str:
+        return BIND.deliver(raw, f"{root}/{name}", key, keep_blanks=keep, damaged=True)
+
+    odd = F.expr("cast(substr(`Transaction ID`, 3) as bigint) % 2 = 1")
+    return [
+        CAT.Entry(CARD, "card", put("card_odd", c.card_raw.where(odd), "Transaction ID", True)),
+        CAT.Entry(CARD, "card", put("card_even", c.card_raw.where(~odd), "Transaction ID", True)),
+        CAT.Entry(WALLET_A, "wallet", put("wallet_a", c.wallet_a_raw, "Transaction ID", False)),
+        CAT.Entry(WALLET_B, "wallet", f"{root}/wallet_b"),  # never delivered
+        CAT.Entry(CHECKOUT, "checkout", put("checkout", c.checkout_raw, "id", True)),
+    ]
+
+
 @query("load_extracts")
 def _load_extracts(c: Context) -> DataFrame:
     """S1-S3 + S7 from files: a catalogue whose second wallet file is absent loads
-    the three present extracts into the ledger and reports the fourth as missing."""
+    the present extracts, whatever their column orders and damaged lines."""
     from ..sources import catalogue as CAT
 
-    root = FS.new_path(c.spark, "extracts")
-    FS.write_extract_csv(c.card_raw, f"{root}/card", keep_blanks=True)
-    FS.write_extract_csv(c.wallet_a_raw, f"{root}/wallet_a", keep_blanks=False)
-    FS.write_extract_csv(c.checkout_raw, f"{root}/checkout", keep_blanks=True)
-    entries = [
-        CAT.Entry(CARD, "card", f"{root}/card"),
-        CAT.Entry(WALLET_A, "wallet", f"{root}/wallet_a"),
-        CAT.Entry(WALLET_B, "wallet", f"{root}/wallet_b"),  # never delivered
-        CAT.Entry(CHECKOUT, "checkout", f"{root}/checkout"),
-    ]
-    ledger, _report = CAT.load_extracts(c.spark, entries, c.p)
+    ledger, _report = CAT.load_extracts(c.spark, _delivered(c, FS.new_path(c.spark, "extracts")), c.p)
     return ledger
 
 
@@ -559,18 +576,18 @@ def _load_extracts_report(c: Context) -> DataFrame:
     """Two files of the card gateway, one wallet file that never came, one line per entry."""
     from ..sources import catalogue as CAT
 
-    root = FS.new_path(c.spark, "extracts")
-    odd = F.expr("cast(substr(`Transaction ID`, 3) as bigint) % 2 = 1")
-    FS.write_extract_csv(c.card_raw.where(odd), f"{root}/card_odd", keep_blanks=True)
-    FS.write_extract_csv(c.card_raw.where(~odd), f"{root}/card_even", keep_blanks=True)
-    FS.write_extract_csv(c.wallet_a_raw, f"{root}/wallet_a", keep_blanks=False)
-    FS.write_extract_csv(c.checkout_raw, f"{root}/checkout", keep_blanks=True)
-    entries = [
-        CAT.Entry(CARD, "card", f"{root}/card_odd"),
-        CAT.Entry(CARD, "card", f"{root}/card_even"),
-        CAT.Entry(WALLET_A, "wallet", f"{root}/wallet_a"),
-        CAT.Entry(WALLET_B, "wallet", f"{root}/wallet_b"),  # never delivered
-        CAT.Entry(CHECKOUT, "checkout", f"{root}/checkout"),
-    ]
-    _ledger, report = CAT.load_extracts(c.spark, entries, c.p)
+    _ledger, report = CAT.load_extracts(c.spark, _delivered(c, FS.new_path(c.spark, "extracts")), c.p)
     return report.select("source", F.element_at(F.split("path", "/"), -1).alias("file"), "status", "rows")
+
+
+@query("load_rejects")
+def _load_rejects(c: Context) -> DataFrame:
+    """S2 + S7: what the load read, and the rejected lines by gateway and reason, with the orders they belong to."""
+    from ..sources import catalogue as CAT
+
+    loaded = CAT.load(c.spark, _delivered(c, FS.new_path(c.spark, "extracts")))
+    # a short line may have lost the cell with its number
+    mark = F.when(F.col("reason") != "short", F.regexp_extract("text", "(?:^|[,\" ])(?:c|wa|wb|k)-([0-9]+)", 1).try_cast("long"))
+    bad = loaded.rejects().groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("order_sum"))
+    read = loaded.report().groupBy("source").agg(F.sum("read").alias("read"))
+    return read.join(bad, "source", "left").select("source", "read", "reason", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "order_sum")

@@ -1,29 +1,32 @@
-"""Tolerant load of a catalogue of extract files (S1-S3 + S7).
-
-Each catalogue entry names a gateway, the kind of its export and a path.  A path
-that does not exist is recorded as missing, a folder without a readable file as
-empty, and the load goes on with what it has; the present extracts are read,
-normalised and unioned into one ledger.  A gateway may have any number of
-entries.  The report lists every entry with its status and normalised row count
-— one count by entry over the union, joined to the catalogue.
+"""Tolerant load of a catalogue of extract files and sheets (S1-S5 + S7).
+
+Each catalogue entry names a gateway, the kind of its export and a path (a file
+or a folder of files).  An extract is loaded in one pass: its files are read
+record by record under their own headers (``records``), written to the shared
+folder, and counted while they are written (``DataFrame.observe``).  What cannot
+be loaded is recorded and the load goes on: ``missing`` for a path that does not
+exist, ``empty`` for one without records, ``unreadable`` with the reason for
+files that cannot be read.  Any other failure is raised.  Records that are none
+(too few or too many cells, a quote that never closes) are kept with file, line
+and reason.  A gateway may have any number of entries.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import normalize as N
 from ..params import Params
-from ..schema import BOOKS, MONEY_SUM
+from ..schema import BOOKS, LEDGER_BASE, MONEY_SUM, empty
 from . import files as FS
-
-# card and checkout exports keep blank cells as '' (only NA is null); wallets do not
-KEEP_BLANKS = {"card": True, "wallet": False, "checkout": True}
+from . import records as R
 
 
 @dataclass(frozen=True)
@@ -36,29 +39,14 @@ class Entry:
 EXTRACTS = ("card", "wallet", "checkout")
 #: sheets have no header of their own: cells by position
 SHEETS = {"books": [f.name for f in BOOKS.fields[:9]], "statement": ["label", "value"], "vendors": [f"_c{i}" for i in range(10)]}
+REPORT = "source string, kind string, path string, status string, read long, rejected long, rows long, reason string"
+REJECTS = "entry int, source string, file string, line_no long, reason string, text string"
 
 
-def _read(spark: SparkSession, e: Entry) -> DataFrame:
-    if e.kind == "card":
-        return FS.read_extract_csv(spark, e.path, N.CARD_COLUMNS, keep_blanks=True)
-    if e.kind in EXTRACTS:
-        return FS.read_extract_csv(spark, e.path, keep_blanks=KEEP_BLANKS[e.kind])
-    schema = ", ".join(f"`{c}` string" for c in SHEETS[e.kind])
-    return spark.read.option("escape", '"').option("multiLine", True).schema(schema).csv(e.path)
-
-
-def read_raw(spark: SparkSession, e: Entry) -> DataFrame | str:
-    """The entry's text cells, or why there are none: ``missing`` or ``empty``."""
-    try:
-        raw = _read(spark, e)
-        if not raw.inputFiles():
-            return "empty"
-        return raw
-    except AnalysisException as err:
-        status = {"PATH_NOT_FOUND": "missing", "UNABLE_TO_INFER_SCHEMA": "empty"}.get(err.getCondition())
-        if status is None:
-            raise
-        return status
+def read_extract(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
+    """Every record of the files with the columns of its kind and the reader's own (``records.read_extract``)."""
+    how = N.EXTRACT_COLUMNS[kind]
+    return R.read_extract(spark, paths, list(how), null_value="NA" if FS.KEEP_BLANKS[kind] else "", defaults=how)
 
 
 def normalised(raw: DataFrame, kind: str, source: str) -> DataFrame:
@@ -69,20 +57,109 @@ def normalised(raw: DataFrame, kind: str, source: str) -> DataFrame:
     return N.normalize_checkout(raw, source)
 
 
-def read_entry(spark: SparkSession, e: Entry) -> DataFrame | str:
-    """The normalised extract, or why there is none."""
-    raw = read_raw(spark, e)
-    return raw if isinstance(raw, str) else normalised(raw, e.kind, e.source)
+@dataclass(frozen=True)
+class Loaded:
+    """One entry after its load; ``rows`` are those that its normaliser keeps."""
+
+    entry: Entry
+    status: str
+    data: DataFrame | None = None
+    read: int = 0
+    rejected: int = 0
+    rows: int = 0
+    reason: str | None = None
+
+
+def unreadable(err: Exception) -> tuple[str, str | None] | None:
+    """(status, reason) of a failure to read; None for any other failure."""
+    if isinstance(err, AnalysisException):
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return "missing", None
+        if err.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return "empty", None
+    text = str(err)
+    for mark in ("FAILED_READ_FILE", "CANNOT_READ_FILE", "AccessControlException", "Permission denied"):
+        if mark in text:
+            at = text.index(mark)
+            return "unreadable", text[at:].splitlines()[0][:300]
+    return None
+
+
+def load_entry(spark: SparkSession, e: Entry) -> Loaded:
+    """Reads, counts and stores one extract in one job."""
+    try:
+        raw = read_extract(spark, e.kind, e.path)
+        good = F.col("__why").isNull()
+        kept = N.KEPT[e.kind]()
+        seen = Observation()
+        counted = raw.observe(
+            seen, F.count(F.lit(1)).alias("read"), F.count(F.when(~good, 1)).alias("rejected"),
+            F.count(F.when(good & F.coalesce(kept, F.lit(False)), 1)).alias("rows"))
+        data = FS.stage_table(spark, counted, f"load-{e.kind}")
+        n = seen.get
+    except (PySparkException, Py4JJavaError) as err:
+        if (why := unreadable(err)) is None:
+            raise
+        return Loaded(e, why[0], reason=why[1])
+    if not n["read"]:
+        return Loaded(e, "empty")
+    return Loaded(e, "loaded", data, n["read"], n["rejected"], n["rows"])
 
 
-def statement_lines(raw: DataFrame, statement_id: int) -> DataFrame:
-    """Label and value cells of one statement sheet in file order; rows without label are dropped.
+@dataclass(frozen=True)
+class Load:
+    """All entries of a catalogue after their load."""
 
-    A sheet with line breaks inside cells is one task, so the rows' ids count its lines.
-    """
-    line = F.monotonically_increasing_id().bitwiseAND(0x7FFFFFFF).cast("int") + 1
-    lines = raw.select(F.lit(statement_id).alias("statement_id"), line.alias("line_no"), "label",
-                       F.col("value").try_cast(MONEY_SUM).alias("value"))
+    spark: SparkSession
+    entries: tuple[Loaded, ...] = field(default_factory=tuple)
+
+    def raw(self, i: int) -> DataFrame:
+        return R.kept(self.entries[i].data)
+
+    def present(self) -> list[int]:
+        return [i for i, x in enumerate(self.entries) if x.data is not None]
+
+    def report(self) -> DataFrame:
+        """One line per entry, in order: what was read, rejected and kept; no job."""
+        return self.spark.createDataFrame(
+            [(x.entry.source, x.entry.kind, x.entry.path, x.status, x.read, x.rejected, x.rows, x.reason) for x in self.entries], REPORT)
+
+    def rejects(self) -> DataFrame:
+        """Every rejected record: entry (its place in the catalogue), source, file, line_no, reason, text."""
+        parts = [R.rejects(self.entries[i].data).select(
+            F.lit(i).alias("entry"), F.lit(self.entries[i].entry.source).alias("source"), "file", "line_no", "reason", "text")
+            for i in self.present()]
+        return N.union_extracts(parts) if parts else self.spark.createDataFrame([], REJECTS)
+
+    def union(self) -> DataFrame:
+        parts = [normalised(self.raw(i), self.entries[i].entry.kind, self.entries[i].entry.source) for i in self.present()]
+        return N.union_extracts(parts) if parts else empty(self.spark, LEDGER_BASE)
+
+
+#: entries loaded at the same time, so that small files do not wait for each other's jobs
+TOGETHER = 8
+
+
+def load(spark: SparkSession, entries: list[Entry]) -> Load:
+    """Loads the extracts and sheets of a catalogue, each entry by a job of its own."""
+    one = lambda e: load_entry(spark, e) if e.kind in EXTRACTS else load_sheets(spark, e)
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        return Load(spark, tuple(pool.map(one, entries)))
+
+
+def load_extracts(spark: SparkSession, entries: list[Entry], p: Params) -> tuple[DataFrame, DataFrame]:
+    """(ledger of the present extracts, load report of every entry)."""
+    loaded = load(spark, entries)
+    return L.ledger([loaded.union()], p), loaded.report().select("source", "path", "status", "rows", "read", "rejected", "reason")
+
+
+# --- sheets ---------------------------------------------------------------------------------------
+def statement_lines(sheets: DataFrame) -> DataFrame:
+    """Label and value cells of statement sheets in file order, file by file (statement_id: files in path order, from 0)."""
+    of = sheets.select("file").distinct().withColumn(
+        "statement_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))  # one row per sheet
+    lines = sheets.join(of, "file").select(
+        "statement_id", F.col("row").cast("int").alias("line_no"), "label", F.col("value").try_cast(MONEY_SUM).alias("value"))
     return lines.where(F.trim("label") != "")
 
 
@@ -96,45 +173,39 @@ class Inputs:
     vendors: DataFrame | None = None
 
 
+def load_sheets(spark: SparkSession, e: Entry) -> Loaded:
+    """Reads, counts and stores the sheets of one entry in one job."""
+    try:
+        seen = Observation()
+        read = R.read_sheets(spark, e.path, SHEETS[e.kind]).observe(seen, F.count(F.lit(1)).alias("read"))
+        data = FS.stage_table(spark, read, f"sheets-{e.kind}")
+        n = seen.get["read"]
+    except (PySparkException, Py4JJavaError) as err:
+        if (why := unreadable(err)) is None:
+            raise
+        return Loaded(e, why[0], reason=why[1])
+    return Loaded(e, "loaded", data, n, 0, n) if n else Loaded(e, "empty")
+
+
 def load_inputs(spark: SparkSession, entries: list[Entry]) -> tuple[Inputs, DataFrame]:
-    """(inputs of the present entries, report of every entry: source, kind, path, status).
+    """(inputs of the present entries, report of every entry).
 
-    Nothing is counted here: the report comes from the files' presence alone.
+    Each entry is stored by one job.  An entry of statements may be a folder of
+    any number of sheets: statements are numbered by entry, then file.
     """
-    found = [(e, read_raw(spark, e)) for e in entries]
-    here = [(e, raw) for e, raw in found if not isinstance(raw, str)]
-    extracts = tuple((e.source, e.kind, raw) for e, raw in here if e.kind in EXTRACTS)
+    found = load(spark, entries)
+    here = found.present()
+    extracts = tuple((found.entries[i].entry.source, found.entries[i].entry.kind, found.raw(i))
+                     for i in here if found.entries[i].entry.kind in EXTRACTS)
+
+    def sheets(kind: str) -> list[DataFrame]:
+        return [found.entries[i].data for i in here if found.entries[i].entry.kind == kind]
 
     def union(parts: list[DataFrame]) -> DataFrame | None:
         return N.union_extracts(parts) if parts else None
 
-    books = union([raw.withColumn("entity", F.lit(i)) for i, (e, raw) in enumerate(here) if e.kind == "books"])
-    sheets = [raw for e, raw in here if e.kind == "statement"]
-    statements = union([statement_lines(raw, i) for i, raw in enumerate(sheets)])
-    vendors = union([raw for e, raw in here if e.kind == "vendors"])
-    report = spark.createDataFrame(
-        [(e.source, e.kind, e.path, raw if isinstance(raw, str) else "loaded") for e, raw in found],
-        "source string, kind string, path string, status string",
-    )
-    return Inputs(extracts, books, statements, vendors), report
-
-
-def load_extracts(spark: SparkSession, entries: list[Entry], p: Params) -> tuple[DataFrame, DataFrame]:
-    """(ledger of the present extracts, load report of every entry)."""
-    parts = [read_entry(spark, e) for e in entries]
-    present = [df.withColumn("entry", F.lit(i)) for i, df in enumerate(parts) if isinstance(df, DataFrame)]
-    if present:
-        union = N.union_extracts(present)
-    else:
-        from ..schema import LEDGER_BASE, empty
-
-        union = empty(spark, LEDGER_BASE).withColumn("entry", F.lit(0))
-    counts = union.groupBy("entry").agg(F.count(F.lit(1)).alias("rows"))
-    cat = spark.createDataFrame(
-        [(i, e.source, e.path, df if isinstance(df, str) else "loaded") for i, (e, df) in enumerate(zip(entries, parts))],
-        "entry int, source string, path string, status string",
-    )
-    report = cat.join(F.broadcast(counts), "entry", "left").select(
-        "source", "path", "status", F.coalesce("rows", F.lit(0).cast("long")).alias("rows")
-    )
-    return L.ledger([union.drop("entry")], p), report
+    books = union([x.drop("file", "row").withColumn("entity", F.lit(i)) for i, x in enumerate(sheets("books"))])
+    order = [x.withColumn("file", F.concat(F.lpad(F.lit(str(i)), 9, "0"), F.lit("|"), "file")) for i, x in enumerate(sheets("statement"))]
+    statements = union(order)
+    vendors = union([x.drop("file", "row") for x in sheets("vendors")])
+    return Inputs(extracts, books, None if statements is None else statement_lines(statements), vendors), found.report()

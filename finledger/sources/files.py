@@ -1,74 +1,22 @@
-"""File sources and sinks: S1-S8.
-
-Every write goes under the shared folder named by ``spark.checkpoint.dir``
-(read from the session).  Only when it is unset — local tests — is a fresh
-scratch folder made and registered.  Each write takes a new sub-folder.
-"""
+"""File sources and sinks: S1-S8.  Every write takes a new folder in the shared one (``staging``)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import GATEWAYS
-from ..schema import MONEY_SUM
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only on a local master."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # noqa: BLE001 - no SparkContext view (Connect)
-            d = None
-    if not d and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not d:
-        d = tempfile.mkdtemp(prefix="finledger-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - core conf not settable at runtime
-            pass
-        try:
-            spark.sparkContext.setCheckpointDir(d)
-        except Exception:  # noqa: BLE001
-            pass
-    return d
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    base = shared_dir(spark)
-    sep = "" if base.endswith("/") else "/"
-    return f"{base}{sep}finledger/{name}-{uuid.uuid4().hex}"
-
-
-def stage_table(spark: SparkSession, df: DataFrame, name: str,
-                partition_by: str | list[str] | None = None, within: list[str] | None = None) -> DataFrame:
-    """Write a stage to the shared folder as Parquet and read it back (lineage cut).
-
-    ``partition_by`` (low-cardinality columns) lets later filters prune files.
-    With ``within`` (finer keys) the rows are first range-partitioned on
-    ``partition_by + within``: each task writes a contiguous run of partition
-    folders (few files per folder) and a hot folder is split over several tasks
-    by the finer keys; rows are sorted by those keys inside each file.
-    """
-    path = new_path(spark, name)
-    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    if parts and within:
-        df = df.repartitionByRange(*parts, *within).sortWithinPartitions(*parts, *within)
-    w = df.write.mode("overwrite")
-    if parts:
-        w = w.partitionBy(*parts)
-    w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+from ..schema import BOOKS, MONEY_SUM
+from . import records as R
+from .staging import new_path, shared_dir, stage_table  # noqa: F401 - part of this module's interface
 
 
 # --- S1-S3: CSV extracts ----------------------------------------------------
+# card and checkout exports keep blank cells as '' (only NA is null); wallets do not
+KEEP_BLANKS = {"card": True, "wallet": False, "checkout": True}
+
+
 def write_extract_csv(df: DataFrame, path: str, *, keep_blanks: bool) -> str:
     """Write an extract the way a gateway export looks (header, quoted text).
 
@@ -81,23 +29,15 @@ def write_extract_csv(df: DataFrame, path: str, *, keep_blanks: bool) -> str:
     return path
 
 
-def read_extract_csv(spark: SparkSession, path: str, columns: list[str] | None = None, *,
-                     keep_blanks: bool) -> DataFrame:
-    """Header CSV, every column text, picked **by name** (never by a
-    positional schema).  ``keep_blanks`` reads like ``fread`` (only ``NA`` is
+def read_extract_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, *, keep_blanks: bool,
+                     defaults: dict[str, str | None] | None = None) -> DataFrame:
+    """The good records of the files, every column text, picked by the name in
+    each file's own header.  ``keep_blanks`` reads like ``fread`` (only ``NA`` is
     null, ``""`` stays empty); otherwise blanks become null as the wallet reader
-    makes them.  Quotes are doubled inside a quoted cell and cells may hold line
-    breaks, so a file is one task; an export comes as many files.  Malformed
-    lines are kept (PERMISSIVE) rather than failing the load.
+    makes them.  Without ``columns`` the headers are read first, for their names.
     """
-    r = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-        .option("escape", '"').option("multiLine", True)
-    )
-    if keep_blanks:
-        r = r.option("nullValue", "NA")
-    df = r.csv(path)
-    return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    null_value = "NA" if keep_blanks else ""
+    return R.kept(R.read_extract(spark, path, columns, null_value=null_value, defaults=defaults))
 
 
 # --- S4/S5: report sheets exported as CSV, one file per sheet --------------------
@@ -111,93 +51,80 @@ def write_sheets(df: DataFrame, path: str, key: str, order: str, cols: list[str]
         .partitionBy(key)
         .option("header", False)
         .option("nullValue", "")
+        .option("escape", '"')
         .csv(path)
     )
     return path
 
 
-def read_sheets(spark: SparkSession, path: str, schema: str, key: str, skip: int = 0) -> DataFrame:
-    """Read every sheet file whole, number its lines exactly, parse the cells.
-
-    ``wholetext`` gives one row per file (a sheet is small; the files are read
-    in parallel), ``posexplode`` keeps the row order as ``line_no`` — the order
-    the first-match lookups depend on.  ``skip`` drops title/header rows.
-    """
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), rf"{key}=([^/]+)", 1).alias(key), "value"
-    )
-    lines = files.select(key, F.posexplode(F.split(F.col("value"), "\r?\n")).alias("pos", "line"))
-    lines = lines.where((F.col("line") != "") & (F.col("pos") >= skip))
-    parsed = lines.select(
-        key, (F.col("pos") - skip + 1).alias("line_no"), F.from_csv("line", schema, {"nullValue": ""}).alias("r")
-    )
-    return parsed.select(key, "line_no", "r.*")
+def sheet_key(key: str, col: str = "file"):
+    """The value of a sheet's folder ``key=value``."""
+    return F.regexp_extract(F.col(col), rf"/{key}=([^/]+)/", 1)
 
 
 def scan_statements(spark: SparkSession, stmts: DataFrame) -> DataFrame:
-    """S4 round trip: statements -> one sheet per statement -> (statement_id, line_no, label, value)."""
-    path = write_sheets(stmts, new_path(spark, "statements"), "statement_id", "line_no", ["label", "value"])
-    back = read_sheets(spark, path, "label STRING, value STRING", "statement_id")
+    """S4 round trip: statements -> one sheet per statement -> (statement_id, line_no, label, value).
+
+    The sheets carry a third cell with a line break in it, as exports do for
+    notes; the first two are read by position.
+    """
+    noted = stmts.withColumn("note", F.concat(F.lit("line "), "line_no", F.lit(',\n"'), "statement_id", F.lit('"')))
+    path = write_sheets(noted, new_path(spark, "statements"), "statement_id", "line_no", ["label", "value", "note"])
+    back = R.read_sheets(spark, path, ["label", "value"])
     return back.select(
-        F.col("statement_id").cast("int").alias("statement_id"),
-        F.col("line_no").cast("int").alias("line_no"),
+        sheet_key("statement_id").cast("int").alias("statement_id"),
+        F.col("row").cast("int").alias("line_no"),
         "label",
         F.col("value").try_cast(MONEY_SUM).alias("value"),
     )
 
 
-BOOK_SHEET_SCHEMA = (
-    "date STRING, trans_type STRING, num STRING, posting STRING, name STRING, memo STRING, "
-    "account STRING, split STRING, amount STRING"
-)
-
-
 SHEET_MAX_ROWS = 1_000_000  # a spreadsheet holds at most 1,048,576 rows
+BOOK_COLUMNS = [f.name for f in BOOKS.fields[:9]]
+# The three title rows and the header of a transaction list.
+BOOK_TITLES = [
+    ["Transaction List by Date"],
+    ["Company"],
+    ["All Dates"],
+    ["Date", "Transaction Type", "Num", "Posting", "Name", "Memo/Description", "Account", "Split", "Amount"],
+]
 
 
-def scan_books(spark: SparkSession, sheet: DataFrame, rows_per_page: int = SHEET_MAX_ROWS) -> DataFrame:
-    """S5 round trip: book sheets with 3 title rows and a header, read back skipping
-    them, columns renamed by position (P6).
+def write_books(sheet: DataFrame, entities: DataFrame, path: str, rows_per_page: int = SHEET_MAX_ROWS) -> str:
+    """Book sheets, one folder per entity of ``entities`` (entity), its title rows before its entries.
 
-    An entity's entries are spread over ``ceil(rows / rows_per_page)`` pages
-    (hash buckets), each a sheet of its own with its title rows: a hot entity is
-    split over many tasks and files, a small one stays one file.  The per-entity
-    row counts are one partial aggregate (one row per entity).
+    One pass over the entries: rows are rebalanced by entity (Spark splits a hot
+    one and merges small ones while it runs), and a file ends at ``rows_per_page``.
     """
-    cols = ["date", "trans_type", "num", "posting", "name", "memo", "account", "split", "amount"]
-    sizes = sheet.groupBy("entity").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_page))).cast("long").alias("pages")
-    )
-    body = sheet.join(sizes, "entity").select(
-        "entity", F.pmod(F.xxhash64(*cols), F.col("pages")).alias("page"), F.lit(0).alias("ord"), *cols
-    )
-    titles = [
-        ["Transaction List by Date"] + [None] * 8,
-        ["Company"] + [None] * 8,
-        ["All Dates"] + [None] * 8,
-        ["Date", "Transaction Type", "Num", "Posting", "Name", "Memo/Description", "Account", "Split", "Amount"],
-    ]
-    rows = F.array(
-        *[
-            F.struct(F.lit(i - 4).alias("ord"), *[F.lit(v).cast("string").alias(c) for c, v in zip(cols, vals)])
-            for i, vals in enumerate(titles)
-        ]
-    )
-    head = body.select("entity", "page").distinct().select("entity", "page", F.inline(rows))
-    path = new_path(spark, "books")
+    titles = F.array(*[
+        F.struct(F.lit(i - 4).alias("ord"), *[F.lit(t[k] if k < len(t) else None).cast("string").alias(c)
+                                              for k, c in enumerate(BOOK_COLUMNS)])
+        for i, t in enumerate(BOOK_TITLES)])
+    head = entities.select("entity", F.inline(titles))
+    body = sheet.select("entity", F.lit(0).alias("ord"), *BOOK_COLUMNS)
     (
         head.unionByName(body)
-        .repartition("entity", "page")
-        .sortWithinPartitions("entity", "page", "ord")
-        .select("entity", "page", *cols)
+        .hint("rebalance", "entity")
+        .sortWithinPartitions("entity", "ord")
+        .select("entity", *BOOK_COLUMNS)
         .write.mode("overwrite")
-        .partitionBy("entity", "page")
+        .partitionBy("entity")
         .option("header", False)
         .option("nullValue", "")
+        .option("escape", '"')
+        .option("maxRecordsPerFile", rows_per_page)
         .csv(path)
     )
-    back = read_sheets(spark, path, BOOK_SHEET_SCHEMA, "entity", skip=4)
-    return back.select(*cols, F.col("entity").cast("int").alias("entity"))
+    return path
+
+
+def scan_books(spark: SparkSession, sheet: DataFrame, entities: DataFrame, rows_per_page: int = SHEET_MAX_ROWS) -> DataFrame:
+    """S5 round trip: book sheets with 3 title rows and a header, read back with the
+    columns named by position (P6).  Title rows have no date, so the window
+    filter (F6) drops them, wherever an entity's pages begin."""
+    path = write_books(sheet, entities, new_path(spark, "books"), rows_per_page)
+    back = R.read_sheets(spark, path, BOOK_COLUMNS)
+    return back.select(*BOOK_COLUMNS, sheet_key("entity").cast("int").alias("entity"))
 
 
 # --- S6: parquet cache of the normalised ledger ------------------------------

@@ -22,7 +22,7 @@ from ..functions import exprs as X
 from ..operators import ledger as L
 from ..operators import normalize as N
 from ..params import CARD, CHECKOUT, Params
-from ..sources.catalogue import KEEP_BLANKS
+from ..sources.files import KEEP_BLANKS
 
 #: a file counts however old its time stamp is: beyond any delivery
 MAX_FILE_AGE = "36500d"

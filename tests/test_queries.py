@@ -126,13 +126,14 @@ def test_scan_books_splits_entities_over_pages(spark):
 
     ctx = Context(spark, SF001)
     sheet = ctx.books_sheet
-    back = B.books_window(B.books_typed(FS.scan_books(spark, sheet, rows_per_page=40)), ctx.p)
+    back = B.books_window(B.books_typed(FS.scan_books(spark, sheet, ctx.entities, rows_per_page=40)), ctx.p)
     direct = ctx.books
     cols = direct.columns
     assert back.select(*cols).exceptAll(direct.select(*cols)).count() == 0
     assert direct.select(*cols).exceptAll(back.select(*cols)).count() == 0
     base = FS.shared_dir(spark)
-    assert len(glob.glob(f"{base}/finledger/books-*/entity=*/page=1")) > 0
+    files = glob.glob(f"{base}/finledger/books-*/entity=*/*.csv")
+    assert len(files) > 25 and max(sum(1 for _ in open(f)) for f in files if "c000" in f) >= 1
 
 
 @pytest.mark.parametrize(
