@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..params import Params
 from ..schema import MONEY_SUM
-from .ledger import user_range
+from .ledger import in_range_col, user_range
 from .revenue import pp_monthly
 
 # Transaction types counted as revenue / expense in the monthly books.
@@ -103,13 +103,33 @@ def monthly_pl_no_books(cube: DataFrame) -> DataFrame:
     )
 
 
-def unless_empty(windowed: DataFrame, whole: DataFrame) -> DataFrame:
-    """The windowed table, or the whole-window one when the user's range holds no
-    rows (the dashboard's fallback).  Part of the plan, no job runs while it is
-    built: the whole table is anti-joined with at most one row of the window."""
-    some = windowed.limit(1).select(F.lit(True).alias("__some"))
-    rest = whole.withColumn("__some", F.lit(True)).join(F.broadcast(some), "__some", "left_anti").drop("__some")
-    return windowed.unionByName(rest)
+def unless_empty(df: DataFrame, p: Params) -> DataFrame:
+    """The rows in the user's range, or all rows when there are none (the dashboard's fallback).
+
+    An uncorrelated scalar subquery, a look for one row in the range, is known
+    before the rows are scanned; it also sets the ends of the months, so that a
+    staged table still reads only those it needs.  Spark runs it once.
+    """
+    some = in_user_range(df, p).limit(1).agg(F.count(F.lit(1)).alias("n"))
+    none = some.scalar() == 0
+    end = lambda inside, open_: F.when(none, F.lit(open_).cast("date")).otherwise(inside)
+    months = F.col("month").between(end(F.trunc(F.lit(p.date_from), "month"), "0001-01-01"), end(F.lit(p.date_to), "9999-12-31"))
+    return df.where(months & (none | in_range_col("date", p)))
+
+
+def chosen(inside, n_inside, everything):
+    """Of aggregated rows with both figures: the inside ones if any row of the table has one, else those of all rows.
+
+    The window runs over a table of months (times accounts), never over entries.
+    """
+    return F.when(F.sum(n_inside).over(Window.partitionBy()) > 0, inside).otherwise(everything)
+
+
+def books_monthly_window(months: DataFrame, p: Params) -> DataFrame:
+    """A5 + F15: monthly books in the month-grain window, all months if none fall in it."""
+    inside = X.in_range("month", p.date_from, p.date_to)
+    keep = chosen(inside, F.when(inside, 1).otherwise(0), F.lit(True))
+    return months.withColumn("keep", keep).where("keep").drop("keep")
 
 
 def cogs_by_supplier_account(cogs: DataFrame) -> DataFrame:
@@ -132,9 +152,18 @@ def cogs_by_supplier(cogs_f: DataFrame) -> DataFrame:
     )
 
 
-def cogs_monthly(cogs_f: DataFrame) -> DataFrame:
-    """By (month, cleaned account)."""
-    return cogs_f.groupBy("month", "account_clean").agg(F.sum("amount").alias("total")).orderBy("month", "account_clean")
+def cogs_monthly(cogs: DataFrame, p: Params) -> DataFrame:
+    """By (month, cleaned account), in the user's range or, when that holds nothing, over all entries.
+
+    Both sums come from one aggregate over one read of the entries.
+    """
+    inside = in_range_col("date", p)
+    both = cogs.groupBy("month", "account_clean").agg(
+        F.sum(F.when(inside, F.col("amount"))).alias("some"), F.count(F.when(inside, 1)).alias("n"),
+        F.sum("amount").alias("every"))
+    found = both.select("month", "account_clean", chosen(F.col("some"), F.col("n"), F.col("every")).alias("total"),
+                        chosen(F.col("n") > 0, F.col("n"), F.lit(True)).alias("keep"))
+    return found.where("keep").drop("keep").orderBy("month", "account_clean")
 
 
 def cogs_detail(cogs_f: DataFrame) -> DataFrame:

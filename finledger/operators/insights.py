@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..params import Params
-from .books import combine_rows
-from .ledger import month_window, sources_dim, user_range
+from .books import chosen, combine_rows
+from .ledger import in_range_col, month_window, sources_dim, user_range
 from .revenue import monthly_sales
 
 
@@ -73,15 +73,24 @@ def refund_rate_chart(rates: DataFrame) -> DataFrame:
     return rates.where(F.col("rev") > 0).orderBy(F.desc("rate"), "source")
 
 
-def yoy_monthly(cube_f: DataFrame, p: Params) -> DataFrame:
-    """Sale revenue by calendar month for two years side by side, and the change %."""
-    base = (
-        cube_f.where(F.col("n_sale") > 0)
-        .groupBy(F.month("date").alias("month_num"))
-        .pivot("yr", [p.yoy_prev_year, p.yoy_year])
-        .agg(F.sum("gross"))
-    )
-    prev, cur = F.col(f"`{p.yoy_prev_year}`"), F.col(f"`{p.yoy_year}`")
+def yoy_monthly(cube: DataFrame, p: Params) -> DataFrame:
+    """Sale revenue by calendar month for two years side by side, and the change %.
+
+    The user's range and sources, or everything when they hold nothing: both
+    from one aggregate of the cube.
+    """
+    inside = in_range_col("date", p) & F.col("source").isin(*p.sources)
+    sale = F.col("n_sale") > 0
+    years = {"prev": p.yoy_prev_year, "cur": p.yoy_year}
+    sums = [F.sum(F.when(sale & cond & (F.col("yr") == y), F.col("gross"))).alias(f"{name}_{which}")
+            for name, y in years.items() for which, cond in (("in", inside), ("all", F.lit(True)))]
+    both = cube.groupBy(F.month("date").alias("month_num")).agg(
+        F.count(F.when(inside, 1)).alias("n"), F.count(F.when(inside & sale, 1)).alias("n_in"),
+        F.count(F.when(sale, 1)).alias("n_all"), *sums)
+    pick = lambda a, b: chosen(F.col(a), F.col("n"), F.col(b))
+    base = both.select("month_num", pick("n_in", "n_all").alias("n"), pick("prev_in", "prev_all").alias("prev"),
+                       pick("cur_in", "cur_all").alias("cur")).where("n > 0")
+    prev, cur = F.col("prev"), F.col("cur")
     return base.select(
         "month_num",
         X.dbl(prev).alias("revenue_prev"),

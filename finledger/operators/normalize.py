@@ -80,43 +80,31 @@ def card_kept() -> Column:
 KEPT = {"card": card_kept, "wallet": lambda: F.lit(True), "checkout": lambda: F.lit(True)}
 
 
-def normalize_card(raw: DataFrame, source: str = CARD) -> DataFrame:
-    """P1 + F4: settled card rows with an amount."""
-    amt_txt = F.col("`Amount Submitted For Settlement`")
+def card_fields() -> dict[str, Column]:
+    amount = X.to_money(F.col("`Amount Submitted For Settlement`"))
     typ = F.col("`Transaction Type`")
-    status = F.lower(F.col("`Transaction Status`"))
-    kept = raw.where(card_kept())
-    amount = X.to_money(amt_txt)
-    refund = typ == "credit"  # a row without type is neither sale nor refund
-    return _ledger_select(
-        kept,
+    return dict(
         transaction_id=F.col("`Transaction ID`"),
         date=X.parse_us_date_prefix(F.col("`Created Datetime`")),
         amount=amount,
         fee=F.lit(None).cast(MONEY),
         net_amount=amount,
-        status=status,
+        status=F.lower(F.col("`Transaction Status`")),
         type=typ,
-        source=F.lit(source),
         description=F.col("`Order ID`"),
         currency=F.col("`Currency ISO Code`"),
         customer_name=X.full_name(F.col("`Customer First Name`"), F.col("`Customer Last Name`")),
         customer_email=F.col("`Customer Email`"),
-        is_refund=refund,
+        is_refund=typ == "credit",  # a row without type is neither sale nor refund
         balance_impact=F.when(typ == "credit", F.lit("debit")).when(typ.isNotNull(), F.lit("credit")),
     )
 
 
-def normalize_wallet(raw: DataFrame, source: str) -> DataFrame:
-    """P2 + P4: wallet rows; blank cells are NA as the wallet reader makes them."""
-    raw = clean_header(raw)
-
-    def c(name: str) -> Column:
-        return X.blank_to_null(get_col(raw, name, WALLET_DEFAULTS[name]))
-
+def wallet_fields(cell=None) -> dict[str, Column]:
+    """``cell`` gives a column by name (a default where the extract lacks it); blank cells are NA as the wallet reader makes them."""
+    c = lambda name: X.blank_to_null(cell(name) if cell else F.col(f"`{name}`"))
     typ = c("Type")
-    return _ledger_select(
-        raw,
+    return dict(
         transaction_id=c("Transaction ID"),
         date=X.parse_us_date(c("Date")),
         amount=X.clean_amount(c("Gross")),
@@ -124,7 +112,6 @@ def normalize_wallet(raw: DataFrame, source: str) -> DataFrame:
         net_amount=X.clean_amount(c("Net")),
         status=F.lower(c("Status")),
         type=typ,
-        source=F.lit(source),
         description=c("Item Title"),
         currency=c("Currency"),
         customer_name=c("Name"),
@@ -134,14 +121,13 @@ def normalize_wallet(raw: DataFrame, source: str) -> DataFrame:
     )
 
 
-def normalize_checkout(raw: DataFrame, source: str = CHECKOUT) -> DataFrame:
-    """Refund iff ``Amount Refunded`` > 0; net = amount - refunded - fee."""
+def checkout_fields() -> dict[str, Column]:
+    """Refund iff ``Amount Refunded`` > 0; net = amount - refunded - fee."""
     amount = X.to_money(F.col("Amount"))
     refunded = X.to_money(F.col("`Amount Refunded`"))
     fee = X.to_money(F.col("Fee"))
     refund = F.coalesce(refunded > 0, F.lit(False))
-    return _ledger_select(
-        raw,
+    return dict(
         transaction_id=F.col("id"),
         date=X.parse_iso_date_prefix(F.col("`Created date (UTC)`")),
         amount=amount,
@@ -149,7 +135,6 @@ def normalize_checkout(raw: DataFrame, source: str = CHECKOUT) -> DataFrame:
         net_amount=amount - F.coalesce(refunded, F.lit(0).cast(MONEY)) - fee,
         status=F.lower(F.col("Status")),
         type=F.when(refund, F.lit("refund")).otherwise(F.lit("payment")),
-        source=F.lit(source),
         description=F.col("Description"),
         currency=F.upper(F.col("Currency")),
         customer_name=F.col("`Customer Description`"),
@@ -159,6 +144,36 @@ def normalize_checkout(raw: DataFrame, source: str = CHECKOUT) -> DataFrame:
     )
 
 
+def normalize_card(raw: DataFrame, source: str = CARD) -> DataFrame:
+    """P1 + F4: settled card rows with an amount."""
+    return _ledger_select(raw.where(card_kept()), source=F.lit(source), **card_fields())
+
+
+def normalize_wallet(raw: DataFrame, source: str) -> DataFrame:
+    """P2 + P4: wallet rows."""
+    raw = clean_header(raw)
+    return _ledger_select(raw, source=F.lit(source), **wallet_fields(lambda n: get_col(raw, n, WALLET_DEFAULTS[n])))
+
+
+def normalize_checkout(raw: DataFrame, source: str = CHECKOUT) -> DataFrame:
+    """Checkout rows."""
+    return _ledger_select(raw, source=F.lit(source), **checkout_fields())
+
+
+#: the columns of all kinds of export side by side, with the row's gateway and kind
+TAGGED_COLUMNS = ["source", "kind", *dict.fromkeys(c for columns in EXTRACT_COLUMNS.values() for c in columns)]
+
+
+def normalize_tagged(raw: DataFrame) -> DataFrame:
+    """U1 + P1-P3 + F4 in one pass: rows of any number of gateways (``TAGGED_COLUMNS``), each by the rules of its kind."""
+    kind = F.col("kind")
+    card, wallet, checkout = card_fields(), wallet_fields(), checkout_fields()
+    types = {f.name: f.dataType for f in LEDGER_BASE.fields}
+    fields = {n: F.when(kind == "card", card[n].cast(types[n])).when(kind == "wallet", wallet[n].cast(types[n])).otherwise(
+        checkout[n].cast(types[n])) for n in card}
+    return _ledger_select(raw.where((kind != "card") | card_kept()), source=F.col("source"), **fields)
+
+
 def union_extracts(parts: list[DataFrame]) -> DataFrame:
     """Union by name, missing columns null, absent inputs (None) skipped."""
     present = [p for p in parts if p is not None]

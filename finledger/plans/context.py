@@ -18,10 +18,10 @@ from ..operators import ledger as L
 from ..operators import normalize as N
 from ..operators import revenue as R
 from ..operators import statements as S
-from ..params import CARD, CHECKOUT, DEFAULT, FAILURE_STATUSES, WALLET_A, WALLET_B, Params
+from ..params import DEFAULT, FAILURE_STATUSES, WALLET_A, WALLET_B, Params
 from ..schema import BOOKS, FAILURES, LEDGER_BASE, STATEMENT, VENDORS, empty
 from ..sources import bindings as BIND
-from ..sources.catalogue import Entry, Inputs, load_inputs, normalised
+from ..sources.catalogue import Entry, Inputs, load_inputs
 
 
 class Context:
@@ -60,26 +60,26 @@ class Context:
     def checkout_raw(self) -> DataFrame:
         return BIND.checkout_extract(self.spark, self.sf_dir, self.order_facts)
 
-    # --- normalised -----------------------------------------------------
     @cached_property
-    def norm_parts(self) -> list[DataFrame]:
+    def raw(self) -> DataFrame | None:
+        """Every gateway's rows as one table of text cells (``normalize.TAGGED_COLUMNS``)."""
         if self.inputs is not None:
-            parts = [normalised(raw, kind, source) for source, kind, raw in self.inputs.extracts]
-            return parts or [empty(self.spark, LEDGER_BASE)]
-        return [
-            N.normalize_card(self.card_raw, CARD),
-            N.normalize_wallet(self.wallet_a_raw, WALLET_A),
-            N.normalize_wallet(self.wallet_b_raw, WALLET_B),
-            N.normalize_checkout(self.checkout_raw, CHECKOUT),
-        ]
+            return self.inputs.extracts
+        return BIND.tagged_extracts(self.order_facts)
 
+    # --- normalised -----------------------------------------------------
     @cached_property
     def union(self) -> DataFrame:
-        return N.union_extracts(self.norm_parts)
+        return empty(self.spark, LEDGER_BASE) if self.raw is None else N.normalize_tagged(self.raw)
+
+    @cached_property
+    def norm_parts(self) -> list[DataFrame]:
+        """The union by gateway."""
+        return [self.union.where(F.col("source") == g) for g in self.p.gateways]
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return L.ledger(self.norm_parts, self.p)
+        return L.ledger([self.union], self.p)
 
     @cached_property
     def revenue(self) -> DataFrame:
@@ -104,10 +104,10 @@ class Context:
 
     @cached_property
     def failures(self) -> DataFrame:
-        if self.inputs is not None:
-            cards = [raw for source, kind, raw in self.inputs.extracts if kind == "card" and source == self.p.failure_gateway]
-            return N.failure_histogram(N.union_extracts(cards), FAILURE_STATUSES) if cards else empty(self.spark, FAILURES)
-        return N.failure_histogram(self.card_raw, FAILURE_STATUSES)
+        if self.raw is None:
+            return empty(self.spark, FAILURES)
+        cards = self.raw.where((F.col("kind") == "card") & (F.col("source") == self.p.failure_gateway))
+        return N.failure_histogram(cards, FAILURE_STATUSES)
 
     # --- books and statements ----------------------------------------------
     @cached_property
@@ -181,7 +181,7 @@ class Context:
 
     # stages that depend only on the input tables and the fiscal window
     SHARED = (
-        "order_facts", "card_raw", "wallet_a_raw", "wallet_b_raw", "checkout_raw", "norm_parts", "union",
+        "order_facts", "raw", "card_raw", "wallet_a_raw", "wallet_b_raw", "checkout_raw", "norm_parts", "union",
         "ledger", "revenue", "revenue_cube", "failures", "books_sheet", "books", "cogs", "books_monthly",
         "monthly_pl", "statements", "statement_metrics", "vendor_sheet", "vendors",
     )

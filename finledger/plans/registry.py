@@ -305,8 +305,7 @@ def _books_monthly(c: Context) -> DataFrame:
 
 @query("books_monthly_window")
 def _books_monthly_window(c: Context) -> DataFrame:
-    """A5 + F15: monthly books in the month-grain window, all months if none fall in it."""
-    return B.unless_empty(L.month_window(c.books_monthly, c.p), c.books_monthly)
+    return B.books_monthly_window(c.books_monthly, c.p)
 
 
 @query("cogs_by_supplier_account")
@@ -316,22 +315,22 @@ def _cbsa(c: Context) -> DataFrame:
 
 @query("cogs_by_supplier")
 def _cbs(c: Context) -> DataFrame:
-    return B.cogs_by_supplier(B.unless_empty(c.cogs_filtered, c.cogs))
+    return B.cogs_by_supplier(B.unless_empty(c.cogs, c.p))
 
 
 @query("cogs_monthly")
 def _cm(c: Context) -> DataFrame:
-    return B.cogs_monthly(B.unless_empty(c.cogs_filtered, c.cogs))
+    return B.cogs_monthly(c.cogs, c.p)
 
 
 @query("cogs_detail")
 def _cd(c: Context) -> DataFrame:
-    return B.cogs_detail(B.unless_empty(c.cogs_filtered, c.cogs))
+    return B.cogs_detail(B.unless_empty(c.cogs, c.p))
 
 
 @query("yoy_monthly")
 def _yoy(c: Context) -> DataFrame:
-    return I.yoy_monthly(B.unless_empty(c.filtered_cube, c.revenue_cube), c.p)
+    return I.yoy_monthly(c.revenue_cube, c.p)
 
 
 @query("q1_yoy")

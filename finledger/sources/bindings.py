@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.normalize import TAGGED_COLUMNS
 from ..params import CARD, CHECKOUT, WALLET_A, WALLET_B
 
 # Gateway of an order by o_custkey % 4.
@@ -122,29 +123,62 @@ def _money_text(x: Column, k: Column) -> Column:
     return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), prefix, F.format_number(F.abs(x), 2))
 
 
+def _named(*cells: tuple[str, Column]) -> dict[str, Column]:
+    return dict(cells)
+
+
+def _extract(spark: SparkSession, sf_dir: str, facts: DataFrame | None, gateway: str, columns: list[Column]) -> DataFrame:
+    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == gateway)
+    return f.select(*columns)
+
+
 def card_extract(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Card gateway export: every attempt (failures too), all columns text."""
-    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == CARD)
+    return _extract(spark, sf_dir, facts, CARD, [c.alias(n) for n, c in card_cells().items()])
+
+
+def wallet_extract(spark: SparkSession, sf_dir: str, gateway: str = WALLET_A, facts: DataFrame | None = None) -> DataFrame:
+    """Wallet export (two wallets share the shape); blanks are ``''`` until read."""
+    return _extract(spark, sf_dir, facts, gateway, [c.alias(n) for n, c in wallet_cells(gateway).items()])
+
+
+def checkout_extract(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """Checkout export: refunds appear as ``Amount Refunded`` on the payment row."""
+    return _extract(spark, sf_dir, facts, CHECKOUT, [c.alias(n) for n, c in checkout_cells().items()])
+
+
+def tagged_extracts(facts: DataFrame) -> DataFrame:
+    """All gateways' exports as one table (``normalize.TAGGED_COLUMNS``): the orders are read once."""
+    cells = {CARD: card_cells(), WALLET_A: wallet_cells(WALLET_A), WALLET_B: wallet_cells(WALLET_B), CHECKOUT: checkout_cells()}
+    kinds = {CARD: "card", WALLET_A: "wallet", WALLET_B: "wallet", CHECKOUT: "checkout"}
+    gateway, out = F.col("gateway"), [F.col("gateway").alias("source"), _case(F.col("gateway"), kinds).alias("kind")]
+    for name in TAGGED_COLUMNS[2:]:
+        cell = F.lit(None).cast("string")
+        for g, own in cells.items():
+            if name in own:
+                cell = F.when(gateway == g, own[name]).otherwise(cell)
+        out.append(cell.alias(name))
+    return facts.select(*out)
+
+
+def card_cells() -> dict[str, Column]:
     k, ck = F.col("k"), F.col("ck")
-    return f.select(
-        F.concat(F.lit("c-"), k).alias("Transaction ID"),
-        F.when(F.col("rf"), F.lit("credit")).otherwise(F.lit("sale")).alias("Transaction Type"),
-        F.col("status").alias("Transaction Status"),
-        F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("Created Datetime"),
-        F.lit("main").alias("Merchant Account ID"),
-        F.when(k % 17 == 0, F.lit("")).otherwise(F.col("amt").cast("string")).alias("Amount Submitted For Settlement"),
-        F.concat(F.lit("cust"), ck, F.lit("@example.com")).alias("Customer Email"),
-        F.when(k % 19 == 0, F.lit("")).otherwise(F.lit("Cust")).alias("Customer First Name"),
-        F.concat(F.lit("No"), ck).alias("Customer Last Name"),
-        F.concat(F.lit("o-"), k).alias("Order ID"),
-        F.col("currency").alias("Currency ISO Code"),
+    return _named(
+        ("Transaction ID", F.concat(F.lit("c-"), k)),
+        ("Transaction Type", F.when(F.col("rf"), F.lit("credit")).otherwise(F.lit("sale"))),
+        ("Transaction Status", F.col("status")),
+        ("Created Datetime", F.date_format("ts", "MM/dd/yyyy HH:mm:ss")),
+        ("Merchant Account ID", F.lit("main")),
+        ("Amount Submitted For Settlement", F.when(k % 17 == 0, F.lit("")).otherwise(F.col("amt").cast("string"))),
+        ("Customer Email", F.concat(F.lit("cust"), ck, F.lit("@example.com"))),
+        ("Customer First Name", F.when(k % 19 == 0, F.lit("")).otherwise(F.lit("Cust"))),
+        ("Customer Last Name", F.concat(F.lit("No"), ck)),
+        ("Order ID", F.concat(F.lit("o-"), k)),
+        ("Currency ISO Code", F.col("currency")),
     )
 
 
-def wallet_extract(spark: SparkSession, sf_dir: str, gateway: str = WALLET_A,
-                   facts: DataFrame | None = None) -> DataFrame:
-    """Wallet export (two wallets share the shape); blanks are ``''`` until read."""
-    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == gateway)
+def wallet_cells(gateway: str) -> dict[str, Column]:
     k, ck = F.col("k"), F.col("ck")
     neg = F.col("rf") | (F.col("pr") == "3-MEDIUM")
     signed = F.when(neg, -F.col("amt")).otherwise(F.col("amt"))
@@ -161,43 +195,41 @@ def wallet_extract(spark: SparkSession, sf_dir: str, gateway: str = WALLET_A,
     )
     date_fmt = "MM/dd/yyyy" if gateway == WALLET_A else "M/d/yyyy"
     prefix = "wa-" if gateway == WALLET_A else "wb-"
-    return f.select(
-        F.date_format("ts", date_fmt).alias("Date"),
-        F.lit("00:00:00").alias("Time"),
-        F.concat(F.lit("Cust No"), ck).alias("Name"),
-        wtype.alias("Type"),
-        F.initcap("status").alias("Status"),
-        F.col("currency").alias("Currency"),
-        _money_text(signed, k).alias("Gross"),
-        _money_text(F.col("fee"), k).alias("Fee"),
-        _money_text(signed - F.col("fee"), k).alias("Net"),
-        F.concat(F.lit("cust"), ck, F.lit("@example.com")).alias("From Email Address"),
-        F.concat(F.lit(prefix), k).alias("Transaction ID"),
-        F.concat(F.lit("Item "), k % 50).alias("Item Title"),
-        impact.alias("Balance Impact"),
+    return _named(
+        ("Date", F.date_format("ts", date_fmt)),
+        ("Time", F.lit("00:00:00")),
+        ("Name", F.concat(F.lit("Cust No"), ck)),
+        ("Type", wtype),
+        ("Status", F.initcap("status")),
+        ("Currency", F.col("currency")),
+        ("Gross", _money_text(signed, k)),
+        ("Fee", _money_text(F.col("fee"), k)),
+        ("Net", _money_text(signed - F.col("fee"), k)),
+        ("From Email Address", F.concat(F.lit("cust"), ck, F.lit("@example.com"))),
+        ("Transaction ID", F.concat(F.lit(prefix), k)),
+        ("Item Title", F.concat(F.lit("Item "), k % 50)),
+        ("Balance Impact", impact),
     )
 
 
-def checkout_extract(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
-    """Checkout export: refunds appear as ``Amount Refunded`` on the payment row."""
-    f = (facts if facts is not None else order_facts(spark, sf_dir)).where(F.col("gateway") == CHECKOUT)
+def checkout_cells() -> dict[str, Column]:
     k, ck = F.col("k"), F.col("ck")
     refunded = (
         F.when(F.col("rf"), F.col("amt").cast("string"))
         .when(k % 2 == 0, F.lit("0"))
         .otherwise(F.lit(""))
     )
-    return f.select(
-        F.concat(F.lit("k-"), k).alias("id"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("Created date (UTC)"),
-        F.col("amt").cast("string").alias("Amount"),
-        refunded.alias("Amount Refunded"),
-        F.when(k % 29 == 0, F.lit("")).otherwise(F.col("fee").cast("string")).alias("Fee"),
-        F.col("status").alias("Status"),
-        F.concat(F.lit("Order o-"), k).alias("Description"),
-        F.col("currency").alias("Currency"),
-        F.concat(F.lit("Cust No"), ck).alias("Customer Description"),
-        F.concat(F.lit("cust"), ck, F.lit("@example.com")).alias("Customer Email"),
+    return _named(
+        ("id", F.concat(F.lit("k-"), k)),
+        ("Created date (UTC)", F.date_format("ts", "yyyy-MM-dd HH:mm")),
+        ("Amount", F.col("amt").cast("string")),
+        ("Amount Refunded", refunded),
+        ("Fee", F.when(k % 29 == 0, F.lit("")).otherwise(F.col("fee").cast("string"))),
+        ("Status", F.col("status")),
+        ("Description", F.concat(F.lit("Order o-"), k)),
+        ("Currency", F.col("currency")),
+        ("Customer Description", F.concat(F.lit("Cust No"), ck)),
+        ("Customer Email", F.concat(F.lit("cust"), ck, F.lit("@example.com"))),
     )
 
 

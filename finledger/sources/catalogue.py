@@ -49,14 +49,6 @@ def read_extract(spark: SparkSession, kind: str, paths: str | list[str]) -> Data
     return R.read_extract(spark, paths, list(how), null_value="NA" if FS.KEEP_BLANKS[kind] else "", defaults=how)
 
 
-def normalised(raw: DataFrame, kind: str, source: str) -> DataFrame:
-    if kind == "card":
-        return N.normalize_card(raw, source)
-    if kind == "wallet":
-        return N.normalize_wallet(raw, source)
-    return N.normalize_checkout(raw, source)
-
-
 @dataclass(frozen=True)
 class Loaded:
     """One entry after its load; ``rows`` are those that its normaliser keeps."""
@@ -85,8 +77,8 @@ def unreadable(err: Exception) -> tuple[str, str | None] | None:
     return None
 
 
-def load_entry(spark: SparkSession, e: Entry) -> Loaded:
-    """Reads, counts and stores one extract in one job."""
+def load_entry(spark: SparkSession, e: Entry, path: str) -> Loaded:
+    """Reads, counts and stores one extract as a table at ``path``."""
     try:
         raw = read_extract(spark, e.kind, e.path)
         good = F.col("__why").isNull()
@@ -95,7 +87,8 @@ def load_entry(spark: SparkSession, e: Entry) -> Loaded:
         counted = raw.observe(
             seen, F.count(F.lit(1)).alias("read"), F.count(F.when(~good, 1)).alias("rejected"),
             F.count(F.when(good & F.coalesce(kept, F.lit(False)), 1)).alias("rows"))
-        data = FS.stage_table(spark, counted, f"load-{e.kind}")
+        counted.write.parquet(path)
+        data = spark.read.schema(raw.schema).parquet(path)
         n = seen.get
     except (PySparkException, Py4JJavaError) as err:
         if (why := unreadable(err)) is None:
@@ -111,6 +104,7 @@ class Load:
     """All entries of a catalogue after their load."""
 
     spark: SparkSession
+    root: str
     entries: tuple[Loaded, ...] = field(default_factory=tuple)
 
     def raw(self, i: int) -> DataFrame:
@@ -131,9 +125,24 @@ class Load:
             for i in self.present()]
         return N.union_extracts(parts) if parts else self.spark.createDataFrame([], REJECTS)
 
+    def tagged(self) -> DataFrame | None:
+        """The good records of all extracts as one table (``normalize.TAGGED_COLUMNS``); None without any.
+
+        The entries' tables are folders of one partitioned table, so any number
+        of gateways is one scan.
+        """
+        here = [i for i in self.present() if self.entries[i].entry.kind in EXTRACTS]
+        if not here:
+            return None
+        schema = ", ".join(f"`{c}` string" for c in [*N.TAGGED_COLUMNS[2:], "__why"]) + ", entry int"
+        rows = self.spark.read.schema(schema).parquet(self.root).where(F.col("__why").isNull())
+        of = lambda what: F.create_map(*[F.lit(x) for i in here for x in (i, what(self.entries[i].entry))])[F.col("entry")]
+        return rows.select(of(lambda e: e.source).alias("source"), of(lambda e: e.kind).alias("kind"),
+                           *[F.col(f"`{c}`") for c in N.TAGGED_COLUMNS[2:]])
+
     def union(self) -> DataFrame:
-        parts = [normalised(self.raw(i), self.entries[i].entry.kind, self.entries[i].entry.source) for i in self.present()]
-        return N.union_extracts(parts) if parts else empty(self.spark, LEDGER_BASE)
+        tagged = self.tagged()
+        return empty(self.spark, LEDGER_BASE) if tagged is None else N.normalize_tagged(tagged)
 
 
 #: entries loaded at the same time, so that small files do not wait for each other's jobs
@@ -142,9 +151,14 @@ TOGETHER = 8
 
 def load(spark: SparkSession, entries: list[Entry]) -> Load:
     """Loads the extracts and sheets of a catalogue, each entry by a job of its own."""
-    one = lambda e: load_entry(spark, e) if e.kind in EXTRACTS else load_sheets(spark, e)
+    root = FS.new_path(spark, "load")
+
+    def one(i: int) -> Loaded:
+        e = entries[i]
+        return load_entry(spark, e, f"{root}/entry={i}") if e.kind in EXTRACTS else load_sheets(spark, e)
+
     with ThreadPoolExecutor(TOGETHER) as pool:
-        return Load(spark, tuple(pool.map(one, entries)))
+        return Load(spark, root, tuple(pool.map(one, range(len(entries)))))
 
 
 def load_extracts(spark: SparkSession, entries: list[Entry], p: Params) -> tuple[DataFrame, DataFrame]:
@@ -165,9 +179,9 @@ def statement_lines(sheets: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Inputs:
-    """What a catalogue holds: (gateway, kind, cells) of each extract, and the sheets (None: absent)."""
+    """What a catalogue holds: all extracts (``normalize.TAGGED_COLUMNS``) and the sheets (None: absent)."""
 
-    extracts: tuple[tuple[str, str, DataFrame], ...] = ()
+    extracts: DataFrame | None = None
     books: DataFrame | None = None
     statements: DataFrame | None = None
     vendors: DataFrame | None = None
@@ -195,8 +209,6 @@ def load_inputs(spark: SparkSession, entries: list[Entry]) -> tuple[Inputs, Data
     """
     found = load(spark, entries)
     here = found.present()
-    extracts = tuple((found.entries[i].entry.source, found.entries[i].entry.kind, found.raw(i))
-                     for i in here if found.entries[i].entry.kind in EXTRACTS)
 
     def sheets(kind: str) -> list[DataFrame]:
         return [found.entries[i].data for i in here if found.entries[i].entry.kind == kind]
@@ -208,4 +220,4 @@ def load_inputs(spark: SparkSession, entries: list[Entry]) -> tuple[Inputs, Data
     order = [x.withColumn("file", F.concat(F.lpad(F.lit(str(i)), 9, "0"), F.lit("|"), "file")) for i, x in enumerate(sheets("statement"))]
     statements = union(order)
     vendors = union([x.drop("file", "row") for x in sheets("vendors")])
-    return Inputs(extracts, books, None if statements is None else statement_lines(statements), vendors), found.report()
+    return Inputs(found.tagged(), books, None if statements is None else statement_lines(statements), vendors), found.report()

@@ -114,18 +114,20 @@ def test_fifth_gateway_shows_up(spark):
     assert chart and chart == sorted(chart, reverse=True)
 
 
-def test_fallbacks_run_no_job_while_the_plan_is_built(spark):
+def test_fallbacks_take_all_rows_and_run_no_job_while_the_plan_is_built(spark):
     ctx = Context(spark, SF001, DEFAULT.with_(date_from=date(1990, 1, 1), date_to=date(1990, 12, 31)))
-    inputs = (ctx.cogs_filtered, ctx.cogs, ctx.filtered_cube, ctx.revenue_cube)  # their files' schemas are read here
-    assert len(inputs) == 4
+    inputs = (ctx.cogs, ctx.revenue_cube, ctx.books_monthly)  # their files' schemas are read here
+    assert len(inputs) == 3
     spark.sparkContext.setJobGroup("plan-building", "")
-    out = B.cogs_monthly(B.unless_empty(ctx.cogs_filtered, ctx.cogs))
-    yoy = I.yoy_monthly(B.unless_empty(ctx.filtered_cube, ctx.revenue_cube), ctx.p)
+    monthly, yoy = B.cogs_monthly(ctx.cogs, ctx.p), I.yoy_monthly(ctx.revenue_cube, ctx.p)
+    detail, months = B.cogs_detail(B.unless_empty(ctx.cogs, ctx.p)), B.books_monthly_window(ctx.books_monthly, ctx.p)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-building")
-    assert out.exceptAll(B.cogs_monthly(ctx.cogs)).count() == 0 and out.count() > 0
-    assert yoy.count() > 0
-    full = Context(spark, SF001)
-    assert B.unless_empty(full.cogs_filtered, full.cogs).count() == full.cogs_filtered.count()
+    full = ctx.cogs.groupBy("month", "account_clean").agg(F.sum("amount").alias("total"))
+    assert sorted(map(str, monthly.collect())) == sorted(map(str, full.collect()))
+    assert yoy.count() > 0 and detail.count() == ctx.cogs.count() and months.count() == ctx.books_monthly.count()
+    some = Context(spark, SF001)
+    assert B.unless_empty(some.cogs, some.p).count() == some.cogs_filtered.count() < some.cogs.count()
+    assert B.cogs_monthly(some.cogs, some.p).agg(F.sum("total")).first()[0] == some.cogs_filtered.agg(F.sum("amount")).first()[0]
 
 
 def test_late_file_with_an_old_time_stamp_is_ingested(spark, tmp_path):

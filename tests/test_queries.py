@@ -6,11 +6,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+from datetime import date
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from finledger.operators import books as B
 from finledger.plans import registry as RG
 from finledger.plans.context import Context
 
@@ -151,6 +153,36 @@ def test_aggregates_combine_map_side(spark, name):
         assert "Aggregate" in nxt or "Project" in nxt or "Filter" in nxt or "Generate" in nxt or "Union" in nxt
 
 
+#: relations of orders and of lineitem in a fresh plan; the look for one row stands three times and runs once
+SCANS = {
+    "ledger_window": (1, 0), "ledger_union": (1, 0), "revenue": (1, 0), "monthly_revenue": (1, 0), "kpi_overview": (1, 0),
+    "net_reconciliation": (1, 0), "failure_histogram": (1, 0), "yoy_monthly": (1, 0), "mom_change": (1, 0), "kpi_volume": (2, 0),
+    "refund_rates": (1, 0), "books_monthly_window": (0, 1), "cogs_monthly": (0, 1), "cogs_by_supplier": (0, 4), "cogs_detail": (0, 4),
+    "monthly_pl": (1, 1), "kpi_alerts": (3, 3), "statement_metrics": (0, 1), "norm_wallet": (2, 0), "norm_card": (1, 0),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_a_fresh_plan_scans_each_table_so_often(spark, name):
+    plan = RG.run(spark, SF001, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert (len(re.findall(r"Relation \[o_", plan)), len(re.findall(r"Relation \[l_", plan))) == SCANS[name]
+
+
+@pytest.mark.parametrize("name", ["cogs_by_supplier", "cogs_detail"])
+def test_the_look_for_one_row_runs_once(spark, name):
+    df = RG.run(spark, SF001, name)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) <= 2 and "ReusedSubquery" in plan
+
+
+def test_a_staged_fallback_still_prunes_months(spark, staged):
+    df = B.unless_empty(staged.cogs, staged.p.with_(date_from=date(2000, 5, 1), date_to=date(2000, 6, 30)))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and re.search(r"PartitionFilters: \[[^\]]*month[^\]]*[Ss]ubquery", plan)
+
+
 def test_catalogue_reports_missing_extract(spark):
     from finledger.sources import catalogue as CAT
     from finledger.sources import files as FS
