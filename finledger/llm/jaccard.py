@@ -256,6 +256,8 @@ class Space:
         often = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 3)
         # the least count that at most ``hot`` shingles reach: no sort of all of them
         often, least, total = staged(spark, often, "frequent"), 3, 0
+        none.destroy()
+        flags.destroy()
         for r in often.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
             total += r["n"]
             if total > hot:
@@ -293,6 +295,7 @@ class Space:
         found = map_batches(rows, whole_sets(self.hot, flags), "node long, s binary")
         found = found.join(first, "node", "left_semi").dropDuplicates(["node"])
         found = staged(self.spark, found, "sets")
+        flags.destroy()  # the sets are stored
         if (lost := first.count() - found.count()) != 0:
             raise RuntimeError(f"{lost} wanted sets were not found")
         self.sets = found if self.sets is None else self.sets.union(found)
@@ -426,6 +429,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rest = staged(spark, rest.join(seen, ["a", "b"], "left_anti"), "pairs-last")
     if not rest.isEmpty():
         roots = merged(space.compare(rest).where("linked"))
+    space.hot.destroy()  # what follows reads stored tables only
     out = space.signed.select("id", "h", "n", "node").join(roots, "node", "left")
     return out.select("id", "h", "n", F.coalesce("root", "node").alias("root"))
 

@@ -13,8 +13,9 @@ all documents (coreference), whatever its spelling.
 
 Collision checks: surrogates of all distinct entities are compared with each
 other and with all real entities.  Who shares one is drawn again with the next
-round's key, smallest identity first; what still collides after ``ROUNDS`` is an
-error, so distinct entities never share a surrogate.  Redrawn entities are rare;
+round's key, smallest identity first, until nothing collides; from round
+``LONGER`` on addresses and names grow by a letter or syllable a round, so that
+short ones never run out.  Distinct entities never share a surrogate.  Redrawn entities are rare;
 they reach the documents by a join on the document, all others are
 computed in place, without a shuffle of texts.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-ROUNDS = 4
+LONGER = 3
 # fixed values: a capitalised word of a name, and all that follow it
 WORD = r"(?:\p{Lu}['’])?+\p{Lu}\p{L}++(?:['’]\p{Lu}\p{L}++)?"
 NAMES = f"{WORD}(?:[ -]{WORD})*+"
@@ -38,13 +39,15 @@ NAMES = f"{WORD}(?:[ -]{WORD})*+"
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "aws": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"\b(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}(?:\"[^\s\"]{8,}+|'[^\s']{8,}+|[^\s\"']{8,}+)",
+    "secret": r"\b(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}(?=\S*[0-9@!#$%&*+/=_~^])(?:\"[^\s\"]{8,}+|'[^\s']{8,}+|[^\s\"']{8,}+)",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})(?![\w:])",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b",
     "woman": r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа)\.? " + NAMES,
+    "person": r"\b(?:Dr|Prof|Doctor|Professor|Doktor)\.? " + NAMES,
     "man": r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Г-н)\.? " + NAMES,
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
@@ -65,7 +68,7 @@ def let(value: Column, body) -> Column:
 def entity_type(m: Column) -> Column:
     """The type of a found entity, by its shape."""
     kind = F.when(m.contains("@") & m.rlike(f"^(?:{TYPES['email']})$"), "email")
-    for t in ("aws", "iban", "ip", "ssn", "phone", "card", "woman", "man"):
+    for t in ("aws", "iban", "ip6", "ip", "ssn", "phone", "card", "woman", "person", "man"):
         kind = kind.when(m.rlike(f"^(?:{TYPES[t]})$"), t)
     return kind.otherwise("secret")
 
@@ -76,7 +79,7 @@ def normal(kind: Column, m: Column) -> Column:
     name = F.lower(F.regexp_replace(m, r"^\S+ ", ""))
     return (F.when(kind == "email", F.lower(m)).when(kind == "phone", F.right(digits, F.lit(10)))
             .when(kind == "card", digits).when(kind == "iban", F.regexp_replace(m, " ", ""))
-            .when(kind.isin("woman", "man"), name)
+            .when(kind.isin("woman", "man", "person"), name).when(kind == "ip6", F.lower(m))
             .when(kind == "secret", F.regexp_replace(F.regexp_replace(m, SECRET_NAME, ""), SECRET_END, "")).otherwise(m))
 
 
@@ -135,7 +138,7 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("t"), F.lit(0).alias("i")), add, lambda s: s["t"])
 
 
-def _name(m: Column, stream: Column, ending: str) -> Column:
+def _name(m: Column, stream: Column, ending: str, more: Column) -> Column:
     """Title, then as many names of keyed syllables as the entity has, in its script."""
     syllables = F.array(*[F.lit(a + b) for a in "bdklmnrstv" for b in "aeio"])
 
@@ -147,9 +150,12 @@ def _name(m: Column, stream: Column, ending: str) -> Column:
     # the last name stands at 8 of the stream, the first at 0, those between from 12 on
     between = F.regexp_extract_all(rest, F.lit(r"[ -]"), F.lit(0))
     given = F.transform(between, lambda sign, i: F.concat(word(F.when(i == 0, 0).otherwise(8 + 4 * i), 3, ending), sign))
-    latin = F.concat(F.array_join(given, ""), word(F.lit(8), 4, "s"))
+    # each further round adds a syllable to the last name
+    longer = F.array_join(F.transform(F.slice(F.sequence(F.lit(40), F.lit(100)), F.lit(1), more), lambda at: F.element_at(syllables, _pick(stream, at, 40) + 1)), "")
+    latin = F.concat(F.array_join(given, ""), F.concat(word(F.lit(8), 4, ""), longer, F.lit("s")))
     cyrillic = F.translate(latin, _LATIN + _LATIN.upper(), _CYRILLIC + _CYRILLIC.upper())
-    return F.concat(title, F.when(rest.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
+    name = F.when(rest.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+    return F.concat(title, F.when(rest == F.upper(rest), F.upper(name)).otherwise(name))
 
 
 def surrogate(key: str, m: Column, kind: Column, draw: Column) -> Column:
@@ -157,15 +163,16 @@ def surrogate(key: str, m: Column, kind: Column, draw: Column) -> Column:
     known = F.struct(m.alias("m"), kind.alias("kind"))
     return let(known, lambda a: let(F.struct(a["m"].alias("m"), a["kind"].alias("kind"), normal(a["kind"], a["m"]).alias("norm")), lambda b: let(
         F.struct(b["m"].alias("m"), b["kind"].alias("kind"), b["norm"].alias("norm"), _stream(key, b["kind"], b["norm"], draw).alias("s")),
-        lambda v: _laid_over(v["m"], v["kind"], v["norm"], v["s"]))))
+        lambda v: _laid_over(v["m"], v["kind"], v["norm"], v["s"], F.least(F.greatest(draw - (LONGER - 1), F.lit(0)), F.lit(60))))))
 
 
-def _laid_over(m: Column, kind: Column, norm: Column, s: Column) -> Column:
+def _laid_over(m: Column, kind: Column, norm: Column, s: Column, more: Column) -> Column:
+    """``more``: letters or syllables that a late draw adds."""
     never = F.lit(False)
     every = F.lit(1 << 20)
     local, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     label = F.substring_index(host, ".", 1)
-    email = F.concat(_reshape(local, s, never, every), F.lit("@"),
+    email = F.concat(_reshape(F.concat(local, F.repeat(F.lit("a"), more)), s, never, every), F.lit("@"),
                      let(F.substr(s, F.lit(129), F.lit(128)), lambda t: _reshape(label, t, never, every)), F.lit(".example.net"))
     ip = F.concat_ws(".", (_pick(s, F.lit(0), 15) + 240).cast("string"),
                      *[_pick(s, F.lit(i), 256).cast("string") for i in (1, 2, 3)])
@@ -186,8 +193,9 @@ def _laid_over(m: Column, kind: Column, norm: Column, s: Column) -> Column:
     ending = F.regexp_extract(F.regexp_replace(m, SECRET_NAME, ""), SECRET_END, 0)
     secret = F.concat(F.regexp_extract(m, SECRET_NAME, 0), _secret(norm, s), ending)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", cards)
-            .when(kind == "aws", aws).when(kind == "iban", iban).when(kind == "woman", _name(m, s, "a"))
-            .when(kind == "man", _name(m, s, "on")).when(kind == "secret", secret).otherwise(_reshape(m, s, never, every)))
+            .when(kind == "aws", aws).when(kind == "iban", iban).when(kind == "woman", _name(m, s, "a", more))
+            .when(kind == "person", _name(m, s, "e", more)).when(kind == "ip6", _reshape(m, s, F.lit(True), every))
+            .when(kind == "man", _name(m, s, "on", more)).when(kind == "secret", secret).otherwise(_reshape(m, s, never, every)))
 
 
 def redrawn(found: DataFrame, key: str) -> DataFrame:
@@ -200,7 +208,7 @@ def redrawn(found: DataFrame, key: str) -> DataFrame:
     known = staged(found.sparkSession, known, "entities")
     open_ = known.withColumn("draw", F.lit(0))
     taken = None
-    for r in range(ROUNDS + 1):
+    for r in range(LONGER + 60):
         s = open_.withColumn("s", normal(F.col("kind"), surrogate(key, F.col("m"), F.col("kind"), F.lit(r))))
         first = F.row_number().over(Window.partitionBy("kind", "s").orderBy("norm")) == 1
         s = s.withColumn("ok", first)
@@ -219,7 +227,7 @@ def redrawn(found: DataFrame, key: str) -> DataFrame:
 
 
 #: what every alternative of a type needs; most texts hold none of it and skip the full pattern
-HINT = r"[0-9][0-9.]|\b(?:Mrs?|Ms|Miss|Frau|Herr|Madame|Mme|Monsieur|Señora?|Sra?|Г-жа|Г-н)\b"
+HINT = r"[0-9][0-9.]|\b(?:Mrs?|Ms|Dr|Prof|Doctor|Professor|Doktor|Miss|Frau|Herr|Madame|Mme|Monsieur|Señora?|Sra?|Г-жа|Г-н)\b"
 
 
 def entities(df: DataFrame, text: str = "text") -> Column:

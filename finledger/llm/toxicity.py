@@ -1,18 +1,26 @@
 """Toxicity by compression distance: one zstandard dictionary per class, compared window by window.
 
-Two dictionaries are trained on separate texts: the ordinary one on ordinary
-documents, the toxic one on what toxic documents say more often than ordinary
-ones do.  A window is one word, with padded ends, between two fixed pieces of
-ordinary text; its value is the bytes that the toxic dictionary saves over the
-ordinary one (both hold the ordinary content at the same distance, so that only
-toxic content can differ).  A document is described by how many of its windows
-save 2, 3, 4, 5 or more bytes; a logistic model on labelled documents that
-trained no dictionary calibrates these counts.  Every word of every text is
-scored; equal windows are compressed once for each worker's bounded cache.
+Two dictionaries are trained on separate texts: the ordinary one on whole
+ordinary documents, the toxic one on what toxic documents say more often than
+ordinary ones do: words, and runs of words covered by phrases of two to four
+words.  (Trained on whole toxic texts it is mostly ordinary language and the
+lengths tell little; README has the figures.)  A window is one word or four words
+in a row, with padded ends, between two fixed pieces of ordinary text; its value
+is the bytes that the toxic dictionary saves over the ordinary one (both hold the
+ordinary content at the same distance, so that only toxic content can differ).
+A window of four words can save more than its words only if two of them stand
+side by side in the toxic dictionary, so only those are compressed.  A document
+is described by how many of its windows save 2, 3, 4, 5, 6 or 8 bytes; a logistic
+model on labelled documents that trained no dictionary calibrates these counts.
+Every word of every text is scored; equal windows are compressed once for each
+worker's bounded cache.
 
 Bounds: at most ``per_class`` documents of each class and ``longest`` bytes
 each train anything; they are the labelled rows with the smallest hash, whatever
-the size of the corpus.
+the size of the corpus.  The toxic dictionary holds at most ``toxic_bytes`` of
+words and as many of phrases, the ordinary one ``ordinary_bytes``.  A word counts as toxic from 3 sampled toxic
+documents on, a phrase from 2 in 100 on, where it is 8 times as frequent as in
+the ordinary ones.
 
 Defined results: null and empty texts have no window and get the model's score
 for none; without labels of both classes every score is the share of toxic
@@ -41,6 +49,9 @@ _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 STEPS = (2, 3, 4, 5, 6, 8)
 CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
+PHRASE = 4
+SMALLEST = 1 << 15  # the library finds nothing in contents of a few KB: blanks before them fill up
+FEATURES = 3 * len(STEPS)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -50,31 +61,37 @@ def words(text: str | None) -> list[bytes]:
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: bytes  # words
+    phrases: bytes
     weights: np.ndarray  # bias, then one per feature
     shift: np.ndarray
     scale: np.ndarray
 
     def __post_init__(self):
         self._saved: dict[bytes, int] = {}
+        ws = self.phrases.split(PAD)
+        self.pairs = {(x, y) for x, y in zip(ws, ws[1:], strict=False) if x and y}
 
-    def _compressors(self):
+    def _compressors(self, **search):
         # no entropy tables and no frame data: only matches can differ; matches of 7 bytes and more
         p = zs.ZstdCompressionParameters.from_level(
-            3, min_match=7, strategy=zs.STRATEGY_GREEDY, hash_log=17, chain_log=17, window_log=18,
-            write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
-        raw = [zs.ZstdCompressionDict(b, dict_type=zs.DICT_TYPE_RAWCONTENT)
-               for b in (self.ordinary, self.toxic + self.ordinary)]
+            3, min_match=7, hash_log=17, chain_log=17, window_log=18,
+            write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS, **search)
+        raw = [zs.ZstdCompressionDict(b.rjust(SMALLEST), dict_type=zs.DICT_TYPE_RAWCONTENT)
+               for b in (self.ordinary, self.phrases + self.toxic + self.ordinary)]
         return [zs.ZstdCompressor(dict_data=d, compression_params=p).compress for d in raw]
 
     def saved(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves on the word's window."""
+        """Bytes that the toxic dictionary saves on the window of a word or of words with padding between them."""
         if (v := self._saved.get(word)) is None:
             if not hasattr(self, "_both"):
-                self._both = self._compressors()
+                # common words have many matches: a phrase's long one is looked for among all of them
+                self._both = [self._compressors(strategy=zs.STRATEGY_GREEDY),
+                              self._compressors(strategy=zs.STRATEGY_LAZY2, search_log=10)]
             n = len(self.ordinary)
             window = self.ordinary[n - 400:n - 336] + PAD + word + PAD + self.ordinary[n - 200:n - 150]
-            v = len(self._both[0](window)) - len(self._both[1](window))
+            plain, toxic = self._both[PAD in word]
+            v = len(plain(window)) - len(toxic(window))
             if len(word) <= LONGEST_CACHED:
                 if len(self._saved) > CACHED_WORDS:
                     self._saved.clear()
@@ -84,7 +101,8 @@ class Model:
     def features(self, ws: list[bytes]) -> list[float]:
         got = [v for w in ws if (v := self.saved(w)) >= STEPS[0]]
         n = [sum(v >= s for v in got) for s in STEPS]
-        return [*np.log1p(n), *(np.sqrt(x / max(1, len(ws))) for x in n)]
+        both = [self.saved(PAD.join(ws[i:i + PHRASE])) for i, p in enumerate(zip(ws, ws[1:], strict=False)) if p in self.pairs]
+        return [*np.log1p(n), *(np.sqrt(x / max(1, len(ws))) for x in n), *np.log1p([sum(v >= s for v in both) for s in STEPS])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + ((x - self.shift) / self.scale) @ self.weights[1:]
@@ -116,24 +134,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
+def grams(ws: list[bytes], n: int) -> set[tuple[bytes, ...]]:
+    return set(zip(*(ws[i:] for i in range(n)), strict=False))
+
+
+def telling(first: dict[int, list[list[bytes]]], n: int, least: int) -> set[tuple[bytes, ...]]:
+    """Runs of n words of at least ``least`` toxic documents that are 8 times as frequent there."""
+    seen = {c: Counter(g for ws in first[c] for g in grams(ws, n)) for c in (0, 1)}
+    return {g for g, k in seen[1].items() if k >= least and k * len(first[0]) > 8 * seen[0][g] * len(first[1])}
+
+
+def said(ws: list[bytes], more: dict[int, set]) -> tuple[bytes, bytes]:
+    """The document's toxic words, once each, and its runs of words that toxic phrases cover."""
+    covered = np.zeros(len(ws), bool)
+    for n in range(2, PHRASE + 1):
+        for i in range(len(ws) - n + 1):
+            if tuple(ws[i:i + n]) in more[n]:
+                covered[i:i + n] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+    runs = dict.fromkeys(PAD.join(ws[x:y]) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    return tuple(PAD.join([b"", *found, b""]) for found in (dict.fromkeys(w for w in ws if (w,) in more[1]), runs))
+
+
 def train(rows: list[tuple[str, int]], share: float, toxic_bytes: int = 3072, ordinary_bytes: int = 65536) -> Model:
     """``rows``: (text, label) in a fixed order; ``share``: of toxic labels in the whole table."""
     split = {c: list(dict.fromkeys(t for t, y in rows if y == c)) for c in (0, 1)}
     first = {c: [words(t) for t in ts[: (len(ts) + 1) * 3 // 5]] for c, ts in split.items()}
     rest = [(words(t), c) for c, ts in split.items() for t in ts[(len(ts) + 1) * 3 // 5:]]
-    flat = Model(b" " * 512, b"", np.zeros(2 * len(STEPS) + 1), np.zeros(2 * len(STEPS)), np.ones(2 * len(STEPS)))
+    flat = Model(b" " * 512, b"", b"", np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
     flat.weights[0] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not first[0] or not first[1] or len({c for _, c in rest}) < 2:
         return flat
-    seen = {c: Counter(w for ws in first[c] for w in set(ws)) for c in (0, 1)}
-    # words of at least 3 toxic documents that are 8 times as frequent there
-    more = {w for w, n in seen[1].items() if n >= 3 and n * len(first[0]) > 8 * seen[0][w] * len(first[1])}
-    if not more:
+    more = {n: telling(first, n, 3 if n == 1 else max(3, len(first[1]) // 50)) for n in range(1, PHRASE + 1)}
+    if not any(more.values()):
         return flat
-    toxic = [PAD + PAD.join(dict.fromkeys(w for w in ws if w in more)) + PAD for ws in first[1]]
-    ordinary = [(PAD + PAD.join(ws) + PAD)[:4096] for ws in first[0]]
-    m = Model(_trained(ordinary, ordinary_bytes, 64).rjust(512), _trained([s for s in toxic if len(s) > 12], toxic_bytes, 12),
-              flat.weights, flat.shift, flat.scale)
+    toxic = [said(ws, more) for ws in first[1]]
+    ordinary = [PAD + PAD.join(ws) + PAD for ws in first[0]]
+    # words in short pieces, phrases in pieces that hold them whole
+    m = Model(_trained(ordinary, ordinary_bytes, 64).rjust(512), _trained([s for s, _ in toxic if len(s) > 12], toxic_bytes, 12),
+              _trained([s for _, s in toxic if len(s) > 12], toxic_bytes, 96), flat.weights, flat.shift, flat.scale)
     x = np.array([m.features(ws) for ws, _ in rest])
     y = np.array([c for _, c in rest], float)
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -177,7 +216,7 @@ def scorer(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = with_cache(model, name)
         for b in batches:
-            x = np.array([m.features(words(t)) for t in b.column(1).to_pylist()]).reshape(-1, 2 * len(STEPS))
+            x = np.array([m.features(words(t)) for t in b.column(1).to_pylist()]).reshape(-1, FEATURES)
             s = m.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["id", "score"])
         m._saved = {}  # only the worker's cache holds on to the words
@@ -200,7 +239,7 @@ def marker(model, name: str):
         m = with_cache(model, name)
         for b in batches:
             at = b.schema.get_field_index("__text")
-            x = np.array([m.features(words(t)) for t in b.column(at).to_pylist()]).reshape(-1, 2 * len(STEPS))
+            x = np.array([m.features(words(t)) for t in b.column(at).to_pylist()]).reshape(-1, FEATURES)
             keep = pa.array(m.score(x) < 0.5, pa.bool_())
             yield b.drop_columns(["__text"]).filter(keep)
         m._saved = {}

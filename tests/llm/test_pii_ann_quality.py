@@ -189,3 +189,18 @@ def test_quality_of_nulls_empty_long_repeats_and_clashes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, score int")
     assert W.classify(df).count() == 5
     assert W.classify(df.limit(0)).count() == 0
+
+
+def test_short_addresses_never_run_out(spark):
+    rows = [(i, f"mail {a}@{b}.de now") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxy" for b in "abcdefghijklmnopqrst")]
+    out = [r.text for r in P.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(rows) == 500 == len(set(out)) and all(t.endswith(".example.net now") for t in out)
+
+
+def test_titles_capitals_addresses_and_words_after_secret(spark):
+    text = "the secret: everything. token: hunter2x9 Dr. Anna Weber, Ms. ANNA SMITH at 2001:db8::1, std::vector at 12:30:45"
+    r = P.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert r["__n"] == 4 and r.text.startswith("the secret: everything. token: ") and r.text.endswith(", std::vector at 12:30:45")
+    assert not any(x in r.text for x in ("hunter2x9", "Anna", "Weber", "ANNA", "SMITH", "2001:db8::1"))
+    name = r.text.split("Ms. ")[1].split(" at ")[0]
+    assert name == name.upper()

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+import zstandard as zs
 
 from finledger.llm import queries as Q
 from finledger.llm import toxicity as T
@@ -34,6 +36,43 @@ def test_held_out_accuracy(spark):
     assert np.mean([out[i].predicted == y for i, y in held]) > 0.95
 
 
+def phrased(n=1500, seed=5, phrases=4):
+    """Toxic texts marked by phrases of four words that all texts use one by one."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "ren", "tu", "vos"]) for _ in range(rng.randrange(2, 4))) for _ in range(400)]
+    marks = [" ".join(rng.sample(vocabulary, 4)) for _ in range(phrases)]
+    rows = []
+    for i in range(n):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))]
+        y = int(rng.random() < 0.2)
+        for _ in range(rng.randrange(1, 4) if y else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(marks))
+        rows.append((i, " ".join(ws), y))
+    return rows
+
+
+@pytest.mark.parametrize("phrases", [1, 4])
+def test_phrases_of_ordinary_words_are_found(phrases):
+    rows = phrased(phrases=phrases)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    learn = [(t, y) for c in (1, 0) for i, t, y in rows if y == c and zlib.crc32(str(i).encode()) % 5]
+    m = T.train(learn, 0.2)
+    found = {y: np.mean([m.score(np.array([m.features(T.words(t))]))[0] >= 0.5 for _, t, z in held if z == y]) for y in (0, 1)}
+    assert found[1] > 0.9 and found[0] < 0.05
+
+
+def test_windows_are_compared_by_their_compressed_lengths():
+    m = T.train([(t, y) for _, t, y in phrased(600)], 0.2)
+    plain, toxic = m._compressors(strategy=zs.STRATEGY_LAZY2, search_log=10)
+    word, worse = m._compressors(strategy=zs.STRATEGY_GREEDY)
+    n = len(m.ordinary)
+    around = lambda x: m.ordinary[n - 400:n - 336] + T.PAD + x + T.PAD + m.ordinary[n - 200:n - 150]
+    for x, y in sorted(m.pairs)[:20]:
+        w = around(T.PAD.join([x, y]))
+        assert m.saved(T.PAD.join([x, y])) == len(plain(w)) - len(toxic(w))
+        assert m.saved(x) == len(word(around(x))) - len(worse(around(x)))
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows = corpus(400)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
