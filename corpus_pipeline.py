@@ -3,6 +3,13 @@
 toxicity -> line removal -> Jaccard join -> benchmark decontamination -> packing.
 Every stage but the last returns the columns of ``documents``; where a stage
 cuts a text, ``n_chars`` follows.
+
+Defined results: null and empty texts pass every filter and pack as an end id
+alone; rows with equal key and text become one at the Jaccard join; rows that
+differ in key but not in text become one there as well (a null key goes before
+another);
+a null source keeps its lines; empty tables pass through; extra columns are
+kept up to the packing.
 """
 
 from __future__ import annotations
@@ -53,6 +60,7 @@ ORACLE_SQL = None  # compression lengths, retrieval order and tokens have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every stage is written and read again, so a lost executor costs one stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark).rstrip('/')}/finledger-llm/pipeline-{name}-{uuid.uuid4().hex}"
