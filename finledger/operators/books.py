@@ -219,6 +219,12 @@ def logistics_vendors(vendors: DataFrame) -> DataFrame:
     )
 
 
+def logistics_table(vendors: DataFrame) -> DataFrame:
+    """F9, table form: carrier vendors with money text, highest amount first."""
+    found = logistics_vendors(vendors)
+    return found.select("vendor", F.concat(F.lit("$"), F.format_number("amount", 2)).alias("total_spent"))
+
+
 def top_vendors(vendors: DataFrame, k: int) -> DataFrame:
     """Top-k by amount (TakeOrderedAndProject), re-shown ascending."""
     return vendors.orderBy(F.desc("amount"), "vendor").limit(k).orderBy("amount", F.desc("vendor"))

@@ -426,6 +426,10 @@ FROM o2 WHERE gateway IN ('wallet_a', 'wallet_b')"""
         f"SELECT vendor, CAST(amount AS DOUBLE) AS amount FROM vend "
         f"WHERE regexp_matches(vendor, {_q(B.LOGISTICS_PATTERN)}) AND amount > 0"
     )
+    Q["logistics_table"] = _w(
+        "SELECT vendor, '$' || format('{:,.2f}', amount) AS total_spent FROM vend "
+        "WHERE regexp_matches(vendor, '(?i)ship|freight|ups|usps|fedex|dhl|auctane|dimerco|express|postal|carrier')"
+    )
     Q["large_refunds"] = _w(
         f"""SELECT strftime(date, '%Y-%m-%d') AS date, source, CAST(abs(amount) AS DOUBLE) AS amount,
   customer_name AS customer, status, description
@@ -438,6 +442,7 @@ FROM led WHERE is_refund AND abs(amount) >= {P.large_refund_threshold}
   customer_name AS customer, transaction_id AS txn_id
 FROM led WHERE date {USER} AND (balance_impact = 'debit' OR is_refund OR amount < 0)"""
     )
+    Q["export_outgoing"] = Q["outgoing"]
     Q["explore_filtered"] = _w(
         f"SELECT {EXPLORE_COLS} FROM lf WHERE amount >= {ex['amount_min']} AND amount <= {ex['amount_max']} "
         f"AND status IN {_in(ex['statuses'])}"

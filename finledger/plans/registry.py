@@ -125,6 +125,14 @@ def _export(c: Context) -> DataFrame:
     return FS.read_back_typed(c.spark, path, df.schema)
 
 
+@query("export_outgoing")
+def _export_outgoing(c: Context) -> DataFrame:
+    """S8, second export: the outgoing table written as CSV and read back."""
+    df = E.outgoing(c.ledger, c.p)
+    path = FS.export_csv(df, FS.new_path(c.spark, "outgoing"))
+    return FS.read_back_typed(c.spark, path, df.schema)
+
+
 # --- 2.2 projections / normalisation ------------------------------------------
 @query("norm_card")
 def _norm_card(c: Context) -> DataFrame:
@@ -231,6 +239,11 @@ def _logistics(c: Context) -> DataFrame:
     return B.logistics_vendors(c.vendors)
 
 
+@query("logistics_table")
+def _logistics_table(c: Context) -> DataFrame:
+    return B.logistics_table(c.vendors)
+
+
 @query("large_refunds")
 def _large_refunds(c: Context) -> DataFrame:
     return I.large_refunds(c.ledger, c.p)
