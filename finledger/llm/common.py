@@ -49,8 +49,6 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    # what the finished plan broadcast goes when the driver collects garbage; it would else pile up over dozens of tables
-    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

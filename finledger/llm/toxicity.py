@@ -30,6 +30,7 @@ any label says so; repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches, smallest_hashes
+from .common import kept, map_batches, ship, smallest_hashes
 
 PAD = b"   "
 #: letters of a word: everything but ASCII blanks and punctuation
@@ -134,14 +135,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
-def grams(ws: list[bytes], n: int) -> set[tuple[bytes, ...]]:
-    return set(zip(*(ws[i:] for i in range(n)), strict=False))
+def telling(first: dict[int, list[list[bytes]]], least: dict[int, int]) -> dict[int, set[tuple[bytes, ...]]]:
+    """Runs of n words of at least ``least[n]`` toxic documents that are 8 times as frequent there, for each n.
 
+    A run is counted only where the runs one word shorter inside it are frequent
+    enough, so that few are held.
+    """
+    found, common = {}, None
+    for n in sorted(least):
+        def grams(ws: list[bytes], n=n, common=common) -> set[tuple[bytes, ...]]:
+            every = set(zip(*(ws[i:] for i in range(n)), strict=False))
+            return every if common is None else {g for g in every if g[:-1] in common and g[1:] in common}
 
-def telling(first: dict[int, list[list[bytes]]], n: int, least: int) -> set[tuple[bytes, ...]]:
-    """Runs of n words of at least ``least`` toxic documents that are 8 times as frequent there."""
-    seen = {c: Counter(g for ws in first[c] for g in grams(ws, n)) for c in (0, 1)}
-    return {g for g, k in seen[1].items() if k >= least and k * len(first[0]) > 8 * seen[0][g] * len(first[1])}
+        toxic = Counter(g for ws in first[1] for g in grams(ws))
+        toxic = {g: k for g, k in toxic.items() if k >= least[n]}
+        ordinary = Counter(g for ws in first[0] for g in grams(ws) if g in toxic)
+        found[n] = {g for g, k in toxic.items() if k * len(first[0]) > 8 * ordinary[g] * len(first[1])}
+        common = toxic
+    return found
 
 
 def said(ws: list[bytes], more: dict[int, set]) -> tuple[bytes, bytes]:
@@ -165,7 +176,7 @@ def train(rows: list[tuple[str, int]], share: float, toxic_bytes: int = 3072, or
     flat.weights[0] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not first[0] or not first[1] or len({c for _, c in rest}) < 2:
         return flat
-    more = {n: telling(first, n, 3 if n == 1 else max(3, len(first[1]) // 50)) for n in range(1, PHRASE + 1)}
+    more = telling(first, {n: 3 if n == 1 else max(3, len(first[1]) // 50) for n in range(1, PHRASE + 1)})
     if not any(more.values()):
         return flat
     toxic = [said(ws, more) for ws in first[1]]
@@ -193,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = marked.groupBy(F.col(key).alias("__k")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
     n = marked.agg(F.sum("y").alias("t"), F.count("y").alias("n")).first()
     share = (n["t"] or 0) / n["n"] if n["n"] else 0.0
-    rows: list[tuple[str, int]] = []
+    sample = None
     for c in (0, 1):
         # bounded: the smallest hashes of a class; texts join afterwards
         of = (n["t"] or 0) if c else n["n"] - (n["t"] or 0)
@@ -201,8 +212,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         body = docs.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("t"))
         body = body.where(F.octet_length("t").between(1, longest))
         got = body.join(F.broadcast(ids), "__k").groupBy("__k").agg(F.min("t").alias("t"))
-        rows += [(r["t"], c) for r in got.orderBy(F.xxhash64("__k"), "__k").toLocalIterator()]
-    return train(rows, share)
+        got = got.select(F.lit(c).alias("y"), F.xxhash64("__k").alias("o"), F.col("__k").cast("string").alias("k"), "t")
+        sample = got if sample is None else sample.union(got)
+    # the sample is trained on in one task, so that its words never fill the driver
+    ship(docs.sparkSession)
+    found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(trainer(share), "model binary").first()
+    return train([], share) if found is None else pickle.loads(found["model"])
+
+
+def trainer(share: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("o", "ascending"), ("k", "ascending")])
+        rows = list(zip(table["t"].to_pylist(), table["y"].to_pylist(), strict=True))
+        return pa.table({"model": pa.array([pickle.dumps(train(rows, share))], pa.binary())})
+
+    return run
 
 
 def with_cache(model, name: str):
