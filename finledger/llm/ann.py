@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,7 +226,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
         low[r["cell"]], high[r["cell"]] = [r[f"l{a}"] for a in range(dims)], [r[f"h{a}"] for a in range(dims)]
     boxes = spark.sparkContext.broadcast((low, high))
 
-    def found_in(cell, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def found_in(cell, q, c):
+        import pandas as pd  # on the executors only: the driver needs none of it
+
         if not len(q):
             return pd.DataFrame({"gid": [], "ids": [], "scores": [], "bound": []}, dtype=object)
         qx = matrix(q["x"], n)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged
-from .tokens import END_ID, tokenizer_file, whole_tokens, words_of
+from .tokens import END_ID, proved, tokenizer_file, words_of
 
 K1, B = 1.2, 0.75
 #: a block is full at so many tokens; its index is all that a task keeps
@@ -223,7 +223,7 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     spark = df.sparkSession
     path = path or tokenizer_file()
     kind = df.schema[key].dataType.simpleString()
-    whole = spark.sparkContext.broadcast(whole_tokens(path))
+    whole = proved(spark, path)
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long"), "token-ids")
     counts = map_batches(ids.select("ids"), frequencies, "token long, n long")

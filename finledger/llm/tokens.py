@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, map_batches
@@ -88,6 +88,24 @@ def whole_tokens(path: str) -> dict[str, int]:
     return {s: found[s] for s, e in zip(strings, alone, strict=True) if e.ids == [found[s]]}
 
 
+def proof(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = whole_tokens(path)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())],
+                                                 ["string", "id"])
+
+    return run
+
+
+def proved(spark: SparkSession, path: str):
+    """The whole tokens as a broadcast dictionary (at most the vocabulary). One task proves them, so that
+    the library and its caches never fill the driver."""
+    rows = map_batches(spark.range(0, 1, 1, 1), proof(path), "string string, id int").toLocalIterator()
+    return spark.sparkContext.broadcast({r["string"]: r["id"] for r in rows})
+
+
 class Words(dict):
     """word -> made(ids of the word), filled on first sight; small enough for a Python worker."""
 
@@ -217,7 +235,7 @@ def counter(path: str, whole, limit: int):
 
 def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """One row per row of ``df``: key, n_bytes, n_tokens, over_limit. No shuffle."""
-    whole = df.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
+    whole = proved(df.sparkSession, path)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     out = map_batches(rows, counter(path, whole, limit),
