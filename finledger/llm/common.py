@@ -34,16 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+#: for workers whose cost is in the distinct words of a batch: more rows, bounded by their bytes
+LARGE_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(12 * MB)}
+
+
+def staged(spark: SparkSession, df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what follows re-reads the table after a lost executor, so
     the shuffle files of the write are not needed any more and go at its end.
     """
     path = f"{shared_dir(spark).rstrip('/')}/finledger-llm/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in STAGING}
+    settings = STAGING | (settings or {})
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        for k, v in STAGING.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:

@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import LARGE_BATCHES, map_batches, staged
 from .tokens import END_ID, proved, tokenizer_file, words_of
 
 K1, B = 1.2, 0.75
 #: a block is full at so many tokens; its index is all that a task keeps
 BLOCK_TOKENS = 1 << 20
+#: tokens of a shard, up to so many shards (their bounds are kept by the driver); sampled documents for each bound
+SHARD_TOKENS, MAX_SHARDS, SAMPLED = 2 * BLOCK_TOKENS, 1 << 16, 64
 VOCABULARY = 1 << 16
 
 
@@ -83,17 +85,51 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ["token", "n"])
 
 
+def distinct_tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, token, count) of the distinct tokens of each of at most 65,536 id strings, in order; one sort for all."""
+    pairs = np.repeat(np.arange(len(raws), dtype=np.uint32) << np.uint32(16), np.fromiter(map(len, raws), int, len(raws)) // 2)
+    pairs |= np.frombuffer(b"".join(raws), "<u2")
+    pairs.sort()
+    first = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
+    found = pairs[first]
+    return found >> np.uint32(16), found & np.uint32(0xFFFF), np.diff(first, append=len(pairs))
+
+
 def telling(idf):
-    """Adds the token of the highest tf-idf weight; ties go to the smaller token."""
+    """Adds the token of the highest tf-idf weight to (id, ids, crc, ...); ties go to the smaller token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = idf.value
         for b in batches:
-            best = []
-            for x in b.column(1).to_pylist():
-                t, n = np.unique(np.frombuffer(x, "<u2"), return_counts=True)
-                best.append(int(t[np.argmax(w[t] * np.log1p(n))]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int32())], ["id", "ids", "crc", "best"])
+            if not b.num_rows:
+                continue
+            doc, token, n = distinct_tokens(b.column(1).to_pylist())
+            weight = w[token] * np.log1p(n)
+            most = np.maximum.reduceat(weight, np.flatnonzero(np.diff(doc, prepend=~doc[:1])))
+            at = np.flatnonzero(weight == most[doc])
+            best = token[at[np.unique(doc[at], return_index=True)[1]]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(best), *b.columns[3:]],
+                                             ["id", "ids", "crc", "best", *b.schema.names[3:]])
+
+    return run
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ids, crc, best, spread) to (id, ids, place): the token in the upper 16 bits, the checksum, 16 bits of
+    ``spread`` that part equal documents."""
+    for b in batches:
+        best, crc, spread = (b.column(i).to_numpy().astype(np.int64) for i in (3, 2, 4))
+        place = (best << 48 | crc << 16 | spread & 0xFFFF) ^ np.int64(-1 << 63)
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(place)], ["id", "ids", "place"])
+
+
+def sharded(cuts):
+    """Adds the shard to (id, ids, place): the number of cuts at or below the place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = np.searchsorted(cuts.value, b.column(2).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32())], ["id", "ids", "place", "shard"])
 
     return run
 
@@ -104,14 +140,15 @@ class Block:
     def __init__(self, items: list[tuple], idf: np.ndarray, mean: float):
         self.items = items  # (id, ids, start): ids[start:] is unused, shorter than a window
         self.terms, tf, of = [], [], []
-        for i, (_, ids, start) in enumerate(items):
-            t, n = np.unique(ids[start:], return_counts=True)
-            long = len(ids) - start
-            self.terms.append(t)
-            tf.append((idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * long / mean))).astype(np.float32))
-            of.append(np.full(len(t), i, np.int32))
+        for lo in range(0, len(items), VOCABULARY):
+            part = items[lo:lo + VOCABULARY]
+            i, t, n = distinct_tokens([ids[start:].tobytes() for _, ids, start in part])
+            long = np.array([len(ids) - start for _, ids, start in part])[i]
+            tf.append(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * long / mean)))
+            of.append(i.astype(np.int64) + lo)
+            self.terms += np.split(t, np.flatnonzero(np.diff(i)) + 1)
         terms = np.concatenate(self.terms)
-        order = np.argsort(terms, kind="stable")
+        order = np.argsort(terms.astype(np.uint16), kind="stable")
         self.weight, self.of = np.concatenate(tf)[order], np.concatenate(of)[order]
         self.first = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
 
@@ -216,16 +253,16 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
 
     The ids are written once to the shared folder; the corpus statistics
     (at most one row per token) and the packing read them there.  One shuffle
-    moves the ids to their shards, ranged over (telling token, checksum), so that
-    a token held by many documents is split over shards; rows are sorted in a
-    shard, so a task that runs again packs the same way.
+    moves the ids to their shards, ranged over (telling token, checksum, hash of the key),
+    so that a token or a text held by many documents is split over shards; rows are
+    sorted in a shard, so a task that runs again packs the same way.
     """
     spark = df.sparkSession
     path = path or tokenizer_file()
     kind = df.schema[key].dataType.simpleString()
     whole = proved(spark, path)
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long"), "token-ids")
+    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long"), "token-ids", LARGE_BATCHES)
     counts = map_batches(ids.select("ids"), frequencies, "token long, n long")
     found = {r["token"]: r["n"] for r in counts.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator()}
     docs, total = found.pop(-1, 0), found.pop(-2, 0)
@@ -233,8 +270,19 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     for t, n in found.items():
         idf[t] = np.log1p((docs - n + 0.5) / (n + 0.5))
     idf = spark.sparkContext.broadcast(idf)
-    dealt = map_batches(ids, telling(idf), f"id {kind}, ids binary, crc long, best int")
-    dealt = dealt.repartitionByRange("best", "crc", "id").sortWithinPartitions("best", "crc", "id")
+    # the shards' bounds come from a hash sample of bounded size; every document is dealt by them
+    shards = min(MAX_SHARDS, total // SHARD_TOKENS + 1)
+    spread = ids.select("id", "ids", "crc", F.xxhash64("id").alias("spread"))
+    places = f"id {kind}, ids binary, place long"
+    some = spread.limit(0)
+    if shards > 1:
+        some = spread.where(F.pmod(F.xxhash64("spread", "crc"), F.lit(docs)) < SAMPLED * shards)
+    some = map_batches(some, lambda batches: placed(telling(idf)(batches)), places).select("place")
+    some = np.sort(np.array([r["place"] for r in some.toLocalIterator()], np.int64))
+    cuts = some[np.linspace(0, len(some) - 1, shards + 1).astype(int)[1:-1]] if len(some) else some
+    cuts = spark.sparkContext.broadcast(cuts)
+    dealt = map_batches(spread, lambda batches: sharded(cuts)(placed(telling(idf)(batches))), places + ", shard int")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("place", "id")
     pieces = map_batches(dealt.select("id", "ids"), 
         packer(window, idf, max(1.0, total / max(1, docs))),
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -44,7 +44,7 @@ ASCII_CLASS = bytes(ord("x") if chr(b).isalnum() or b in (9, 10, 11, 12, 13, 32)
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 CACHED_WORDS = 800_000
 LONGEST_CACHED = 64
-PART_CHARS = 4_000_000
+PART_CHARS = 12_000_000
 END_ID = 2
 
 

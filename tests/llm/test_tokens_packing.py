@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from finledger.llm import packing as P
 from finledger.llm import queries as Q
@@ -119,3 +121,38 @@ def test_neighbours_rank_by_bm25():
     docs = [[1, 2, 3], [9, 9, 9], [1, 2, 8], [1, 7, 6]]
     block = P.Block([(i, np.array(d, "<u2"), 0) for i, d in enumerate(docs)], idf, 3.0)
     assert block.neighbours(0).tolist() == [0, 2, 3, 1]
+
+
+def test_telling_token_and_place_by_brute_force():
+    rng = np.random.default_rng(3)
+
+    class Sent:
+        value = np.round(rng.random(P.VOCABULARY), 1)  # ties
+
+    raws = [rng.integers(0, top, n).astype("<u2").tobytes()
+            for top, n in zip(rng.choice([3, 50, 65536], 500), rng.integers(1, 300, 500), strict=True)]
+    crc, spread = rng.integers(0, 1 << 32, 500), rng.integers(-(1 << 63), (1 << 63) - 1, 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(raws, pa.binary()), pa.array(crc), pa.array(spread)],
+                                       ["id", "ids", "crc", "spread"])
+    told = next(P.telling(Sent)(iter([batch])))
+    place = next(P.placed(iter([told]))).column(2).to_pylist()
+    for i, raw in enumerate(raws):
+        t, n = np.unique(np.frombuffer(raw, "<u2"), return_counts=True)
+        best = int(t[np.argmax(Sent.value[t] * np.log1p(n))])
+        assert told.column(3)[i].as_py() == best
+        assert place[i] + (1 << 63) == best << 48 | int(crc[i]) << 16 | int(spread[i]) & 0xFFFF
+
+
+def test_many_shards_hold_every_id_once(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_TOKENS", 500)
+    rows = [(i, f"word{i % 7} " * (i % 40) + "the same end") for i in range(300)] + [(1000 + i, "one text " * 20) for i in range(300)]
+    got = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    assert got.select("sequence_id").distinct().count() > 10
+    for doc, pieces in itertools.groupby(sorted(got.collect(), key=lambda r: (r.doc_id, r.start)), key=lambda r: r.doc_id):
+        at = 0
+        for p in pieces:
+            assert p.start == at
+            at += p.length
+        assert at == p.doc_tokens
+    # equal texts do not all meet in one shard
+    assert got.where("doc_id >= 1000").select(F.shiftright("sequence_id", 36)).distinct().count() > 1
