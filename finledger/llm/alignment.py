@@ -185,7 +185,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     run = aligner(a_path or tokenizer_file("byte_bpe_50k.json"), b_path or tokenizer_file("piece_bpe_32k.model"),
                   pattern or public_tokenizers.PATTERN)
-    return map_batches(rows, run, f"row long, id {kind}, n_a long, n_b long, n_groups long, groups string, links binary")
+    return map_batches(rows, run, f"row long, id {kind}, n_a long, n_b long, n_groups long, groups string, links binary", caches=True)
 
 
 # --- counts ---------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,6 +102,11 @@ def kept(key, make: Callable):
     return _WORKER[key]
 
 
+def forget() -> None:
+    """Let this worker process's cache go, whatever it belongs to."""
+    _WORKER.clear()
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -119,7 +124,21 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with the package's own modules at hand on every executor."""
+def in_parts(batches: Iterator, rows: int = 500) -> Iterator:
+    """Batches cut into parts of a few rows, so that Python objects of only few texts at a time fill the worker."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def map_batches(df: DataFrame, run: Callable, schema, caches: bool = False) -> DataFrame:
+    """``mapInArrow`` with the package's own modules at hand on every executor.
+
+    Workers live on after a task; what an earlier operator left in one's cache goes
+    first, unless ``run`` looks after the cache itself (``caches``, by ``kept``).
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def fresh(batches):
+        forget()
+        return run(batches)
+
+    return df.mapInArrow(run if caches else fresh, schema)

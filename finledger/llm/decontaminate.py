@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import in_parts, map_batches
 
 #: lower-cases A-Z and turns everything but digits, letters and bytes beyond ASCII into blanks
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -260,11 +260,10 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def cutter(sent, max_coverage: float, min_span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         autos = [s.value for s in sent]
-        for b in batches:
-            at = b.schema.get_field_index("__text")
+        for b in in_parts(batches):
             own = b.schema.get_field_index("__own")
             keep, texts = [], []
-            for t in b.column(at).to_pylist():
+            for t in b.column(own).to_pylist():
                 ws = words(t)
                 hit = bytearray(len(ws))
                 for a in autos:
@@ -283,7 +282,7 @@ def cutter(sent, max_coverage: float, min_span: int):
                     t = b"".join([*out, raw[last:]]).decode()
                 texts.append(t)
             cols = [pa.array(texts, pa.string()) if i == own else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names).drop_columns(["__text"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -298,6 +297,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
     sent = [sc.broadcast(Automaton(c, width)) for c in chunks(benchmark, item_key, "text", chunk_words)]
     names = docs.columns
     rows = docs.withColumn(text, F.col(text).cast("string")).select(
-        *[F.col(c).alias("__own") if c == text else F.col(c) for c in names], F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema
-    return map_batches(rows, cutter(sent, max_coverage, min_span), schema).withColumnRenamed("__own", text)
+        *[F.col(c).alias("__own") if c == text else F.col(c) for c in names])
+    return map_batches(rows, cutter(sent, max_coverage, min_span), rows.schema).withColumnRenamed("__own", text)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -41,8 +42,10 @@ SIMPLE = re.compile("(?:[0-9A-Za-z\t-\r \xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01
 #: the same for ASCII texts, byte by byte: c control, m mark, . full stop or comma, x anything else
 ASCII_CLASS = bytes(ord("x") if chr(b).isalnum() or b in (9, 10, 11, 12, 13, 32) or b > 126 else ord("c") if b < 32 else
                     ord(".") if chr(b) in ".," else ord("m") for b in range(256))
+#: the marks of simple texts
+MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), *range(0x2010, 0x2028)]))
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 64
 PART_CHARS = 12_000_000
 END_ID = 2
@@ -112,12 +115,16 @@ class Words(dict):
     def __init__(self, tok, whole: dict[str, int], made: Callable[[list[int]], object], kind: pa.DataType):
         super().__init__()
         self.tok, self.whole, self.made, self.kind, self.pre = tok, whole, made, kind, {}
-        self.merge, self.letters = tok.model.tokenize, byte_letters()
+        self.merge, self.letters = tok.model.tokenize, "".join(byte_letters()[b] for b in range(256))
+
+    def spelt(self, p: str) -> str:
+        """The UTF-8 bytes of ``p`` in the byte alphabet."""
+        return charmap_decode(p.encode(), "strict", self.letters)[0]
 
     def merged(self, p: str) -> list[int]:
         """The ids of a pre-token that is no whole token, by the library's merges."""
         if (ids := self.pre.get(p)) is None:
-            ids = [t.id for t in self.merge("".join(map(self.letters.__getitem__, p.encode())))]
+            ids = [t.id for t in self.merge(self.spelt(p))]
             if len(p) <= LONGEST_CACHED:
                 if len(self.pre) > CACHED_WORDS // 16:
                     self.pre.clear()
@@ -149,24 +156,34 @@ class Words(dict):
             self[word] = value
         return value
 
-    def simple_ids(self, word: str) -> list[int]:
-        """The ids of a word of a simple, lower-cased text: letters alone are one composed pre-token."""
-        if not word.isalpha():
-            return self.ids(word)
+    def letter_ids(self, word: str) -> list[int]:
+        """The ids of lower-cased, composed letters: one pre-token."""
         if (one := self.whole.get(word)) is not None:
             return [one]
-        return [t.id for t in self.merge(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]
+        return [t.id for t in self.merge(word if word.isascii() else self.spelt(word))]
+
+    def simple_ids(self, word: str) -> list[int]:
+        """The ids of a word of a simple, lower-cased text: letters, and marks after them, are a pre-token each."""
+        if word.isalpha():
+            return self.letter_ids(word)
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha():
+            return self.ids(word)
+        marks = word[len(stem):]
+        return self.letter_ids(stem) + (self.merged(marks) if (one := self.whole.get(marks)) is None else [one])
 
-    def simple_values(self, words: list[str]) -> list:
-        """The values of distinct words of simple texts."""
+    def simple_values(self, words: list[str], times: np.ndarray) -> list:
+        """The values of distinct words of simple texts, which stand ``times`` times there.  A word that stands
+        there once is not kept: most such words never come back and would only fill the worker."""
         found = list(map(self.get, words))
         if len(self) > CACHED_WORDS:
             self.clear()
+        made, ids, often = self.made, self.simple_ids, (times > 1).tolist()
         for i, v in enumerate(found):
             if v is None:
                 word = words[i]
-                found[i] = v = self.made(self.simple_ids(word))
-                if len(word) <= LONGEST_CACHED:
+                found[i] = v = made(ids(word))
+                if often[i] and len(word) <= LONGEST_CACHED:
                     self[word] = v
         return found
 
@@ -192,7 +209,8 @@ class Words(dict):
             plain = [t.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ") if simple(t) else None for t in part]
             words = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
             flat = words.flatten().dictionary_encode()
-            values = pa.array(self.simple_values(flat.dictionary.to_pylist()), self.kind)
+            times = np.bincount(flat.indices.to_numpy(), minlength=len(flat.dictionary))
+            values = pa.array(self.simple_values(flat.dictionary.to_numpy(zero_copy_only=False).tolist(), times), self.kind)
             ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(words).to_pylist())])
             found = values.take(flat.indices)
             if None in plain:
@@ -239,5 +257,5 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     out = map_batches(rows, counter(path, whole, limit),
-                          f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+                          f"id {kind}, n_bytes long, n_tokens long, over_limit boolean", caches=True)
     return out.withColumnRenamed("id", key)

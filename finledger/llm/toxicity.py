@@ -41,8 +41,9 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import kept, map_batches, ship, smallest_hashes
+from .common import forget, in_parts, kept, map_batches, ship, smallest_hashes
 
 PAD = b"   "
 #: letters of a word: everything but ASCII blanks and punctuation
@@ -170,8 +171,9 @@ def said(ws: list[bytes], more: dict[int, set]) -> tuple[bytes, bytes]:
 def train(rows: list[tuple[str, int]], share: float, toxic_bytes: int = 3072, ordinary_bytes: int = 65536) -> Model:
     """``rows``: (text, label) in a fixed order; ``share``: of toxic labels in the whole table."""
     split = {c: list(dict.fromkeys(t for t, y in rows if y == c)) for c in (0, 1)}
-    first = {c: [words(t) for t in ts[: (len(ts) + 1) * 3 // 5]] for c, ts in split.items()}
-    rest = [(words(t), c) for c, ts in split.items() for t in ts[(len(ts) + 1) * 3 // 5:]]
+    one: dict[bytes, bytes] = {}  # equal words are held once
+    first = {c: [[one.setdefault(w, w) for w in words(t)] for t in ts[: (len(ts) + 1) * 3 // 5]] for c, ts in split.items()}
+    rest = [(t, c) for c, ts in split.items() for t in ts[(len(ts) + 1) * 3 // 5:]]
     flat = Model(b" " * 512, b"", b"", np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
     flat.weights[0] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not first[0] or not first[1] or len({c for _, c in rest}) < 2:
@@ -184,7 +186,7 @@ def train(rows: list[tuple[str, int]], share: float, toxic_bytes: int = 3072, or
     # words in short pieces, phrases in pieces that hold them whole
     m = Model(_trained(ordinary, ordinary_bytes, 64).rjust(512), _trained([s for s, _ in toxic if len(s) > 12], toxic_bytes, 12),
               _trained([s for _, s in toxic if len(s) > 12], toxic_bytes, 96), flat.weights, flat.shift, flat.scale)
-    x = np.array([m.features(ws) for ws, _ in rest])
+    x = np.array([m.features(words(t)) for t, _ in rest])
     y = np.array([c for _, c in rest], float)
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     m.shift, m.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -222,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def trainer(share: float):
     def run(table: pa.Table) -> pa.Table:
+        forget()
         table = table.sort_by([("y", "ascending"), ("o", "ascending"), ("k", "ascending")])
         rows = list(zip(table["t"].to_pylist(), table["y"].to_pylist(), strict=True))
         return pa.table({"model": pa.array([pickle.dumps(train(rows, share))], pa.binary())})
@@ -253,19 +256,20 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     sent = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    out = map_batches(rows, scorer(sent, uuid4().hex), f"id {kind}, score double").withColumnRenamed("id", key)
+    out = map_batches(rows, scorer(sent, uuid4().hex), f"id {kind}, score double", caches=True)
+    out = out.withColumnRenamed("id", key)
     return out.select(key, (remainder(key) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def marker(model, name: str):
+def marker(model, name: str, at: int, width: int):
+    """The first ``width`` columns of the rows that are not toxic; ``at``: the place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = with_cache(model, name)
-        for b in batches:
-            at = b.schema.get_field_index("__text")
+        for b in in_parts(batches):
             x = np.array([m.features(words(t)) for t in b.column(at).to_pylist()]).reshape(-1, FEATURES)
-            keep = pa.array(m.score(x) < 0.5, pa.bool_())
-            yield b.drop_columns(["__text"]).filter(keep)
+            yield b.select(range(width)).filter(pa.array(m.score(x) < 0.5, pa.bool_()))
         m._saved = {}
 
     return run
@@ -274,4 +278,8 @@ def marker(model, name: str):
 def drop_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``df`` that the model does not call toxic, with all their columns. No shuffle."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    return map_batches(df.withColumn("__text", F.col(text).cast("string")), marker(sent, uuid4().hex), df.schema)
+    # a text that is a string already is sent once
+    own = [i for i, f in enumerate(df.schema) if f.name == text and isinstance(f.dataType, StringType)]
+    rows = df if own else df.withColumn("__text", F.col(text).cast("string"))
+    run = marker(sent, uuid4().hex, own[0] if own else len(df.columns), len(df.columns))
+    return map_batches(rows, run, df.schema, caches=True)

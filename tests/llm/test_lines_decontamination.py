@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from finledger.llm import decontaminate as D
@@ -118,3 +119,14 @@ def test_document_lines_by_brute_force(spark):
                 assert out[i] == "\n".join(x for x in t.split("\n") if x.strip(" ") not in bad)
     assert out[None] == "Top line\n x" and out[70] is None and out[71] == ""
     assert L.clean_documents(df.limit(0)).columns == df.columns
+
+
+def test_spans_are_cut_a_few_rows_at_a_time():
+    class Sent:
+        value = D.Automaton([("a", [b"x%d" % i for i in range(10)])], 10)
+
+    hit = "before " + " ".join(f"x{i}" for i in range(10)) + " after " + "w " * 20
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "__own": [hit, None, "plain"] * 400})
+    out = list(D.cutter([Sent], 0.5, 1)(iter([batch])))
+    assert [b.num_rows for b in out] == [500, 500, 200] and out[0].schema.names == ["doc_id", "__own"]
+    assert [t for b in out for t in b.column(1).to_pylist()] == [hit.replace(" ".join(f"x{i}" for i in range(10)), ""), None, "plain"] * 400

@@ -3,7 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +156,37 @@ def test_many_shards_hold_every_id_once(spark, monkeypatch):
         assert at == p.doc_tokens
     # equal texts do not all meet in one shard
     assert got.where("doc_id >= 1000").select(F.shiftright("sequence_id", 36)).distinct().count() > 1
+
+
+def test_words_that_stand_once_are_not_kept():
+    words = K.Words(K.load(K.tokenizer_file()), K.whole_tokens(K.tokenizer_file()), len, pa.int64())
+    list(words.of_texts(["again and again", *(f"once{i}x only" for i in range(50))]))
+    assert set(words) == {"again", "only"}
+
+
+def test_marks_after_letters_are_cut_off_without_the_pattern(monkeypatch):
+    tok = K.load(K.tokenizer_file())
+    words = K.Words(tok, K.whole_tokens(K.tokenizer_file()), list, pa.list_(pa.int64()))
+    rng = random.Random(7)
+    stems = ["zqkfoo", "the", "été", "größe", "бывший", "σας", "s", "t"]
+    texts = [rng.choice(stems) + "".join(rng.choice(K.MARKS) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    texts = [t for t in texts if K.simple(t)] + ["zqkfoo'", "zqkfoo''s"]
+    assert len(texts) > 1000
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [words.simple_ids(t) for t in texts] == want
+    monkeypatch.setattr(words, "ids", None)
+    assert [words.simple_ids(t) for t in texts[:-1]] == want[:-1]
+
+
+def test_frequencies_by_brute_force():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u2") for _ in range(5000)] + [np.array([65535], "<u2")]
+    batch = pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in docs], pa.binary())], ["ids"])
+    out = next(P.frequencies(iter([batch.slice(0, 0), batch])))
+    want = Counter(t for d in docs for t in set(d.tolist())) | {-1: len(docs), -2: sum(map(len, docs))}
+    assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want
+
+
+def test_a_shard_holds_several_blocks():
+    # every shard is a task with costs of its own
+    assert P.SHARD_TOKENS >= 4 * P.BLOCK_TOKENS

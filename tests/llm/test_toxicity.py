@@ -4,11 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard as zs
+from pyspark.sql import functions as F
 
 from finledger.llm import queries as Q
 from finledger.llm import toxicity as T
+from finledger.llm.common import map_batches
 from tests.conftest import SF01
 
 
@@ -102,3 +105,39 @@ def test_query_has_one_row_per_document(spark):
     out = Q.op8_toxicity(spark, SF01)
     assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert out.count() == spark.read.parquet(f"{SF01}/documents.parquet").count()
+
+
+def test_texts_are_marked_a_few_rows_at_a_time_and_sent_once(spark):
+    rows = corpus(400)
+    m = T.train([(t, y) for _, t, y in rows], 0.2)
+
+    class Sent:
+        value = m
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _, _ in rows] * 4, "text": [t for _, t, _ in rows] * 4})
+    out = list(T.marker(Sent, "test", 1, 2)(iter([batch])))
+    assert len(out) == 4 and all(b.num_rows <= 500 and b.schema.names == ["doc_id", "text"] for b in out)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    want = [r.doc_id for r in T.score(docs, m).collect() if not r.predicted]
+    assert sorted(i for b in out for i in b.column(0).to_pylist()) == sorted(want * 4)
+    raw = docs.withColumn("text", F.encode("text", "UTF-8"))  # no string: cast, and given back as it was
+    assert T.drop_toxic(raw, m).schema == raw.schema
+    assert sorted(r.doc_id for r in T.drop_toxic(raw, m).collect()) == want
+
+
+def test_a_worker_forgets_the_caches_of_earlier_operators(spark):
+    def fills(batches):
+        from finledger.llm import common
+
+        common.kept("test", lambda: bytearray(1 << 20))
+        yield from batches
+
+    def left(batches):
+        from finledger.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._WORKER)] * b.num_rows, pa.int64())], ["n"])
+
+    df = spark.range(0, 64, 1, 16)
+    df.mapInArrow(fills, "id long").collect()
+    assert {r.n for r in map_batches(df, left, "n long").collect()} == {0}
