@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGE_BATCHES, map_batches, staged
+from .common import LARGE_BATCHES, in_parts, map_batches, staged
 from .tokens import END_ID, proved, tokenizer_file, words_of
 
 K1, B = 1.2, 0.75
 #: a block is full at so many tokens; its index is all that a task keeps
 BLOCK_TOKENS = 1 << 20
 #: tokens of a shard, up to so many shards (their bounds are kept by the driver); sampled documents for each bound
-SHARD_TOKENS, MAX_SHARDS, SAMPLED = 2 * BLOCK_TOKENS, 1 << 16, 64
+SHARD_TOKENS, MAX_SHARDS, SAMPLED = 4 * BLOCK_TOKENS, 1 << 16, 64
 VOCABULARY = 1 << 16
 
 
@@ -70,15 +70,11 @@ def encoder(path: str, whole):
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: documents holding each token; token -1 counts documents, -2 tokens."""
-    df, docs, total, here = np.zeros(VOCABULARY, np.int32), 0, 0, np.zeros(VOCABULARY, bool)
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            ids = np.frombuffer(x, "<u2")
-            here[ids] = True
-            top = int(ids.max()) + 1
-            df[:top] += here[:top]
-            here[ids] = False
-            docs, total = docs + 1, total + len(ids)
+    df, docs, total = np.zeros(VOCABULARY, np.int64), 0, 0
+    for b in in_parts(batches, 4096):
+        _, token, n = distinct_tokens(b.column(0).to_pylist())
+        df += np.bincount(token, minlength=VOCABULARY)
+        docs, total = docs + b.num_rows, total + int(n.sum())
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(at, [-1, -2]), pa.int64()), pa.array(np.append(df[at], [docs, total]), pa.int64())],
@@ -262,7 +258,8 @@ def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id",
     kind = df.schema[key].dataType.simpleString()
     whole = proved(spark, path)
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long"), "token-ids", LARGE_BATCHES)
+    ids = staged(spark, map_batches(rows, encoder(path, whole), f"id {kind}, ids binary, crc long", caches=True),
+                 "token-ids", LARGE_BATCHES)
     counts = map_batches(ids.select("ids"), frequencies, "token long, n long")
     found = {r["token"]: r["n"] for r in counts.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator()}
     docs, total = found.pop(-1, 0), found.pop(-2, 0)
