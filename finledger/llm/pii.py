@@ -53,6 +53,8 @@ TYPES = {
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 _HEX = "0123456789abcdef"
 _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщьыз"
+#: 40 syllables of two letters
+_SYLLABLES = "".join(a + b for a in "bdklmnrstv" for b in "aeio")
 
 
 SECRET_NAME = r"^[^=:]*[=:]\s{0,3}[\"']?"
@@ -138,24 +140,28 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("t"), F.lit(0).alias("i")), add, lambda s: s["t"])
 
 
-def _name(m: Column, stream: Column, ending: str, more: Column) -> Column:
-    """Title, then as many names of keyed syllables as the entity has, in its script."""
-    syllables = F.array(*[F.lit(a + b) for a in "bdklmnrstv" for b in "aeio"])
+def _syllable(stream: Column, at: Column) -> Column:
+    return F.substr(F.lit(_SYLLABLES), _pick(stream, at, 40) * 2 + 1, F.lit(2))
+
 
-    def word(at: Column, syllables_of: int, last: str) -> Column:
-        parts = [F.element_at(syllables, _pick(stream, at + i, 40) + 1) for i in range(syllables_of)]
-        return F.initcap(F.concat(*parts, F.lit(last)))
+def _name(m: Column, stream: Column, ending: Column, more: Column) -> Column:
+    """Title, then as many names of keyed syllables as the entity has, in its script."""
+    def word(at: Column, syllables_of: int, last: Column) -> Column:
+        return F.initcap(F.concat(*[_syllable(stream, at + i) for i in range(syllables_of)], last))
 
     title, rest = F.regexp_extract(m, r"^(\S+ )", 1), F.regexp_replace(m, r"^\S+ ", "")
     # the last name stands at 8 of the stream, the first at 0, those between from 12 on
     between = F.regexp_extract_all(rest, F.lit(r"[ -]"), F.lit(0))
     given = F.transform(between, lambda sign, i: F.concat(word(F.when(i == 0, 0).otherwise(8 + 4 * i), 3, ending), sign))
     # each further round adds a syllable to the last name
-    longer = F.array_join(F.transform(F.slice(F.sequence(F.lit(40), F.lit(100)), F.lit(1), more), lambda at: F.element_at(syllables, _pick(stream, at, 40) + 1)), "")
-    latin = F.concat(F.array_join(given, ""), F.concat(word(F.lit(8), 4, ""), longer, F.lit("s")))
-    cyrillic = F.translate(latin, _LATIN + _LATIN.upper(), _CYRILLIC + _CYRILLIC.upper())
-    name = F.when(rest.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
-    return F.concat(title, F.when(rest == F.upper(rest), F.upper(name)).otherwise(name))
+    longer = F.array_join(F.transform(F.slice(F.sequence(F.lit(40), F.lit(100)), F.lit(1), more), lambda at: _syllable(stream, at)), "")
+    latin = F.concat(F.array_join(given, ""), F.concat(word(F.lit(8), 4, F.lit("")), longer, F.lit("s")))
+
+    def in_script(name: Column) -> Column:
+        cyrillic = F.translate(name, _LATIN + _LATIN.upper(), _CYRILLIC + _CYRILLIC.upper())
+        return F.when(rest.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(name)
+
+    return let(let(latin, in_script), lambda name: F.concat(title, F.when(rest == F.upper(rest), F.upper(name)).otherwise(name)))
 
 
 def surrogate(key: str, m: Column, kind: Column, draw: Column) -> Column:
@@ -167,16 +173,23 @@ def surrogate(key: str, m: Column, kind: Column, draw: Column) -> Column:
 
 
 def _laid_over(m: Column, kind: Column, norm: Column, s: Column, more: Column) -> Column:
-    """``more``: letters or syllables that a late draw adds."""
+    """``more``: letters or syllables that a late draw adds.
+
+    Types share one reshaping and one name: a copy for each would make plans
+    that the driver cannot hold many of.
+    """
     never = F.lit(False)
     every = F.lit(1 << 20)
+    named = kind.isin("woman", "person", "man")
     local, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     label = F.substring_index(host, ".", 1)
-    email = F.concat(_reshape(F.concat(local, F.repeat(F.lit("a"), more)), s, never, every), F.lit("@"),
-                     let(F.substr(s, F.lit(129), F.lit(128)), lambda t: _reshape(label, t, never, every)), F.lit(".example.net"))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    # what is reshaped of each type; null: nothing
+    part = (F.when(named | kind.isin("ip", "secret"), None).when(kind == "email", F.concat(local, F.repeat(F.lit("a"), more)))
+            .when(kind == "aws", F.substr(m, F.lit(5))).when(kind == "iban", F.substr(m, F.lit(3))).otherwise(m))
+    keep_from = F.when(kind == "phone", 10).when(kind == "card", F.length(digits) - 1).otherwise(every)
     ip = F.concat_ws(".", (_pick(s, F.lit(0), 15) + 240).cast("string"),
                      *[_pick(s, F.lit(i), 256).cast("string") for i in (1, 2, 3)])
-    phone = _reshape(m, s, never, F.lit(10))
 
     def card(v: Column) -> Column:
         """v: digits, and the entity reshaped with its first digit kept."""
@@ -186,16 +199,19 @@ def _laid_over(m: Column, kind: Column, norm: Column, s: Column, more: Column) -
         return F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, F.concat(
             F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
 
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    cards = let(F.struct(digits.alias("digits"), _reshape(m, s, never, F.length(digits) - 1).alias("drawn")), card)
-    aws = F.concat(F.lit("AKIA"), _reshape(F.substr(m, F.lit(5)), s, never, every))
-    iban = F.concat(F.substr(m, F.lit(1), F.lit(2)), _reshape(F.substr(m, F.lit(3)), s, never, every))
     ending = F.regexp_extract(F.regexp_replace(m, SECRET_NAME, ""), SECRET_END, 0)
     secret = F.concat(F.regexp_extract(m, SECRET_NAME, 0), _secret(norm, s), ending)
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", cards)
-            .when(kind == "aws", aws).when(kind == "iban", iban).when(kind == "woman", _name(m, s, "a", more))
-            .when(kind == "person", _name(m, s, "e", more)).when(kind == "ip6", _reshape(m, s, F.lit(True), every))
-            .when(kind == "man", _name(m, s, "on", more)).when(kind == "secret", secret).otherwise(_reshape(m, s, never, every)))
+    name = _name(m, s, F.when(kind == "woman", "a").when(kind == "person", "e").otherwise("on"), more)
+
+    def finished(drawn: Column) -> Column:
+        email = F.concat(drawn, F.lit("@"),
+                         let(F.substr(s, F.lit(129), F.lit(128)), lambda t: _reshape(label, t, never, every)), F.lit(".example.net"))
+        cards = let(F.struct(digits.alias("digits"), drawn.alias("drawn")), card)
+        return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", cards)
+                .when(kind == "aws", F.concat(F.lit("AKIA"), drawn)).when(kind == "iban", F.concat(F.substr(m, F.lit(1), F.lit(2)), drawn))
+                .when(named, name).when(kind == "secret", secret).otherwise(drawn))
+
+    return let(_reshape(part, s, kind == "ip6", keep_from), finished)
 
 
 def redrawn(found: DataFrame, key: str) -> DataFrame:
@@ -209,7 +225,8 @@ def redrawn(found: DataFrame, key: str) -> DataFrame:
     open_ = known.withColumn("draw", F.lit(0))
     taken = None
     for r in range(LONGER + 60):
-        s = open_.withColumn("s", normal(F.col("kind"), surrogate(key, F.col("m"), F.col("kind"), F.lit(r))))
+        # the normal form names its value for each type: the surrogate must be in the plan once
+        s = open_.withColumn("s", let(surrogate(key, F.col("m"), F.col("kind"), F.lit(r)), lambda v: normal(F.col("kind"), v)))
         first = F.row_number().over(Window.partitionBy("kind", "s").orderBy("norm")) == 1
         s = s.withColumn("ok", first)
         used = known.select("kind", F.col("norm").alias("s"))

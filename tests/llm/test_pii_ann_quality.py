@@ -80,6 +80,22 @@ def test_collision_without_end_is_an_error(spark, monkeypatch):
         P.pseudonymise(df, "k")
 
 
+def test_plans_hold_a_surrogate_once(spark, monkeypatch):
+    # the driver keeps plans of several runs: a copy of the surrogate for each type makes them 30 times as long
+    plans, real = {}, P.staged
+    text = lambda df: df._jdf.queryExecution().analyzed().toString()
+
+    def staged(session, df, name, *settings):
+        plans[name] = text(df)
+        return real(session, df, name, *settings)
+
+    monkeypatch.setattr(P, "staged", staged)
+    df = spark.createDataFrame([(1, "Mr Karl Weber, 078-05-1120")], "doc_id long, text string")
+    plans["texts"] = text(P.pseudonymise(df, "k"))
+    for name in ("draw-0", "texts"):
+        assert plans[name].count("sha2(") == 4 and len(plans[name]) < 30_000, name
+
+
 def test_surrogates_of_nulls_repeats_long_texts_clashes_and_empty(spark):
     rows = [(None, None, 1), (1, "", 1), (2, "nothing here, 12 of 3.4", 1), (2, "nothing here, 12 of 3.4", 1),
             (3, "1.2.3.4 " * 20000, 1), (4, "1.2.3.4", 1)]
